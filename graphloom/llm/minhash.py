@@ -6,14 +6,14 @@ round t + j each falls in bin j, so every coordinate fills; values of early
 rounds win). Bands of coordinates propose pairs, one bit of each coordinate
 estimates their similarity, and full sets confirm them.
 
-No bucket is expanded into all its pairs. Pairs go through three rounds:
+No bucket is expanded into all its pairs. Pairs go through two rounds:
 
 1. each member of a bucket against the smallest id in it (a star);
 2. buckets whose members are still in different components: small ones by all
-   pairs of different components, large ones by longer bands, which part
-   members that are only somewhat similar;
-3. large buckets of longer bands that still hold several components: all pairs
-   of different components.
+   pairs of different components; the members of large ones get wider sketches
+   and longer bands, which part texts that are only somewhat similar, and what
+   is not in a bucket's largest component meets the rest of the bucket, where
+   the wide sketches agree enough.
 
 A pair within one component needs no test, since only components are returned.
 The bands are chosen so that a pair at the threshold is missed with
@@ -28,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import as_bytes, long_lists, mix, odd_weights, shingle_set, slices
 from graphloom.operators.components import connected_components
 from graphloom.storage import Scratch
 
-#: Coordinates of a sketch.
+#: Coordinates of a sketch, and of one of a member of a large bucket.
 COORDINATES = 512
+WIDE = 4096
 #: Chance that no band holds a pair whose similarity equals the threshold.
 MISS = 1e-7
 #: Buckets of more members are parted by longer bands, not paired.
@@ -90,7 +91,7 @@ def long_bands(similarity: float) -> tuple[int, int]:
     return max((r, bands_for(similarity, r)) for r in range(2, 33) if bands_for(similarity, r) <= 800 or r == 2)
 
 
-PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>, coords binary, bits array<long>"
+PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
 def profile(rows: int, bands: int):
@@ -105,40 +106,47 @@ def profile(rows: int, bands: int):
                 full = np.flatnonzero(sizes)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 n = len(sets)
-                coords, bits = [None] * n, [None] * n
+                bits = [None] * n
                 keys = np.empty((len(full), bands), np.uint64)
                 if len(full):
                     marks = sketch(np.concatenate([sets[k] for k in full]), np.repeat(np.arange(len(full)), sizes[full]), len(full))
                     split = marks[:, : rows * bands].reshape(len(full), bands, rows)
                     keys = mix((mix(split) * weights).sum(axis=2) + labels)
-                    low = mix(marks).astype(np.uint8)
-                    packed = np.packbits(low & 1, axis=1).view(np.int64)
-                    for j, k in enumerate(full):
-                        coords[k], bits[k] = low[j].tobytes(), packed[j]
+                    for k, packed in zip(full, one_bit(marks), strict=True):
+                        bits[k] = packed
                 offsets = np.concatenate([[0], np.cumsum((sizes > 0) * bands)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), long_lists(keys.ravel(), offsets), pa.array(coords, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands", "coords", "bits"],
+                    [part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), long_lists(keys.ravel(), offsets), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "bands", "bits"],
                 )
 
     return run
 
 
-def long_keys(rows: int, bands: int):
-    """mapInArrow function: (node, coords) to (node, keys) of long bands."""
-    picks = np.stack([np.random.default_rng(k).choice(COORDINATES, rows, replace=False) for k in range(bands)])
+def one_bit(marks: np.ndarray) -> np.ndarray:
+    """One hashed bit of each coordinate, 64 to a signed integer."""
+    return np.packbits(mix(marks).astype(np.uint8) & 1, axis=1).view(np.int64)
+
+
+def wide_rows(rows: int, bands: int):
+    """mapInArrow function: (doc_id, text) of sets that aren't empty to (node, n_shingles, keys, bits)."""
+    picks = np.stack([np.random.default_rng(k).choice(WIDE, rows, replace=False) for k in range(bands)])
     weights, labels = odd_weights(rows, 43), odd_weights(bands, 61)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                low = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, COORDINATES)
-                total = np.zeros((part.num_rows, bands), np.uint64)
+            for part in slices(batch, rows=128):
+                sets = [shingle_set(x) for x in as_bytes(part.column(1))]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                marks = sketch(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), WIDE)
+                mixed, total = mix(marks), np.zeros((len(sets), bands), np.uint64)
                 for k in range(rows):
-                    total += (low[:, picks[:, k]].astype(np.uint64) + np.uint64(1)) * weights[k]
+                    total += mixed[:, picks[:, k]] * weights[k]
                 keys = mix(total + labels)
-                yield pa.RecordBatch.from_arrays([part.column(0), long_lists(keys.ravel(), np.arange(part.num_rows + 1) * bands)], names=["node", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes), long_lists(keys.ravel(), np.arange(len(sets) + 1) * bands), long_lists(one_bit(marks).ravel(), np.arange(len(sets) + 1) * (WIDE // 64))],
+                    names=["node", "n_shingles", "keys", "bits"],
+                )
 
     return run
 
@@ -178,36 +186,44 @@ def confirm(per: int, cent: int):
     return run
 
 
+def may_link(per: int, cent: int, coordinates: int) -> Column:
+    """Whether the sizes n_a, n_b of two sets allow the threshold and their sketches bits_a, bits_b come near it.
+
+    The bits of a pair at the threshold agree in (1 + J) / 2 of the places; the
+    bound is six and a half standard deviations below.
+    """
+    share = (1 + per / cent) / 2
+    most = coordinates - math.floor(coordinates * (share - 6.5 * math.sqrt(share * (1 - share) / coordinates)))
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(coordinates // 64)), F.lit(0))
+    return (F.least("n_a", "n_b") * cent >= F.greatest("n_a", "n_b") * per) & (differ <= most)
+
+
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), *more)
+
+
 class _Rounds:
-    """The tables that the three rounds share."""
+    """The tables that the rounds share."""
 
     def __init__(self, texts: DataFrame, reps: DataFrame, scratch: Scratch, per: int, cent: int):
         self.texts, self.reps, self.scratch, self.per, self.cent = texts, reps, scratch, per, cent
-        share = (1 + per / cent) / 2
-        #: Six and a half standard deviations below the share of equal bits of a pair at the threshold.
-        self.equal_bits = math.floor(COORDINATES * (share - 6.5 * math.sqrt(share * (1 - share) / COORDINATES)))
 
     def close(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the threshold and whose sketches come near it."""
-        own = self.reps.select("node", "n_shingles", "bits")
-        side = lambda x: own.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        words = COORDINATES // 64
-        differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(words)), F.lit(0))
-        return (
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
-            .where((F.least("n_a", "n_b") * self.cent >= F.greatest("n_a", "n_b") * self.per) & (differ <= COORDINATES - self.equal_bits))
-            .select("a", "b")
-            .distinct()
-        )
+        """Pairs that may link."""
+        near = pairs.join(_side(self.reps, "a"), "a").join(_side(self.reps, "b"), "b")
+        return near.where(may_link(self.per, self.cent, COORDINATES)).select("a", "b").distinct()
+
+    def of(self, ids: DataFrame, name: str) -> DataFrame:
+        """The texts of some nodes."""
+        ids = self.scratch.keep(ids.select(F.col("node").alias("doc_id")).distinct(), f"ids-{name}")
+        few = ids.count() <= BROADCAST_IDS
+        return self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that full sets confirm."""
         pairs = self.scratch.keep(self.close(pairs), f"close-{name}")
-        ids = self.scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{name}")
-        few = ids.count() <= BROADCAST_IDS
-        chosen = self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        sets = chosen.select("doc_id", "text").mapInArrow(set_rows, "node long, elements binary")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        sets = self.of(ends, name).mapInArrow(set_rows, "node long, elements binary")
         stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
         members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
         centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -244,6 +260,21 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
 
 
+def _outside(rows: DataFrame, wide: DataFrame, near: Column) -> DataFrame:
+    """Pairs of one bucket and different components that may link.
+
+    One of the two is not in the bucket's largest component, so a bucket that
+    is one component but for a few costs those few times its size.
+    """
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    rows = rows.select("key", "node", "label").join(largest, "key").join(wide, "node")
+    left = _side(rows.where("label <> largest"), "a", "key", F.col("label").alias("label_a"))
+    right = _side(rows, "b", "key", F.col("label").alias("label_b"), (F.col("label") == F.col("largest")).alias("main"))
+    once = F.expr("label_a <> label_b and (main or a < b)")
+    return left.join(right, "key").where(once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str = "minhash") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -266,7 +297,7 @@ def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str
 
     nodes = scratch.keep(profiles.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     of_reps = profiles.join(nodes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"])
-    reps = scratch.keep(of_reps.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "coords", "bits"), "reps")
+    reps = scratch.keep(of_reps.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "bits"), "reps")
     work = _Rounds(texts, reps, scratch, per, cent)
 
     short = scratch.keep(_buckets(reps.select("node", F.explode("bands").alias("key"))), "short")
@@ -276,23 +307,12 @@ def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str
 
     mixed = scratch.keep(_mixed(_labelled(short, labels)), "mixed")
     pairs = _across(mixed.where(f"members <= {DENSE}"))
-    dense = mixed.where(f"members > {DENSE}").select("node").distinct()
-    long_rows, long_count = long_bands(similarity)
-    keys = reps.join(dense, "node", "left_semi").select("node", "coords").mapInArrow(long_keys(long_rows, long_count), "node long, keys array<long>")
-    parted = scratch.keep(_mixed(_labelled(_buckets(keys.select("node", F.explode("keys").alias("key"))), labels)), "parted")
-    pairs = pairs.unionByName(_across(parted.where(f"members <= {DENSE}")))
-    heads = parted.where("node = centre").select("key", F.col("label").alias("centre_label")).distinct()
-    stars = parted.join(heads, "key").where("node <> centre and label <> centre_label")
-    pairs = pairs.unionByName(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    more = work.links(pairs.distinct(), "mixed")
+    dense = work.of(mixed.where(f"members > {DENSE}").select("node"), "dense")
+    wide = scratch.keep(dense.mapInArrow(wide_rows(*long_bands(similarity)), "node long, n_shingles long, keys array<long>, bits array<long>"), "wide")
+    parted = scratch.keep(_mixed(_labelled(_buckets(wide.select("node", F.explode("keys").alias("key"))), labels)), "parted")
+    more = work.links(pairs.unionByName(_outside(parted, wide.drop("keys"), may_link(per, cent, WIDE))).distinct(), "mixed")
     labels = connected_components(links.unionByName(more), scratch, "mixed")
-
-    left = parted.where(f"members > {DENSE}").drop("label")
-    left = scratch.keep(_mixed(_labelled(left, labels)), "left")
-    if not left.isEmpty():
-        last = work.links(_across(left), "left")
-        labels = connected_components(links.unionByName(more).unionByName(last), scratch, "left")
-    scratch.drop("short", "mixed", "parted", "reps")
+    scratch.drop("short", "mixed", "parted", "wide", "reps")
 
     members = scratch.keep(_labelled(nodes, labels).select("digest", "label"), "members")
     sets = profiles.select("doc_id", "n_shingles", "digest")

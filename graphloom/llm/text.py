@@ -88,17 +88,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``rows`` rows and about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes of text."""
     if batch.num_rows == 0:
         return
     lengths = np.array([len(x) if x else 0 for x in as_bytes(batch.column(batch.schema.get_field_index(column)))], np.int64)
-    start, size = 0, 0
+    start, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
-        if i > start and (size + n > SLICE_BYTES or i - start >= rows):
+        if i > start and (total + n > size or i - start >= rows):
             yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n
+            start, total = i, 0
+        total += n
     yield batch.slice(start)
 
 
