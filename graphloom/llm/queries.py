@@ -4,12 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, minhash, pieces, quality, secrets
+from graphloom.llm import chat, decontaminate, lm, media, minhash, pieces, quality, secrets, token_counts, urls
 from graphloom.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def _op1_sql() -> str:
+    """The rules, the counts of each order, the interpolation and the threshold, in SQL."""
+    rules = sorted(urls.RULES, key=lambda r: -len(r.text))
+    fits = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in rules]
+    allowed = ", ".join(f"'{r.text}'" for r in rules if r.allow)
+    ctes = [
+        rf"""base AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)""",
+        rf"""parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM base)""",
+        f"""ruled AS (SELECT *, CASE {' '.join(fits)} END AS rule FROM parts)""",
+        f"""judged AS (SELECT *, CASE WHEN rule IS NOT NULL THEN rule IN ({allowed}) END AS allow, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {urls.CALIBRATION} = 0 AS held FROM ruled)""",
+        "links AS (SELECT url, count(*) AS n, any_value(allow) AS allow, any_value(held) AS held FROM judged GROUP BY url)",
+        rf"""texts AS (SELECT *, regexp_replace(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]', '{urls.OTHER}', 'g') AS t FROM links)""",
+        f"""items AS (SELECT url, n, allow, held, unnest(list_transform(range(1, length(t) + 1), lambda k: substr('{urls.START * (urls.ORDER - 1)}' || t, k, {urls.ORDER}))) AS gram FROM texts)""",
+        "wanted AS (SELECT DISTINCT gram FROM items)",
+        "counted AS (SELECT gram, allow, sum(n) AS n FROM items WHERE allow IS NOT NULL AND NOT held GROUP BY gram, allow)",
+    ]
+    for side, allow in (("good", "allow"), ("bad", "NOT allow")):
+        before = f"SELECT gram, CAST({1 / (len(urls.ALPHABET) + 1)!r} AS DOUBLE) AS p FROM wanted"
+        for order in range(1, urls.ORDER + 1):
+            ctes += [
+                f"c_{side}_{order} AS (SELECT right(gram, {order}) AS tail, CAST(sum(n) AS DOUBLE) AS c FROM counted WHERE {allow} GROUP BY 1)",
+                f"k_{side}_{order} AS (SELECT left(tail, {order - 1}) AS context, sum(c) AS total, CAST(count(*) AS DOUBLE) AS kinds FROM c_{side}_{order} GROUP BY 1)",
+                f"""p_{side}_{order} AS (SELECT b.gram, CASE WHEN k.total IS NULL THEN b.p ELSE (coalesce(c.c, 0) + k.kinds * b.p) / (k.total + k.kinds) END AS p
+                FROM ({before}) b LEFT JOIN c_{side}_{order} c ON right(b.gram, {order}) = c.tail LEFT JOIN k_{side}_{order} k ON left(right(b.gram, {order}), {order - 1}) = k.context)""",
+            ]
+            before = f"SELECT gram, p FROM p_{side}_{order}"
+    ctes += [
+        f"ratios AS (SELECT g.gram, ln(g.p) - ln(b.p) AS ratio FROM p_good_{urls.ORDER} g JOIN p_bad_{urls.ORDER} b USING (gram))",
+        f"scores AS (SELECT l.url, l.allow, l.held, s.score FROM links l LEFT JOIN (SELECT url, round(avg(ratio), {urls.DECIMALS}) AS score FROM items JOIN ratios USING (gram) GROUP BY url) s ON l.url IS NOT DISTINCT FROM s.url)",
+        f"steps AS (SELECT CAST(floor(score * {urls.STEPS}) AS BIGINT) AS step, count(*) FILTER (allow) AS good, count(*) FILTER (NOT allow) AS bad FROM scores WHERE held AND allow IS NOT NULL AND score IS NOT NULL GROUP BY 1)",
+        """gains AS (SELECT step, (sum(good) OVER () - coalesce(sum(good) OVER w, 0)) * sum(bad) OVER () + coalesce(sum(bad) OVER w, 0) * sum(good) OVER () AS gain FROM steps
+        WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        "cut AS (SELECT step FROM gains ORDER BY gain DESC, step LIMIT 1)",
+    ]
+    return (
+        "WITH "
+        + ",\n".join(ctes)
+        + f"""
+SELECT j.page_id, j.host, j.path, j.rule, CASE WHEN coalesce(j.allow, CAST(floor(s.score * {urls.STEPS}) AS BIGINT) >= (SELECT step FROM cut), false) THEN 'allow' ELSE 'block' END AS verdict, s.score
+FROM judged j LEFT JOIN scores s ON j.url IS NOT DISTINCT FROM s.url"""
+    )
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), per=85, cent=100)
 
@@ -33,6 +80,35 @@ links AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN low USING (doc_id)
 """
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(probe)))
+
+
+def _op3_sql() -> str:
+    marks = lambda x: f"length({x}) - length(replace({x}, chr(92), ''))" + "".join(f" + (length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+    frame = len("<|turn|>") + 1 + len("<|end|>") + 1
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({frame} + length(r) + length(t) + ({marks('r')}) + ({marks('t')}) + (length(r) - length(replace(r, chr(10), '')))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(sum(len(list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS n_tokens
+FROM turns GROUP BY conv_id
+"""
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,19 +121,34 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_media_columns": op4_media_columns,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
+    "op1_url_filters": _op1_sql(),
     "op2_minhash_near_dedup": OP2_SQL,
+    "op3_chat_formatting": _op3_sql(),
 }
