@@ -40,6 +40,7 @@ COORDINATES = 512
 WIDE = 4096
 #: Chance that no band holds a pair whose similarity equals the threshold.
 MISS = 1e-7
+DEVIATIONS = 5.2
 #: Buckets of more members are parted by longer bands, not paired.
 DENSE = 64
 #: Ids that a broadcast may hold (16 bytes each); beyond it they are joined by shuffle.
@@ -190,10 +191,10 @@ def may_link(per: int, cent: int, coordinates: int) -> Column:
     """Whether the sizes n_a, n_b of two sets allow the threshold and their sketches bits_a, bits_b come near it.
 
     The bits of a pair at the threshold agree in (1 + J) / 2 of the places; the
-    bound is six and a half standard deviations below.
+    bound is DEVIATIONS standard deviations below, which MISS of them fall short of.
     """
     share = (1 + per / cent) / 2
-    most = coordinates - math.floor(coordinates * (share - 6.5 * math.sqrt(share * (1 - share) / coordinates)))
+    most = coordinates - math.floor(coordinates * (share - DEVIATIONS * math.sqrt(share * (1 - share) / coordinates)))
     differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(coordinates // 64)), F.lit(0))
     return (F.least("n_a", "n_b") * cent >= F.greatest("n_a", "n_b") * per) & (differ <= most)
 
@@ -220,8 +221,8 @@ class _Rounds:
         return self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that full sets confirm."""
-        pairs = self.scratch.keep(self.close(pairs), f"close-{name}")
+        """The pairs that full sets confirm, of pairs that may link."""
+        pairs = self.scratch.keep(pairs.distinct(), f"close-{name}")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         sets = self.of(ends, name).mapInArrow(set_rows, "node long, elements binary")
         stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str
 
     short = scratch.keep(_buckets(reps.select("node", F.explode("bands").alias("key"))), "short")
     stars = short.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = work.links(stars, "stars")
+    links = work.links(work.close(stars), "stars")
     labels = connected_components(links, scratch, "stars")
 
     mixed = scratch.keep(_mixed(_labelled(short, labels)), "mixed")
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str
     dense = work.of(mixed.where(f"members > {DENSE}").select("node"), "dense")
     wide = scratch.keep(dense.mapInArrow(wide_rows(*long_bands(similarity)), "node long, n_shingles long, keys array<long>, bits array<long>"), "wide")
     parted = scratch.keep(_mixed(_labelled(_buckets(wide.select("node", F.explode("keys").alias("key"))), labels)), "parted")
-    more = work.links(pairs.unionByName(_outside(parted, wide.drop("keys"), may_link(per, cent, WIDE))).distinct(), "mixed")
+    more = work.links(work.close(pairs).unionByName(_outside(parted, wide.drop("keys"), may_link(per, cent, WIDE))), "mixed")
     labels = connected_components(links.unionByName(more), scratch, "mixed")
     scratch.drop("short", "mixed", "parted", "wide", "reps")
 
