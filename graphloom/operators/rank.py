@@ -25,40 +25,55 @@ def edge_weight(kind: Column) -> Column:
     return out
 
 
-def links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(weighted links source, target, weight), (nodes with prior); a link to a barrel goes on to what it exports.
 
     nodes has path, n_symbols and n_routes. A barrel's link is followed up to
     BARREL_DEPTH barrels deep, never twice through one, and its weight is
     shared equally by the distinct files reached.
     """
-    raw = edges.join(nodes.select(F.col("path").alias("from_path")), "from_path", "left_semi").join(nodes.select(F.col("path").alias("to_path")), "to_path", "left_semi")
-    raw = raw.where("from_path <> to_path").select("from_path", "to_path", "kind", edge_weight(F.col("kind")).alias("weight")).where("weight > 0")
+    nodes = scratch.keep(nodes.select("path", "n_symbols", "n_routes"), "nodes")
+    known = nodes.select("path")
+    raw = edges.where("from_path <> to_path").select("from_path", "to_path", "kind", edge_weight(F.col("kind")).alias("weight")).where("weight > 0")
+    raw = raw.join(known.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(known.withColumnRenamed("path", "to_path"), "to_path", "left_semi")
+    raw = scratch.keep(raw, "raw")
     degree = raw.groupBy(F.col("from_path").alias("path")).agg(F.count("*").alias("out_degree"))
-    known = nodes.join(degree, "path", "left").fillna(0, ["out_degree"])
-    known = known.withColumn("barrel", is_barrel(F.col("path"), F.col("n_symbols"), F.col("out_degree")))
+    flagged = nodes.join(degree, "path", "left").fillna(0, ["out_degree"])
+    flagged = flagged.withColumn("barrel", is_barrel(F.col("path"), F.col("n_symbols"), F.col("out_degree")))
     prior = F.when((F.col("n_routes") > 0) | is_entry_point(F.col("path")), ENTRY_BOOST).otherwise(1.0)
     prior = prior * F.when(F.col("barrel"), BARREL_PRIOR).otherwise(1.0) * F.when(is_test(F.col("path")), TEST_PRIOR).otherwise(1.0)
-    known = known.withColumn("prior", prior)
-    barrels = known.where("barrel").select(F.col("path").alias("at"))
-    via = raw.select(F.col("from_path").alias("at"), F.col("to_path").alias("next")).join(barrels, "at", "left_semi").distinct()
-    open_ = raw.select("from_path", "to_path", "kind", "weight", F.col("to_path").alias("at"), F.array("from_path").alias("trail"))
-    done = None
+    flagged = scratch.keep(flagged.select("path", "barrel", prior.alias("prior")), "priors")
+    barrels = flagged.where("barrel").select(F.col("path").alias("at"))
+    whole = raw.withColumn("at", F.col("to_path")).withColumn("n", F.lit(1))
+    if not barrels.isEmpty():
+        whole = _through(raw, barrels, scratch)
+    spread = whole.groupBy(F.col("from_path").alias("source"), F.col("at").alias("target")).agg(F.sum(F.col("weight") / F.col("n")).alias("weight"))
+    return spread, flagged.select("path", "prior")
+
+
+def _through(raw: DataFrame, barrels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each raw link with the files it reaches behind barrels (at) and their number (n)."""
+    edge = ["from_path", "to_path", "kind"]
+    via = scratch.keep(raw.select(F.col("from_path").alias("at"), F.col("to_path").alias("next")).join(barrels, "at", "left_semi").distinct(), "via")
+    marked = barrels.withColumn("b", F.lit(True))
+    open_ = raw.select(*edge, "weight", F.col("to_path").alias("at"), F.array("from_path").alias("trail"))
+    ends = []
     for level in range(BARREL_DEPTH + 1):
-        through = open_.join(barrels.withColumn("b", F.lit(True)), "at", "left")
+        through = open_.join(marked, "at", "left")
         last = F.col("b").isNull() | F.lit(level == BARREL_DEPTH)
-        ended = through.where(last).drop("b", "trail")
-        done = ended if done is None else done.unionByName(ended)
+        ends.append(scratch.keep(through.where(last).select(*edge, "weight", "at"), f"ends-{level}"))
         if level < BARREL_DEPTH:
-            moved = through.where(~last).drop("b").join(via, "at").where(~F.array_contains("trail", F.col("next")))
-            open_ = moved.select("from_path", "to_path", "kind", "weight", F.col("next").alias("at"), F.concat("trail", F.array("at")).alias("trail"))
-    reached = done.distinct()
-    edge = ["from_path", "to_path", "kind"]
-    lost = raw.join(reached.select(*edge), edge, "left_anti").withColumn("at", F.col("to_path"))
-    reached = reached.unionByName(lost.select(*reached.columns))
-    shares = reached.groupBy(*edge).agg(F.count("*").alias("n"))
-    spread = reached.join(shares, edge).groupBy(F.col("from_path").alias("source"), F.col("at").alias("target")).agg(F.sum(F.col("weight") / F.col("n")).alias("weight"))
-    return spread, known.select("path", "prior")
+            moved = through.where(~last).join(via, "at").where(~F.array_contains("trail", F.col("next")))
+            open_ = scratch.keep(moved.select(*edge, "weight", F.col("next").alias("at"), F.concat("trail", F.array("at")).alias("trail")), f"open-{level}")
+            if open_.isEmpty():
+                break
+    reached = ends[0]
+    for part in ends[1:]:
+        reached = reached.unionByName(part)
+    reached = reached.distinct()
+    lost = raw.join(reached.select(*edge), edge, "left_anti").select(*edge, "weight", F.col("to_path").alias("at"))
+    reached = reached.unionByName(lost)
+    return reached.join(reached.groupBy(*edge).agg(F.count("*").alias("n")), edge)
 
 
 def normalised(spread: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, iterations:
     Iteration stops when the summed change of a step falls below ``until``,
     which is tested every BLOCK steps.
     """
-    spread, prior = links(nodes, edges)
+    spread, prior = links(nodes, edges, scratch)
     total = prior.agg(F.sum("prior").alias("total"))
     prior = scratch.keep(prior.crossJoin(F.broadcast(total)).select("path", (F.col("prior") / F.col("total")).alias("prior")), "prior")
     shares = scratch.keep(normalised(spread), "shares")
