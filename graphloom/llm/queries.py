@@ -44,9 +44,9 @@ def _op1_sql() -> str:
         f"ratios AS (SELECT g.gram, ln(g.p) - ln(b.p) AS ratio FROM p_good_{urls.ORDER} g JOIN p_bad_{urls.ORDER} b USING (gram))",
         f"scores AS (SELECT l.url, l.allow, l.held, s.score FROM links l LEFT JOIN (SELECT url, round(avg(ratio), {urls.DECIMALS}) AS score FROM items JOIN ratios USING (gram) GROUP BY url) s ON l.url IS NOT DISTINCT FROM s.url)",
         f"steps AS (SELECT CAST(floor(score * {urls.STEPS}) AS BIGINT) AS step, count(*) FILTER (allow) AS good, count(*) FILTER (NOT allow) AS bad FROM scores WHERE held AND allow IS NOT NULL AND score IS NOT NULL GROUP BY 1)",
-        """gains AS (SELECT step, (sum(good) OVER () - coalesce(sum(good) OVER w, 0)) * sum(bad) OVER () + coalesce(sum(bad) OVER w, 0) * sum(good) OVER () AS gain FROM steps
+        """gains AS (SELECT step, coalesce(CAST(floor((lag(step) OVER (ORDER BY step) + step + 1) / 2.0) AS BIGINT), step) AS middle, (sum(good) OVER () - coalesce(sum(good) OVER w, 0)) * sum(bad) OVER () + coalesce(sum(bad) OVER w, 0) * sum(good) OVER () AS gain FROM steps
         WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
-        "cut AS (SELECT step FROM gains ORDER BY gain DESC, step LIMIT 1)",
+        "cut AS (SELECT middle AS step FROM gains ORDER BY gain DESC, gains.step LIMIT 1)",
     ]
     return (
         "WITH "

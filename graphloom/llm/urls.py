@@ -116,20 +116,21 @@ def log_ratios(counted: DataFrame, wanted: DataFrame) -> DataFrame:
 def threshold(scored: DataFrame) -> Column | None:
     """The cut, in whole steps, that tells allowed from blocked rows best; null where either is missing.
 
-    scored has step and allow; a row is accepted from its cut on. Best is the
+    scored has step and allow; a row is accepted from the cut on. Best is the
     greatest sum of the shares of allowed rows accepted and blocked rows
-    rejected; of equal cuts, the least. The histogram has a row per step.
+    rejected; of equal cuts, the least. The cut lies halfway between the steps
+    that it parts. The histogram has a row per step.
     """
     steps = scored.groupBy("step").agg(F.sum(F.col("allow").cast("long")).alias("good"), F.sum((~F.col("allow")).cast("long")).alias("bad")).collect()
     good, bad = sum(r.good for r in steps), sum(r.bad for r in steps)
     if not good or not bad:
         return None
-    best, below_good, below_bad = (-1, 0), 0, 0
+    best, below_good, below_bad, before = (-1, 0), 0, 0, None
     for row in sorted(steps, key=lambda r: r.step):
         gain = (good - below_good) * bad + below_bad * good
         if gain > best[0]:
-            best = (gain, row.step)
-        below_good, below_bad = below_good + row.good, below_bad + row.bad
+            best = (gain, row.step if before is None else (before + row.step + 1) // 2)
+        below_good, below_bad, before = below_good + row.good, below_bad + row.bad, row.step
     return best[1]
 
 
