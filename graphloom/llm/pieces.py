@@ -77,6 +77,9 @@ class Vocabulary:
                 at += 1
             self.slots[at] = k
 
+    def text_of(self, piece: int) -> str:
+        return self.buffer[self.starts[piece] : self.starts[piece] + self.sizes[piece]].tobytes().decode(errors="replace")
+
     @staticmethod
     def _key(text: str) -> int:
         h = np.zeros(1, np.uint64)
