@@ -82,35 +82,38 @@ def normalised(spread: DataFrame) -> DataFrame:
     return spread.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def step(scores: DataFrame, shares: DataFrame, prior: DataFrame) -> DataFrame:
-    """One power iteration: (path, score); the mass of nodes without links goes to the prior."""
-    loose = scores.join(shares.select(F.col("source").alias("path")).distinct(), "path", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
+def step(scores: DataFrame, shares: DataFrame) -> DataFrame:
+    """One power iteration over (path, prior, loose, score); the mass of nodes without links (loose) goes to the prior."""
+    mass = scores.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("mass"))
     flow = scores.join(shares, scores["path"] == shares["source"]).groupBy(F.col("target").alias("path")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-    joined = prior.join(flow, "path", "left").crossJoin(F.broadcast(loose))
-    restart = (1 - DAMPING + DAMPING * F.col("loose")) * F.col("prior")
-    return joined.select("path", (restart + DAMPING * F.coalesce("flow", F.lit(0.0))).alias("score"))
+    joined = scores.drop("score").join(flow, "path", "left").crossJoin(F.broadcast(mass))
+    restart = (1 - DAMPING + DAMPING * F.col("mass")) * F.col("prior")
+    return joined.select("path", "prior", "loose", (restart + DAMPING * F.coalesce("flow", F.lit(0.0))).alias("score"))
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, iterations: int = MAX_ITERATIONS, until: float = CONVERGENCE) -> DataFrame:
     """(path, score, rank_score, rank_order): scores over the greatest, to six decimals, and their order.
 
     Iteration stops when the summed change of a step falls below ``until``,
-    which is tested every BLOCK steps.
+    which is tested every BLOCK steps, where the lineage is cut too.
     """
     spread, prior = links(nodes, edges, scratch)
-    total = prior.agg(F.sum("prior").alias("total"))
-    prior = scratch.keep(prior.crossJoin(F.broadcast(total)).select("path", (F.col("prior") / F.col("total")).alias("prior")), "prior")
     shares = scratch.keep(normalised(spread), "shares")
-    scores, turn = prior.select("path", F.col("prior").alias("score")), 0
+    total = prior.agg(F.sum("prior").alias("total"))
+    linked = shares.select(F.col("source").alias("path"), F.lit(False).alias("loose")).distinct()
+    share = F.col("prior") / F.col("total")
+    first = prior.crossJoin(F.broadcast(total)).join(linked, "path", "left").select("path", share.alias("prior"), F.coalesce("loose", F.lit(True)).alias("loose"), share.alias("score"))
+    scores, turn = scratch.keep(first, "scores-0"), 0
     while turn < iterations:
-        before = scores
-        for _ in range(min(BLOCK, iterations - turn)):
-            before, scores, turn = scores, step(scores, shares, prior), turn + 1
-        both = scores.join(before.withColumnRenamed("score", "before"), "path")
-        both = scratch.keep(both, f"scores-{turn}")
-        scores = both.select("path", "score")
-        if turn < iterations and (both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < until:
-            break
+        for _ in range(min(BLOCK, iterations - turn) - 1):
+            scores, turn = step(scores, shares), turn + 1
+        before = scratch.keep(scores, f"before-{turn}")
+        scores, turn = scratch.keep(step(before, shares), f"scores-{turn + 1}"), turn + 1
+        if turn < iterations:
+            both = scores.join(before.select("path", F.col("score").alias("before")), "path")
+            if (both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < until:
+                break
+    scores = scores.select("path", "score")
     top = scores.agg(F.max("score").alias("top"))
     scaled = scores.crossJoin(F.broadcast(top)).withColumn("rank_score", F.round(F.col("score") / F.col("top"), 6)).drop("top")
     return with_position(scaled, [F.col("rank_score").desc(), F.col("path").asc()], scratch, "rank_order")
