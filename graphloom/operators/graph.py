@@ -172,3 +172,24 @@ def columns_layout(nodes: DataFrame, column: str, height: Column, gap: int = 24)
     """Nodes with y, the running sum of heights and gaps above them in their column, in path order."""
     above = Window.partitionBy(column).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     return nodes.withColumn("y", F.coalesce(F.sum(height + gap).over(above), F.lit(0)).cast("long"))
+
+
+def preset(name: str, anchor: str, nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path) of the files that a task on the anchor file needs.
+
+    "bug-fix": the file and its direct importers; "refactor": its community and
+    all dependents; "feature": files of its community with routes or a rank of
+    0.5, or, without such, the first five by path.
+    """
+    own = nodes.where(F.col("path") == anchor).select("path")
+    if name == "bug-fix":
+        return own.union(dependents(edges).where(F.col("path") == anchor).select("other")).distinct()
+    home = membership.where(F.col("path") == anchor).select("community")
+    near = membership.join(home, "community", "left_semi").select("path")
+    if name == "refactor":
+        reached = transitive_dependents(edges, own.select(F.col("path").alias("anchor")), scratch)
+        return own.union(near).union(reached.select("node")).distinct()
+    if name == "feature":
+        strong = nodes.join(near, "path", "left_semi").where("n_routes > 0 or rank_score >= 0.5").select("path")
+        return near.orderBy("path").limit(5) if strong.isEmpty() else strong
+    raise ValueError(f"unknown preset {name!r}")

@@ -196,3 +196,12 @@ def code_facts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return files.select("path", "language", "content").mapInArrow(run, ROW)
+
+
+def channels(files: DataFrame) -> DataFrame:
+    """(path, line, fact, channel, callback): the first emit and the first on of each line, in files of any language."""
+    rows = each_line(files)
+    sent = rows.select("path", "line", F.lit("emit").alias("fact"), F.regexp_extract("text", r"""\.emit\(\s*['"]([^'"]+)['"]""", 1).alias("channel"), F.lit("").alias("callback"))
+    heard = r"""\.on\(\s*['"]([^'"]+)['"]\s*,\s*([\w.]*)"""
+    got = rows.select("path", "line", F.lit("on").alias("fact"), F.regexp_extract("text", heard, 1).alias("channel"), F.regexp_extract("text", heard, 2).alias("callback"))
+    return sent.unionByName(got).where("channel <> ''")

@@ -62,7 +62,7 @@ def tree(files: DataFrame) -> DataFrame:
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """nodes, edges, symbol_edges, external_dependencies and warnings of a saved graph; raises ValueError if malformed."""
     saved = spark.read.schema(f"{GRAPH_SCHEMA}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=True)
-    if not saved.select("_corrupt_record").where("_corrupt_record is not null").isEmpty():
+    if not saved.where("_corrupt_record is not null and nodes is null").isEmpty():
         raise ValueError("malformed graph")
     each = lambda c: saved.select(F.explode(c).alias("x"))
     return {c: each(c).select("x.*") for c in ("nodes", "edges", "symbol_edges", "warnings")} | {"external_dependencies": each("external_dependencies").select(F.col("x").alias("name"))}
