@@ -254,14 +254,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components, without those of the centre."""
-    rows = rows.where("node <> centre").select("key", "node", "label")
-    other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return rows.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
-
-
-def _outside(rows: DataFrame, wide: DataFrame, near: Column) -> DataFrame:
+def _outside(rows: DataFrame, sketches: DataFrame, near: Column) -> DataFrame:
     """Pairs of one bucket and different components that may link.
 
     One of the two is not in the bucket's largest component, so a bucket that
@@ -269,7 +262,7 @@ def _outside(rows: DataFrame, wide: DataFrame, near: Column) -> DataFrame:
     """
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    rows = rows.select("key", "node", "label").join(largest, "key").join(wide, "node")
+    rows = rows.select("key", "node", "label").join(largest, "key").join(sketches.select("node", "n_shingles", "bits"), "node")
     left = _side(rows.where("label <> largest"), "a", "key", F.col("label").alias("label_a"))
     right = _side(rows, "b", "key", F.col("label").alias("label_b"), (F.col("label") == F.col("largest")).alias("main"))
     once = F.expr("label_a <> label_b and (main or a < b)")
@@ -307,11 +300,11 @@ def near_duplicates(docs: DataFrame, per: int = 85, cent: int = 100, label: str
     labels = connected_components(links, scratch, "stars")
 
     mixed = scratch.keep(_mixed(_labelled(short, labels)), "mixed")
-    pairs = _across(mixed.where(f"members <= {DENSE}"))
+    pairs = _outside(mixed.where(f"members <= {DENSE}"), reps, may_link(per, cent, COORDINATES))
     dense = work.of(mixed.where(f"members > {DENSE}").select("node"), "dense")
     wide = scratch.keep(dense.mapInArrow(wide_rows(*long_bands(similarity)), "node long, n_shingles long, keys array<long>, bits array<long>"), "wide")
     parted = scratch.keep(_mixed(_labelled(_buckets(wide.select("node", F.explode("keys").alias("key"))), labels)), "parted")
-    more = work.links(work.close(pairs).unionByName(_outside(parted, wide.drop("keys"), may_link(per, cent, WIDE))), "mixed")
+    more = work.links(pairs.unionByName(_outside(parted, wide, may_link(per, cent, WIDE))), "mixed")
     labels = connected_components(links.unionByName(more), scratch, "mixed")
     scratch.drop("short", "mixed", "parted", "wide", "reps")
 
