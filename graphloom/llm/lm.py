@@ -34,7 +34,7 @@ from graphloom.storage import Scratch
 CLASSES, HEAD = 256, 192
 #: Classes of context, size of vectors, noise draws shared by the tokens of a step, tokens of a step.
 CONTEXT, SIZE, NOISE, STEP = 3, 24, 32, 4096
-RATE, ROUNDS = 0.1, 1
+RATE, ROUNDS = 0.05, 1
 #: Words whose counts are held by each task; the others' are joined. Longer words are never held.
 HOT, HOT_BYTES = 100_000, 64
 #: Distinct words that a counting task holds before it passes them on.
@@ -164,12 +164,16 @@ class Trainer:
 
     def __init__(self, params: dict[str, np.ndarray], lex: Lexicon, seed: int):
         self.p = {k: v.copy() for k, v in params.items()}
-        self.squares = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         share = (lex.class_tokens + 1) / (lex.class_tokens + 1).sum()
         self.noise_at = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.draw = np.random.default_rng(seed)
-        self.tokens = 0
+        self.tokens = self.steps = 0
+
+    def size(self) -> int:
+        """Tokens of the next step: few at first, STEP later on."""
+        return min(STEP, STEP // 16 * (1 + self.steps // 16))
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """context (n, CONTEXT) and target (n) classes."""
@@ -193,6 +197,7 @@ class Trainer:
             self.squares[name] += gradient * gradient
             self.p[name] -= RATE * gradient / np.sqrt(self.squares[name])
         self.tokens += n
+        self.steps += 1
 
 
 def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +252,11 @@ def train(docs: DataFrame, lex: Lexicon, scratch: Scratch) -> dict[str, np.ndarr
                         trainer = Trainer(params, lex, zlib.crc32(texts[0] or b"", turn))
                     context, target = windows([lex.sequence(words(x))[1] for x in texts], lex.end_class)
                     order = trainer.draw.permutation(len(target))
-                    for at in range(0, len(order), STEP):
-                        own = order[at : at + STEP]
+                    at = 0
+                    while at < len(order):
+                        own = order[at : at + trainer.size()]
                         trainer.step(context[own], target[own])
+                        at += len(own)
             sets = [_pack(trainer.p, trainer.tokens)] if trainer else []
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], names=["params"])
 
