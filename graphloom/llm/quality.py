@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import as_bytes, slices
+from graphloom.storage import Scratch
 
 #: Most trusted positives and unlabelled texts that the model is fitted on: those of the smallest hash of doc_id.
 MAX_POSITIVES = 8_000
@@ -107,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
-    return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -122,9 +123,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     count = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).first()
     prior = ((count.good or 0) + 1) / (count.n + 2)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = texts.select("doc_id").where(~held_out(F.col("doc_id")))
-    positive = _sample(ids.join(known.where("quality = 1"), "doc_id", "left_semi"), MAX_POSITIVES)
-    unlabelled = _sample(ids.join(known, "doc_id", "left_anti"), MAX_UNLABELLED)
+    ids = texts.select("doc_id", F.lit(1).alias("there"), F.lit(None).cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
+    marks = known.select("doc_id", F.lit(0).alias("there"), F.col("quality").cast("int").alias("quality"))
+    each = Scratch(docs.sparkSession, "quality").keep(ids.unionByName(marks).groupBy("doc_id").agg(F.max("there").alias("there"), F.min("quality").alias("quality")).where("there = 1"), "ids")
+    positive = _sample(each.where("quality = 1"), MAX_POSITIVES)
+    unlabelled = _sample(each.where("quality is null"), MAX_UNLABELLED)
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
