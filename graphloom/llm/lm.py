@@ -325,7 +325,7 @@ def score(docs: DataFrame) -> DataFrame:
         lex.ready()
         end = lex.index[TEXT_END]
         for batch in batches:
-            for part in slices(batch, rows=1000, size=4 << 20):
+            for part in slices(batch, rows=1000):
                 n_tokens, known, log_counts, log_room, rare, sequences = [], [], [], [], [], []
                 for text in as_bytes(part.column(1)):
                     found = words(text)

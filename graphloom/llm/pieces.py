@@ -35,7 +35,7 @@ RUN = 64
 #: Weights are multiplied by this for each character, so that sums of a whole run stay in the range of doubles.
 PER_CHARACTER = 1000.0
 #: Bytes of text that are sampled at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 _STEP, _PLACE = _U(0xD1B54A32D192ED03), _U(0x9E3779B97F4A7C15)

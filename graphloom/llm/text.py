@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are tokenised at once; longer texts go in pieces cut at white space.
 PIECE = 1 << 22
 #: Bytes of text that a batch helper hands out at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _U = np.uint64
@@ -92,9 +93,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, size:
     """The batch in slices of at most ``rows`` rows and about ``size`` bytes of text."""
     if batch.num_rows == 0:
         return
-    lengths = np.array([len(x) if x else 0 for x in as_bytes(batch.column(batch.schema.get_field_index(column)))], np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
     start, total = 0, 0
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(lengths.to_pylist()):
         if i > start and (total + n > size or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
