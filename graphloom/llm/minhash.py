@@ -249,9 +249,10 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return rows.join(several, "key")
+    """The rows of buckets that hold several components, with the label of the largest one."""
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
+    return rows.join(several.where("labels > 1").drop("labels"), "key")
 
 
 def _outside(rows: DataFrame, sketches: DataFrame, near: Column) -> DataFrame:
@@ -260,9 +261,7 @@ def _outside(rows: DataFrame, sketches: DataFrame, near: Column) -> DataFrame:
     One of the two is not in the bucket's largest component, so a bucket that
     is one component but for a few costs those few times its size.
     """
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    rows = rows.select("key", "node", "label").join(largest, "key").join(sketches.select("node", "n_shingles", "bits"), "node")
+    rows = rows.select("key", "node", "label", "largest").join(sketches.select("node", "n_shingles", "bits"), "node")
     left = _side(rows.where("label <> largest"), "a", "key", F.col("label").alias("label_a"))
     right = _side(rows, "b", "key", F.col("label").alias("label_b"), (F.col("label") == F.col("largest")).alias("main"))
     once = F.expr("label_a <> label_b and (main or a < b)")
