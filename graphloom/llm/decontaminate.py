@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ MIN_SHARE = 0.8
 #: Bytes of benchmark text that are held by each task at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 16 << 20
 
+_SHARE = Fraction(MIN_SHARE).limit_denominator(1000)
 RESULT = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long"
 _FILTER_BITS = 22
 
@@ -77,19 +79,25 @@ class Seeds:
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
     """(doc_start, item_start, n_tokens, n_equal) of the best stretch of item[i] against doc[i + shift].
 
-    An equal token counts 1, another -2; None below MIN_EQUAL or MIN_SHARE.
+    Of all stretches with a share of MIN_SHARE, the first of those with most
+    equal tokens, without unequal ends; None if these are below MIN_EQUAL.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return None
-    same = item[low:high] == doc[low + shift : high + shift]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    end = int(np.argmax(total - np.minimum.accumulate(total)))
-    start = int(np.argmin(total[: end + 1]))
-    length, equal = end - start, int(same[start:end].sum())
-    if equal < min(MIN_EQUAL, len(item)) or equal < MIN_SHARE * length:
+    at = np.flatnonzero(item[low:high] == doc[low + shift : high + shift])
+    if len(at) < min(MIN_EQUAL, len(item)):
         return None
-    return low + start + shift, low + start, length, equal
+    # From the i-th to the j-th equal token the share is reached where score[j] - score[i] <= over - under.
+    under, over = _SHARE.as_integer_ratio()
+    score = under * at - over * np.arange(len(at))
+    first = np.searchsorted(np.maximum.accumulate(score), score - (over - under), "left")
+    count = np.arange(len(at)) - first + 1
+    j = int(np.argmax(count))
+    start, equal = int(at[first[j]]), int(count[j])
+    if equal < min(MIN_EQUAL, len(item)):
+        return None
+    return low + start + shift, low + start, int(at[j]) - start + 1, equal
 
 
 def overlaps(seeds: Seeds, ids: list, texts: list[bytes | None]) -> list[tuple]:

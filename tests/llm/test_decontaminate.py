@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from graphloom.llm import decontaminate
 
 
@@ -60,3 +62,31 @@ def test_edge_cases(spark, docs, edge_rows):
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 3, 4, 6, 7]
     assert decontaminate.find_overlaps(docs([]), items).count() == 0
     assert decontaminate.find_overlaps(docs(edge_rows), items.limit(0)).count() == 0
+
+
+def brute_force(same, least):
+    """The most equal tokens of any stretch that the rule accepts, 0 if none."""
+    total = np.concatenate([[0], np.cumsum(same)])
+    each = [int(total[e] - total[s]) for s in range(len(same)) for e in range(s + 1, len(same) + 1) if 5 * (total[e] - total[s]) >= 4 * (e - s)]
+    return max([x for x in each if x >= least], default=0)
+
+
+def test_best_stretch_equals_brute_force():
+    draw = np.random.default_rng(3)
+    for k in range(400):
+        n, noise = int(draw.integers(1, 90)), draw.choice([0.1, 0.2, 0.25, 0.3, 0.5])
+        item = np.arange(1, n + 1).astype(np.uint64)
+        same = draw.random(n) >= noise
+        doc = np.concatenate([np.zeros(k % 3, np.uint64), np.where(same, item, np.uint64(0))])
+        found, want = decontaminate.best_overlap(doc, item, k % 3), brute_force(same, min(12, n))
+        assert (found[3] if found else 0) == want
+        if found:
+            own = same[found[1] : found[1] + found[2]]
+            assert found[0] == found[1] + k % 3 and own.sum() == found[3] and own[0] and own[-1] and 5 * found[3] >= 4 * found[2]
+
+
+def test_verbatim_part_before_a_similar_rest(spark, docs):
+    words = [f"w{k}" for k in range(130)]
+    text = words[:30] + [f"x{k}" if k % 10 in (2, 5, 8) else words[k] for k in range(30, 130)]
+    got = decontaminate.find_overlaps(docs([(1, " ".join(text))]), table(spark, [(7, " ".join(words))])).collect()
+    assert [(r.doc_id, r.item_id, r.doc_start, r.item_start) for r in got] == [(1, 7, 0, 0)] and got[0].n_equal >= 30
