@@ -7,7 +7,9 @@ its own parser and brace languages one small lexer, in batches of files.
 from __future__ import annotations
 
 import ast
+import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,6 +106,95 @@ def route_of_path(path: Column) -> Column:
     return F.when(whole.isNotNull() & ~private, F.concat(F.lit("/"), F.array_join(whole, "/")))
 
 
+def remix_route(path: Column) -> Column:
+    """The URL that a module below a routes folder serves, flat or nested; null for other files."""
+    inner = F.regexp_extract(path, r"^(?:.*?/)?(?:(?:app|src)/|(?<=^))routes/(.+)\.(?:tsx?|jsx?)$", 1)
+    parts = F.concat(F.split(F.regexp_extract(inner, r"^(.*/)?[^/]*$", 1), "/"), F.split(F.regexp_extract(inner, r"([^/]*)$", 1), r"\."))
+    shown = F.filter(parts, lambda x: ~x.isin("", "index", "route") & ~x.startswith("_"))
+    spoken = F.transform(shown, lambda x: F.when(x == "$", "*").otherwise(F.regexp_replace(x, r"^\$", ":")))
+    return F.when(inner != "", F.concat(F.lit("/"), F.array_join(spoken, "/")))
+
+
+def joined_route(base: Column, sub: Column) -> Column:
+    """Base and sub route with one slash between them."""
+    left, right = F.regexp_replace(F.trim(base), "^/+|/+$", ""), F.regexp_replace(F.trim(sub), "^/+", "")
+    return F.concat(F.lit("/"), F.array_join(F.filter(F.array(left, right), lambda x: x != ""), "/"))
+
+
+def _code_lines(files: DataFrame) -> DataFrame:
+    """Lines without outer white space; empty ones and comments are left out."""
+    rows = each_line(files).withColumn("text", F.trim(F.regexp_replace("text", r"[\t\r]", " ")))
+    return rows.where((F.col("text") != "") & ~F.col("text").rlike(r"^(//|/\*|\*)"))
+
+
+_QUOTED = r"""^[^)"'`]*["'`]([^"'`]*)["'`]"""
+
+
+def annotated_routes(files: DataFrame) -> DataFrame:
+    """(path, line, route, handler): Java and Kotlin annotations, the class's base before the method's path.
+
+    The annotations above a declaration are one group; the last base set holds.
+    """
+    rows = _code_lines(files)
+    by_file = Window.partitionBy("path").orderBy("line")
+    noted = F.col("text").startswith("@")
+    name = F.regexp_extract("text", r"^@(\w+)(?=$|[(\s])", 1)
+    rows = rows.withColumns({"noted": noted, "name": name, "value": F.regexp_extract("text", _QUOTED, 1)})
+    rows = rows.withColumn("g", F.coalesce(F.sum(F.when(F.col("noted"), 0).otherwise(1)).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    verb = F.col("noted") & F.col("name").rlike("^(Get|Post|Put|Delete|Patch|Head|Options|Route|GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$")
+    placed = F.col("noted") & (F.col("name") == "Path")
+    own = rows.groupBy("path", "g").agg(
+        F.min(F.when(verb | placed, F.col("line"))).alias("line"),
+        F.max(verb).alias("verb"),
+        F.min_by("value", F.when((verb | placed) & (F.col("value") != ""), F.col("line"))).alias("sub"),
+        F.min_by("value", F.when(placed, F.col("line"))).alias("place"),
+        F.max_by("value", F.when(F.col("noted") & F.col("name").isin("Controller", "RequestMapping"), F.col("line"))).alias("base"),
+        F.max(F.when(~F.col("noted"), F.col("text"))).alias("text"),
+    )
+    is_class = F.col("text").rlike(r"(^|\s)class(\s|$)")
+    own = own.withColumn("base", F.last(F.coalesce("base", F.when(is_class, F.col("place"))), ignorenulls=True).over(Window.partitionBy("path").orderBy("g")))
+    before = F.substring_index("text", "(", 1)
+    handler = F.coalesce(F.nullif(F.regexp_extract(before, r"\bfun\s+(\w+)", 1), F.lit("")), F.regexp_extract(before, r"(\w+)\W*$", 1))
+    found = own.where(F.col("verb") & ~is_class & F.col("text").contains("(")).withColumn("handler", handler)
+    return found.where("handler not in ('', 'if', 'for', 'while', 'switch', 'return', 'catch', 'new')").select("path", "line", joined_route(F.coalesce("base", F.lit("")), F.coalesce("sub", F.lit(""))).alias("route"), "handler")
+
+
+def _calls(files: DataFrame, call: str) -> DataFrame:
+    """(path, line, route, handler) of each match of ``call`` (1: route, 2: handler, none for inline functions)."""
+    every = lambda k: F.regexp_extract_all("text", F.lit(call), F.lit(k))
+    rows = _code_lines(files).select("path", "line", F.explode(F.arrays_zip(every(1).alias("route"), every(2).alias("handler"))).alias("m"))
+    handler = F.regexp_replace("m.handler", "^[.:]+|[.:]+$", "")
+    return rows.select("path", "line", "m.route", F.when(~handler.isin("", "async", "function", "func", "fn", "static", "delegate", "new"), handler).alias("handler"))
+
+
+def minimal_api_routes(files: DataFrame) -> DataFrame:
+    """ASP.NET calls such as app.MapGet("/x", Handler)."""
+    return _calls(files, r"""\.Map(?:Get|Post|Put|Delete|Patch|Methods)?\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_$][\w.:$]*)(?![\w.:$])(?!\s*=>))?""")
+
+
+def rust_routes(files: DataFrame) -> DataFrame:
+    """Axum's .route("/x", get(handler)) and Poem's .at("/x", get(handler)), all of each line."""
+    return _calls(files, r"""\.(?:route|at)\(\s*r?#*"(/[^"]*)"#*(?:\s*,\s*[\w:.]+\(\s*([\w:.]+))?""")
+
+
+def php_routes(files: DataFrame) -> DataFrame:
+    """Slim's $app->get("/x", Handler) and Symfony's #[Route("/x")], bound to the declaration below it."""
+    slim = _calls(files, r"""\$(?:app|group|router)(?:->|\.)(?:get|post|put|delete|patch|options|any|map)\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_][\w.:$]*)(?![\w.:$(])(?!\s*(?:=>|\()))?""")
+    by_file = Window.partitionBy("path").orderBy("line")
+    rows = _code_lines(files).where(~F.col("text").startswith("#") | F.col("text").startswith("#["))
+    rows = rows.withColumn("route", F.when(F.col("text").rlike(r"^#\[Route ?\("), F.nullif(F.regexp_extract("text", _QUOTED, 1), F.lit(""))))
+    rows = rows.withColumn("next", F.first(F.when(~F.col("text").startswith("#["), F.col("text")), ignorenulls=True).over(by_file.rowsBetween(1, Window.unboundedFollowing)))
+    bound = rows.where("route is not null").select("path", "line", "route", F.regexp_extract("next", r"\b(?:function|class)\s+(\w+)", 1).alias("handler"))
+    return slim.unionByName(bound.where("handler <> ''"))
+
+
+def handler_symbols(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``symbols`` (ROW facts) and a one-line function for the first route of each handler that its file doesn't declare."""
+    named = routes.withColumn("name", F.regexp_extract("handler", r"(\w+)$", 1)).where("name <> ''")
+    lacking = named.join(symbols.where("fact = 'symbol'").select("path", "name"), ["path", "name"], "left_anti").groupBy("path", "name").agg(F.greatest(F.min("line"), F.lit(1)).cast("int").alias("start_line"))
+    return symbols.unionByName(lacking.select("path", F.lit("symbol").alias("fact"), "name", F.lit("function").alias("detail"), "start_line", F.col("start_line").alias("end_line")))
+
+
 _BRACE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _DECLARED = re.compile(
     r"^[ \t]*(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|internal|static|abstract|final|async|override|open|data|sealed|partial|unsafe|const|inline|virtual)\s+)*"
@@ -114,14 +205,139 @@ _KIND = {"trait": "interface", "protocol": "interface", "fn": "function", "func"
 _IMPORT = re.compile(r"""^[ \t]*(?:import\s[^'"\n]*?from\s*["']([^"']+)["']|import\s*["']([^"']+)["']|(?:.*?\brequire\()["']([^"']+)["']|import\s+(?:static\s+)?([\w.]+)\s*;?|use\s+([\w:\\]+)|using\s+([\w.]+)\s*;|#include\s*"([^"]+)"|(?:export\s[^'"\n]*?from\s*)["']([^"']+)["'])""", re.M)
 
 
-def _blank(text: str) -> str:
+#: Rust has lifetimes, which are no open quotes, and raw strings.
+_RUST = re.compile(r"""//[^\n]*|/\*.*?\*/|r(#+)".*?"\1|"(?:\\.|[^"\\])*"|'(?:\\[^\n]*?|[^'\\\n])'""", re.S)
+_INSIDE = {"javascript": r"\$\{([^{}]*)\}", "kotlin": r"\$\{([^{}]*)\}|\$([^\W\d]\w*)", "swift": r"\\\(([^()]*)\)", "csharp": r"\{([^{}:]*)[^{}]*\}"}
+_WORD = re.compile(r"(?<![\w$])[^\W\d][\w$]*")
+#: Reserved in all brace languages; the others' keywords may be names elsewhere.
+_RESERVED = frozenset(("if", "else", "for", "return", "break", "continue"))
+#: A body, the end of a statement, an empty line, the next declaration or the end of the text.
+_HEAD_END = re.compile(r"[{};]|\n(?=\s*\n)|\n(?=[ \t]*(?:(?:public|private|protected|internal|static|abstract|final|open|data|sealed|override|export)\s+)*(?:class|interface|struct|enum|object|protocol|fun|func|function|val|var|let|const|import)\b)|\Z")
+_TYPE = r"[\w$.:\\]+"
+
+
+def _blank(text: str, language: str = "javascript") -> str:
     """The text with comments and strings blanked, line breaks kept, so that braces and words in them don't count."""
-    return _BRACE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    return (_RUST if language == "rust" else _BRACE).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def _types(text: str) -> list[tuple[str, bool]]:
+    """(last name, is called) of each type of a comma-separated list; type arguments, call arguments and modifiers don't count."""
+    while (less := re.sub(r"<[^<>]*>", "", text)) != text:
+        text = less
+    parts, level = [""], 0
+    for c in text:
+        level -= c in ")]}"
+        if c == "," and level == 0:
+            parts.append("")
+        elif level == 0:
+            parts[-1] += c
+        level += c in "([{"
+    out = []
+    for part in parts:
+        if words := re.findall(_TYPE, re.split(r"\b(?:where|by)\b", part)[0]):
+            out.append((re.split(r"[.:\\]+", words[-1])[-1], "(" in part))
+    return out
 
 
-def brace_facts(path: str, text: str) -> list[tuple]:
-    """Facts of one file of a brace language: declared symbols with their line spans, and imports."""
-    clean, out = _blank(text), []
+def _parents(kind: str, head: str, language: str) -> Iterator[tuple[str, str]]:
+    """(fact, parent) of a declaration's head, the text between its name and its body.
+
+    Where a language has one list for both, a class's called (Kotlin), first
+    (Swift, C++ all) or not I-named (C#) parent is extended.
+    """
+    head = re.sub(r"^\s*<(?:[^<>]|<[^<>]*>)*>", "", head)
+    if language in ("javascript", "java", "php"):
+        for fact, names in re.findall(r"\b(extends|implements)\s+(.*?)(?=\b(?:extends|implements|permits)\b|$)", head, re.S):
+            for name, _ in _types(names):
+                yield fact, name
+        return
+    if language not in ("kotlin", "csharp", "swift", "cpp") or (kind == "enum" and language in ("csharp", "cpp")):
+        return
+    lead = re.match(r"\s*(?:(?:private|protected|internal|public)?\s*constructor\s*)?(?=\()", head)
+    if lead:
+        level = 0
+        for i in range(lead.end(), len(head)):
+            level += {"(": 1, ")": -1}.get(head[i], 0)
+            if level == 0:
+                head = head[i + 1 :]
+                break
+    if ":" not in head:
+        return
+    for i, (name, called) in enumerate(_types(head.split(":", 1)[1])):
+        faces = {"kotlin": not called, "csharp": re.match(r"I[A-Z]", name) is not None, "swift": i > 0, "cpp": False}[language]
+        yield ("extends" if kind in ("interface", "protocol") or (kind not in ("struct", "enum") and not faces) or language == "cpp" else "implements"), name
+
+
+def _variables(clean: str, at: int) -> Iterator[str]:
+    """Names that the declarators from ``at`` on bind, patterns included, up to the end of the statement."""
+    depth, angle, start, value, last = 0, 0, at, False, ""
+
+    def bound(part: str) -> list[str]:
+        part = part.strip()
+        if part[:1] not in ("{", "["):
+            return re.findall(r"^[\w$]+", part)
+        return re.findall(r"(?<![\w$])([^\W\d][\w$]*)(?!\w|\s*:)", re.sub(r"=[^,}\]]*", "", part))
+
+    for i in range(at, len(clean) + 1):
+        c = clean[i] if i < len(clean) else ";"
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "<" and re.match(r"[\w\[{]", clean[i + 1 : i + 2]):
+            angle += 1
+        elif c == ">" and clean[i - 1] not in "=-" and angle:
+            angle -= 1
+        over = c == ";" or depth < 0 or (c == "\n" and last not in ",=+-*/&|>?:" and re.compile(r"\s*(?![\s,=.?:])").match(clean, i) is not None)
+        last = c if c.strip() else last
+        if depth <= 0 and (over or (not angle and (c == "," or (c == "=" and not value)))):
+            if not value:
+                yield from bound(clean[start:i])
+            value, start = c == "=", i + 1
+            if over:
+                return
+
+
+_EXPORTED = re.compile(r"^[ \t]*export\s+(?:(default)\b|(?:declare\s+)?(?:abstract\s+|async\s+|const\s+(?=enum))*(?:function\s*\*?|class|interface|type|enum|namespace)\s+(?!\{)([\w$]+)|(?:declare\s+)?(?:const|let|var)\s+(?=\S)|(?:type\s+)?\{([^}]*)\}|\*\s*as\s+([\w$]+))", re.M)
+
+
+def _exports(clean: str, language: str, symbols: list[tuple]) -> Iterator[tuple[str, int]]:
+    """(name, offset) of what a file offers to others.
+
+    JavaScript: export statements. Rust: top-level pub items. Go: the package
+    and top-level names in capitals. Others: the package and all declared symbols.
+    """
+    if language == "javascript":
+        for m in _EXPORTED.finditer(clean):
+            if m[3] is not None:
+                names = [re.sub(r"^type\s+(?=\w)(?!as\b)", "", x.strip()) for x in m[3].split(",")]
+                yield from ((re.split(r"\s+as\s+", x)[-1], m.start()) for x in names if x)
+            elif name := m[1] or m[2] or m[4]:
+                yield name, m.start()
+            else:
+                yield from ((x, m.start()) for x in _variables(clean, m.end()))
+        return
+    if language == "rust":
+        yield from ((m[1], m.start()) for m in re.finditer(r"^pub\s+(?:(?:async|const|unsafe)\s+)*(?:fn|struct|enum|trait|type|const|static)\s+(?:mut\s+)?(\w+)", clean, re.M))
+        return
+    if m := re.search(r"^[ \t]*package\s+([\w.]+)", clean, re.M) if language in ("go", "java", "kotlin") else None:
+        yield f"package:{m[1]}", m.start()
+    if language == "go":
+        yield from ((m[1], m.start()) for m in re.finditer(r"^(?:func|type|const|var)\s+([^\W\d_]\w*)", clean, re.M) if m[1][0].isupper())
+    else:
+        yield from symbols
+
+
+def brace_facts(path: str, text: str, language: str = "javascript") -> list[tuple]:
+    """Facts of one file of a brace language: declared symbols with their line spans, imports, exports, parents and references.
+
+    A reference is any word outside comments and strings, or inside an
+    interpolation, that isn't reserved everywhere; readers join it with the symbols.
+    """
+    clean, out, declared = _blank(text, language), [], []
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    at_line = lambda at: bisect_right(breaks, at - 1) + 1
     for m in _DECLARED.finditer(clean):
         start = clean.count("\n", 0, m.start(1)) + 1
         at, level, end = clean.find("{", m.end()), 0, m.end()
@@ -135,10 +351,26 @@ def brace_facts(path: str, text: str) -> list[tuple]:
             else:
                 out.append((path, "warning", "partial_parse", None, start, start))
         out.append((path, "symbol", m[2], _KIND.get(m[1], m[1]), start, clean.count("\n", 0, end) + 1))
+        declared.append((m[2], m.start(1)))
+        if m[1] in ("class", "interface", "struct", "enum", "protocol", "object"):
+            body = _HEAD_END.search(clean, m.end())
+            out += [(path, fact, m[2], name, start, start) for fact, name in _parents(m[1], clean[m.end() : body.start()], language)]
+    if language == "rust":
+        for m in re.finditer(r"^[ \t]*(?:unsafe\s+)?impl\b\s*(?:<(?:[^<>]|<[^<>]*>)*>)?\s*!?([\w:]+)(?:<[^{;]*?>)?\s+for\s+&?(?:'\w+\s+)?(?:mut\s+)?([\w:]+)", clean, re.M):
+            out.append((path, "implements", m[2].split("::")[-1], m[1].split("::")[-1], at_line(m.start(2)), at_line(m.start(2))))
     for m in _IMPORT.finditer(text):
         if clean[m.start() : m.end()].strip():
             line = text.count("\n", 0, m.start()) + 1
             out.append((path, "import", next(x for x in m.groups() if x), None, line, line))
+    offered = {(name, at_line(at)) for name, at in _exports(clean, language, declared)}
+    out += [(path, "export", name, None, line, line) for name, line in sorted(offered, key=lambda x: (x[1], x[0]))]
+    used = {(m[0], at_line(m.start())) for m in _WORD.finditer(clean)}
+    if inside := _INSIDE.get(language):
+        for m in _BRACE.finditer(text):
+            if m[0][0] == "`" if language == "javascript" else m[0][0] == '"' and (language != "csharp" or "$" in text[max(0, m.start() - 2) : m.start()]):
+                for k in re.finditer(inside, m[0]):
+                    used |= {(w, at_line(m.start() + k.start())) for w in _WORD.findall(_blank(k[k.lastindex or 0]))}
+    out += [(path, "reference", name, None, line, line) for name, line in sorted(used, key=lambda x: (x[1], x[0])) if name not in _RESERVED]
     return out
 
 
@@ -163,6 +395,8 @@ def python_facts(path: str, text: str) -> list[tuple]:
         elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
             out.append((path, "reference", node.id, None, node.lineno, node.lineno))
     out += [(path, "symbol", f.name, "function", f.lineno, f.end_lineno) for f in module.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)]
+    own = [f for f in module.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    out += [(path, "export", f.name, None, f.lineno, f.lineno) for f in own if not f.name.startswith("_")]
     return sorted(set(out), key=lambda r: (r[4], r[1], r[2], str(r[3])))
 
 
@@ -178,7 +412,7 @@ def component_facts(path: str, text: str) -> list[tuple]:
     return out
 
 
-EXTRACTORS = {"python": python_facts, "sfc": component_facts} | dict.fromkeys(("javascript", "rust", "go", "java", "kotlin", "csharp", "php", "swift", "c", "cpp"), brace_facts)
+EXTRACTORS = {"python": python_facts, "sfc": component_facts} | {x: functools.partial(brace_facts, language=x) for x in ("javascript", "rust", "go", "java", "kotlin", "csharp", "php", "swift", "c", "cpp")}
 
 
 def code_facts(files: DataFrame) -> DataFrame:

@@ -100,6 +100,49 @@ def test_code_facts(spark):
     assert not [r for r in got if r[2] in ("Ghost", "No", "no")]
 
 
+FACTS = {
+    "javascript": ("import {a} from './x';\nexport const f = <T, U>(x: T) => go(x), k = 2;\nexport const { p, q: r, ...rest } = obj;\nexport default class Foo extends Base<T> implements A<B, C>, D {\n  run() { return `hi ${who(1)}`; } // ghost\n}\nexport { u, v as w } from './m';\n",
+                   {("export", x) for x in ("f", "k", "p", "r", "rest", "default", "u", "w")}, {("extends", "Foo", "Base"), ("implements", "Foo", "A"), ("implements", "Foo", "D")}, {("go", 2), ("who", 5), ("obj", 3)}),
+    "java": ("package com.x;\nclass S extends Base<T> implements Runnable, java.io.Closeable {\n  void f() { helper.call(); }\n}\n", {("export", "package:com.x"), ("export", "S")}, {("extends", "S", "Base"), ("implements", "S", "Runnable"), ("implements", "S", "Closeable")}, {("helper", 3), ("call", 3)}),
+    "kotlin": ("class C(val x: Int = f(1)) : Base(x, g(2)), Face {\n fun m() { println(\"${calc(y)}\") }\n}\n", {("export", "C"), ("export", "m")}, {("extends", "C", "Base"), ("implements", "C", "Face")}, {("calc", 2), ("println", 2)}),
+    "csharp": ("class C : Base<int, X>, IFace {\n void F() { Log(1); }\n}\n", {("export", "C")}, {("extends", "C", "Base"), ("implements", "C", "IFace")}, {("Log", 2)}),
+    "swift": ("class C: Base, P {\n}\n", {("export", "C")}, {("extends", "C", "Base"), ("implements", "C", "P")}, {("Base", 1)}),
+    "cpp": ("class C : public Base, private ns::Other<int> {\n};\n", {("export", "C")}, {("extends", "C", "Base"), ("extends", "C", "Other")}, {("ns", 1)}),
+    "rust": ("pub fn f<'a>(x: &'a str) -> &'a str { call(x) }\nfn private() {}\nimpl<T> fmt::Display for S { }\nimpl S { }\n", {("export", "f")}, {("implements", "S", "Display")}, {("call", 1)}),
+    "go": ("package main\nfunc Run() { helper() }\nfunc low() {}\n", {("export", "package:main"), ("export", "Run")}, set(), {("helper", 2)}),
+    "php": ("<?php\nclass U extends Base implements A, \\N\\B {\n function f() { return helper($x); }\n}\n", {("export", "U"), ("export", "f")}, {("extends", "U", "Base"), ("implements", "U", "A"), ("implements", "U", "B")}, {("helper", 3)}),
+    "python": ("class A(B):\n  def m(self):\n    return y\ndef f(): pass\ndef _g(): pass\n", {("export", "A"), ("export", "f")}, {("extends", "A", "B")}, {("y", 3)}),
+}
+
+
+def test_exports_parents_and_references(spark):
+    files = spark.createDataFrame([(k, k, t) for k, (t, *_) in FACTS.items()], "path string, language string, content string")
+    rows = extract.code_facts(files).collect()
+    for k, (_, exports, parents, used) in FACTS.items():
+        own = [r for r in rows if r.path == k]
+        assert {(r.fact, r.name) for r in own if r.fact == "export"} == exports, k
+        assert {(r.fact, r.name, r.detail) for r in own if r.fact in ("extends", "implements")} == parents, k
+        assert used <= {(r.name, r.start_line) for r in own if r.fact == "reference"}, k
+        assert not {"ghost", "return"} & {r.name for r in own if r.fact == "reference"}
+
+
+def test_framework_routes(spark):
+    file = lambda text: spark.createDataFrame([("f", text)], "path string, content string")
+    routes = lambda df: sorted((r.route, r.handler, r.line) for r in df.collect())
+    assert routes(extract.minimal_api_routes(file('app.MapGet("/a", Get);\n// app.MapPut("/no", X)\napp.MapPost("/b", async x => 1);'))) == [("/a", "Get", 1), ("/b", None, 3)]
+    assert routes(extract.rust_routes(file('Router::new().route("/a", get(h::one)).route("/b", post(two))\n.at("no", get(x))'))) == [("/a", "h::one", 1), ("/b", "two", 1)]
+    assert routes(extract.php_routes(file("#[Route('/a', name: 'x')]\n#[Other]\npublic function show() {}\n$app->get('/b', 'skip');\n$app->post('/c', make);\n#[Route('/no')]\n$x = 1;\n"))) == [("/a", "show", 1), ("/b", None, 4), ("/c", "make", 5)]
+    java = '@Controller("/base")\npublic class A {\n  @Get("/x")\n\n  @Other\n  public Res index(int a) {}\n  @Get\n  int field;\n  void no() {}\n}\n'
+    assert routes(extract.annotated_routes(file(java))) == [("/base/x", "index", 3)]
+    assert routes(extract.annotated_routes(file('@Path("/r")\nclass B {\n @GET\n @Path("{id}")\n fun one(id: Int) {}\n @POST\n fun two() {}\n}\n'))) == [("/r", "two", 6), ("/r/{id}", "one", 3)]
+    facts = spark.createDataFrame([("f", "symbol", "one", "function", 5, 5)], extract.ROW)
+    added = extract.handler_symbols(extract.rust_routes(file('.route("/a", get(one))\n.route("/b", get(m::two))\n.route("/c", get(m::two))')), facts)
+    assert sorted((r.name, r.start_line) for r in added.collect()) == [("one", 5), ("two", 2)]
+    names = ["app/routes/posts.$id.tsx", "routes/_index.tsx", "src/routes/a/_auth.$.ts", "x/lib/routes/a.ts", "app/routes/style.css"]
+    rows = spark.createDataFrame(list(enumerate(names)), "k int, path string").select("k", extract.remix_route(F.col("path")).alias("r")).orderBy("k").collect()
+    assert [r.r for r in rows] == ["/posts/:id", "/", "/a/*", None, None]
+
+
 def test_line_languages(spark):
     file = lambda text: spark.createDataFrame([("f", text)], "path string, content string")
     names = lambda df: sorted((r.fact, r.name) for r in df.collect())
