@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.text import as_bytes, odd_weights, slices, window_hashes, word_hashes
 
-#: 1: the token counts; 0: any token may stand there.
-MASKS = ("1111111", "11101001101", "11010110011", "10111001011")
+#: 1: the token counts; 0: any token may stand there. Chosen so that every overlap
+#: that MIN_EQUAL and MIN_SHARE accept has a hit, wherever its substitutions are.
+MASKS = ("1111011", "1110100011", "11000011011", "1110111")
 #: Tokens of an overlap that must be equal; fewer only if the item itself is shorter.
 MIN_EQUAL = 12
 #: Equal tokens of an overlap, as a share of its length.

@@ -90,3 +90,21 @@ def test_verbatim_part_before_a_similar_rest(spark, docs):
     text = words[:30] + [f"x{k}" if k % 10 in (2, 5, 8) else words[k] for k in range(30, 130)]
     got = decontaminate.find_overlaps(docs([(1, " ".join(text))]), table(spark, [(7, " ".join(words))])).collect()
     assert [(r.doc_id, r.item_id, r.doc_start, r.item_start) for r in got] == [(1, 7, 0, 0)] and got[0].n_equal >= 30
+
+
+def test_no_accepted_overlap_is_without_a_hit():
+    """The least substitutions that leave no hit, by length; as its parts add up, 45 tokens prove it for all lengths."""
+    span = max(map(len, decontaminate.MASKS))
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    least = {0: 0}
+    for n in range(1, 61):
+        new = {}
+        for last, count in least.items():
+            for same in (0, 1):
+                seen = last << 1 | same
+                if not any(seen & m == m for m in masks):
+                    key = seen & ((1 << (span - 1)) - 1)
+                    new[key] = min(new.get(key, n), count + 1 - same)
+        least = new
+        if n >= decontaminate.MIN_EQUAL:
+            assert min(least.values()) > min(n - decontaminate.MIN_EQUAL, n // 5), n
