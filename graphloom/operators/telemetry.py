@@ -50,11 +50,15 @@ def recent(calls: DataFrame, key: str, order: list[Column], keep: int = 100) ->
 def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:
     """(key, ema): values folded in order, each new one with weight alpha; the first stands alone.
 
-    A key's values are one array, so keys are runs of bounded length.
+    A null gives null and the next value stands alone again. Each value's weight
+    follows from its distance to the end, so no task holds a key's values.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    folded = F.aggregate(ordered, F.lit(None).cast("double"), lambda done, x: F.when(done.isNull(), x).otherwise(alpha * x + (1 - alpha) * done))
-    return samples.groupBy(key).agg(F.round(folded, 6).alias("ema"))
+    back = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("_v").desc())
+    placed = samples.withColumn("_v", F.col(value).cast("double")).withColumns({"_d": F.row_number().over(back) - 1, "_nulls": F.count_if(F.col("_v").isNull()).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    own = F.when(F.col("_nulls") == 0, F.col("_v"))
+    share = F.pow(F.lit(1 - alpha), F.col("_d"))
+    first = F.max_by(own * share, F.when(own.isNotNull(), F.col("_d")))
+    return placed.groupBy(key).agg(F.round(F.sum(own * share) * alpha + first * (1 - alpha), 6).alias("ema"))
 
 
 def percentile_rank(samples: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:

@@ -178,6 +178,21 @@ def test_smoothing(spark):
     assert {r.k: r.ema for r in telemetry.smoothed(rows, "k", "n", "v").collect()} == {"a": 13.0, "b": None}
 
 
+def test_smoothing_equals_a_fold_without_arrays(spark, capsys):
+    runs = {"a": [1.0, 5.0, 2.5, 8.0, 0.5], "b": [3.0, None, 4.0, 6.0], "c": [1.0, None], "d": [7.0], "e": [float(k % 17) for k in range(3000)]}
+    rows = spark.createDataFrame([(k, n, v) for k, values in runs.items() for n, v in enumerate(values)], "k string, n int, v double").repartition(3)
+    want = {}
+    for k, values in runs.items():
+        done = None
+        for x in values:
+            done = x if done is None else None if x is None else 0.3 * x + 0.7 * done
+        want[k] = done
+    got = telemetry.smoothed(rows, "k", "n", "v")
+    assert {r.k: r.ema for r in got.collect()} == {k: x if x is None else round(x, 6) for k, x in want.items()}
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
 def test_pending_and_debounce(spark):
     marks = spark.createDataFrame([("a", 0), ("a", 100), ("b", 0)], "path string, marked_at long")
     assert sorted(r.path for r in live.due(marks, 200).collect()) == ["b"]
