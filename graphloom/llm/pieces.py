@@ -8,6 +8,11 @@ batch; the backward pass draws, for each occurrence, the last piece, then the
 one before it, and so on, each in proportion to what reaches it. The numbers
 drawn are hashes of the row key, the run's place in the text and the step, so a
 row is cut the same way wherever and whenever it is processed.
+
+Short runs go through the lattice together, as arrays. A run above SHORT goes
+alone, in blocks: the forward pass keeps the last sums of each block, scaled
+into range, and the backward pass rebuilds the blocks from the last to the
+first. No run is cut, whatever its length.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A piece of merge rank r has weight (r + SHIFT) ** -alpha; pieces of a BPE model have ranks, not probabilities.
 SHIFT = 2.7
 ALPHA = 1.0
-#: Longer runs are cut, which bounds the lattice; decoding doesn't depend on cuts.
-RUN = 64
-#: Weights are multiplied by this for each character, so that sums of a whole run stay in the range of doubles.
-PER_CHARACTER = 1000.0
+#: Runs of at most so many characters are sampled together; the sums of longer ones would leave the range of doubles.
+SHORT = 64
+#: Weights are multiplied by this for each character, so that sums of a short run stay in that range.
+PER_CHARACTER = 100.0
+#: Characters of a longer run whose lattice is held at once.
+BLOCK = 1 << 14
 #: Bytes of text that are sampled at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 _U = np.uint64
 _STEP, _PLACE = _U(0xD1B54A32D192ED03), _U(0x9E3779B97F4A7C15)
@@ -112,11 +119,32 @@ def _runs(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     start = line.copy()
     start[1:] |= line[:-1] | (space[1:] & ~space[:-1])
     start[doc_starts] = True
-    place = np.arange(len(chars))
-    start |= (place - np.maximum.accumulate(np.where(start, place, 0))) % RUN == 0
     return np.flatnonzero(start)
 
 
+def _edges(chars: np.ndarray, at: np.ndarray, left: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, pieces), each (longest, len(chars)): the piece of n characters that starts at each place of ``at``, at row n - 1.
+
+    left says how many characters of its run follow from a place on. A single
+    character always has a weight.
+    """
+    edges = np.zeros((vocab.longest, len(chars)), np.float32)
+    pieces = np.full((vocab.longest, len(chars)), vocab.none, np.uint16)
+    hashes = np.zeros(len(at), np.uint64)
+    for n in range(1, vocab.longest + 1):
+        hashes = hashes * _BASE + chars[at + n - 1].astype(np.uint64) + _U(1)
+        found = vocab.find(hashes, n)
+        piece = np.minimum(found, vocab.none)
+        pieces[n - 1, at] = piece
+        weight = vocab.weights[piece]
+        if n == 1:
+            weight[weight == 0] = vocab.low
+        edges[n - 1, at] = weight * PER_CHARACTER**n
+        more = (found < vocab.entries) & (left[at] > n)
+        at, hashes = at[more], hashes[more]
+    return edges, pieces
+
+
 class Lattice:
     """The lattices of some runs, laid out one after the other with a free place after each.
 
@@ -140,21 +168,7 @@ class Lattice:
         left[margin:] = np.repeat(self.ends, room) - places
         self.chars = np.zeros(size, np.uint32)
         self.chars[margin:] = chars[np.minimum(places + shift, len(chars) - 1)]
-        self.edges = np.zeros((vocab.longest, size), np.float32)
-        self.pieces = np.full((vocab.longest, size), vocab.none, np.uint16)
-        at = np.flatnonzero(left)
-        hashes = np.zeros(len(at), np.uint64)
-        for n in range(1, vocab.longest + 1):
-            hashes = hashes * _BASE + self.chars[at + n - 1].astype(np.uint64) + _U(1)
-            found = vocab.find(hashes, n)
-            piece = np.minimum(found, vocab.none)
-            self.pieces[n - 1, at] = piece
-            weight = vocab.weights[piece]
-            if n == 1:
-                weight[weight == 0] = vocab.low
-            self.edges[n - 1, at] = weight * PER_CHARACTER**n
-            more = (found < vocab.entries) & (left[at] > n)
-            at, hashes = at[more], hashes[more]
+        self.edges, self.pieces = _edges(self.chars, np.flatnonzero(left), left, vocab)
         self.forward = np.zeros(size)
         self.forward[self.begins] = 1
         order = np.argsort(-lengths, kind="stable")
@@ -173,6 +187,72 @@ class Lattice:
         self.shares[self.shares >= self.shares[:, -1:]] = 1
 
 
+class LongRun:
+    """One run of any length; see the module for its blocks."""
+
+    def __init__(self, chars: np.ndarray, vocab: Vocabulary):
+        self.chars, self.vocab = chars, vocab
+        self.windows = [[0.0] * (vocab.longest - 1) + [1.0]]
+        for k in range((len(chars) - 1) // BLOCK):
+            self.windows.append(self._forward(k)[0])
+
+    def _forward(self, k: int, keep: bool = False) -> tuple[list[float], list, np.ndarray | None]:
+        """The last sums of block k, scaled so that the greatest is 1, and, to keep, shares and pieces.
+
+        shares[p] lists (share of the sum with last pieces of n characters at
+        most, n) for the end p; pieces[n - 1, q] is the piece that starts at q.
+        Places count from ``longest`` before the block.
+        """
+        reach = self.vocab.longest
+        low, high = k * BLOCK, min((k + 1) * BLOCK, len(self.chars))
+        first = max(0, low - reach)
+        own = np.zeros(reach + high - low + reach, np.uint32)
+        own[first - low + reach : reach + high - low] = self.chars[first:high]
+        left = np.zeros(len(own), np.int64)
+        left[first - low + reach : reach + high - low] = np.arange(high - first, 0, -1)
+        edges, pieces = _edges(own, np.flatnonzero(left), left, self.vocab)
+        ends: list[list] = [[] for _ in range(reach + high - low + 1)]
+        rows, starts = np.nonzero(edges)
+        for n, q, weight in zip((rows + 1).tolist(), starts.tolist(), edges[rows, starts].tolist(), strict=True):
+            if reach < q + n < len(ends):
+                ends[q + n].append((n, q, weight))
+        sums, shares = [0.0, *self.windows[k]], []
+        for p in range(reach + 1, len(ends)):
+            total, own_shares = 0.0, []
+            for n, q, weight in ends[p]:
+                if sums[q] > 0:
+                    total += sums[q] * weight
+                    own_shares.append((total, n))
+            sums.append(total)
+            if keep:
+                shares.append([(x / total, n) for x, n in own_shares[:-1]] + [(1.0, own_shares[-1][1])])
+            if not 1e-100 < total < 1e100:
+                sums[p - reach + 1 :] = [x / total for x in sums[p - reach + 1 :]]
+        tail = sums[-reach:]
+        return [x / max(tail) for x in tail], shares, pieces if keep else None
+
+    def draw(self, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and their first characters, last one first."""
+        reach, found, points = self.vocab.longest, [], []
+        at = len(self.chars)
+        units: list[float] = []
+        for k in reversed(range(len(self.windows))):
+            low = k * BLOCK
+            if at <= low:
+                continue
+            _, shares, pieces = self._forward(k, keep=True)
+            while at > low:
+                if len(found) == len(units):
+                    steps = np.arange(len(units) + 1, len(units) + 1025, dtype=np.uint64)
+                    units += ((mix(seed + steps * _STEP) >> _U(11)) * 2.0**-53).tolist()
+                unit = units[len(found)]
+                n = next(n for share, n in shares[at - low - 1] if unit < share)
+                at -= n
+                found.append(pieces[n - 1, at - low + reach])
+                points.append(self.chars[at])
+        return np.array(found, np.uint16), np.array(points, np.uint32)
+
+
 def sample(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after the other, and how many each has; null and empty texts have none."""
     sizes = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)
@@ -186,14 +266,16 @@ def sample(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary) -> tupl
     owner = np.searchsorted(doc_starts, starts, "right") - 1
     place = np.arange(len(starts)) - np.searchsorted(starts, doc_starts)[owner]
 
+    seeds = mix(mix(keys[full].astype(np.int64).view(np.uint64))[owner] + place.astype(np.uint64) * _PLACE)
     within = np.arange(len(chars)) - np.repeat(starts, lengths)
     names = np.add.reduceat(mix(chars.astype(np.uint64) + _U(1) + (within.astype(np.uint64) + _U(1)) * _PLACE), starts)
-    _, first, which = np.unique(names, return_index=True, return_inverse=True)
-    lattice = Lattice(chars, starts[first], lengths[first], vocab)
+    short = np.flatnonzero(lengths <= SHORT)
+    _, first, which = np.unique(names[short], return_index=True, return_inverse=True)
+    lattice = Lattice(chars, starts[short][first], lengths[short][first], vocab)
 
-    seeds = mix(mix(keys[full].astype(np.int64).view(np.uint64))[owner] + place.astype(np.uint64) * _PLACE)
-    at, begins = lattice.ends[which], lattice.begins[which]
-    active, steps, counts = np.arange(len(starts)), [], np.zeros(len(starts), np.int64)
+    at, begins = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    at[short], begins[short] = lattice.ends[which], lattice.begins[which]
+    active, steps, counts = short, [], np.zeros(len(starts), np.int64)
     while len(active):
         end = at[active]
         unit = (mix(seeds[active] + np.array([len(steps) + 1], np.uint64) * _STEP) >> _U(11)) * 2.0**-53
@@ -203,11 +285,16 @@ def sample(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary) -> tupl
         counts[active] += 1
         at[active] = start
         active = active[start > begins[active]]
+    alone = [(k, *LongRun(chars[starts[k] : starts[k] + lengths[k]], vocab).draw(seeds[k : k + 1])) for k in np.flatnonzero(lengths > SHORT).tolist()]
+    for k, piece, _ in alone:
+        counts[k] = len(piece)
 
     last = np.cumsum(counts)
     pieces, points = np.empty(last[-1], np.uint16), np.empty(last[-1], np.uint32)
     for k, (own, piece, char) in enumerate(steps):
         pieces[last[own] - 1 - k], points[last[own] - 1 - k] = piece, char
+    for k, piece, char in alone:
+        pieces[last[k] - len(piece) : last[k]], points[last[k] - len(piece) : last[k]] = piece[::-1], char[::-1]
     ids = vocab.ids[pieces]
     bare = ids < 0
     room = np.where(bare, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 1)
@@ -230,14 +317,10 @@ def join(ids: np.ndarray, vocab: Vocabulary) -> bytes:
 ENCODED = "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, text_sha256 string"
 
 
-def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
-    """ENCODED: sampled pieces of whole texts, a row per row of ``docs``, keyed by doc_id.
-
-    Null and empty texts have no pieces; a null doc_id keys like 0. Rows of
-    equal doc_id and text are cut alike. Characters without a piece, the
-    model's space mark among them, become byte pieces, so decode() restores
-    every text. Other columns are ignored.
-    """
+def _encoded(docs: DataFrame, model: str, alpha: float, back: bool) -> DataFrame:
+    """ENCODED and, on demand, decoded_sha256 and lossless, in one pass: a second Python stage would double the workers of a task."""
+    more = ", decoded_sha256 string, lossless boolean" if back else ""
+    names = [x.split()[0] for x in (ENCODED + more).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
@@ -245,34 +328,51 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFra
             for part in slices(batch, rows=1000, size=BATCH_BYTES):
                 texts = as_bytes(part.column(1))
                 ids, sizes = sample([x.decode() if x else None for x in texts], part.column(0).fill_null(0).to_numpy(), vocab)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array(sizes), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array([sha256(x or b"").hexdigest() for x in texts])],
-                    names=["doc_id", "piece_ids", "n_pieces", "n_bytes", "text_sha256"],
-                )
+                ends = np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                digests = [sha256(x or b"").hexdigest() for x in texts]
+                columns = [part.column(0), lists, pa.array(sizes), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array(digests)]
+                if back:
+                    decoded = [join(ids[end - n : end], vocab) for end, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                    columns.append(pa.array([sha256(x).hexdigest() for x in decoded]))
+                    columns.append(pa.array([x == (y or b"") for x, y in zip(decoded, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED + more)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+
+def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+    """ENCODED: sampled pieces of whole texts, a row per row of ``docs``, keyed by doc_id.
+
+    Null and empty texts have no pieces; a null doc_id keys like 0. Rows of
+    equal doc_id and text are cut alike. Characters without a piece, the
+    model's space mark among them, become byte pieces, so decode() restores
+    every text. Other columns are ignored.
+    """
+    return _encoded(docs, model, alpha, back=False)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """The columns of ``encoded`` and decoded string, from its column piece_ids; null ids decode to an empty text."""
+    """The columns of ``encoded`` and decoded string, from its column piece_ids; null ids decode to an empty text.
+
+    A column of ``encoded`` that is called decoded is replaced.
+    """
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index("piece_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, ALPHA)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                column = part.column(at)
-                flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                texts = pa.array([join(flat[a:b], vocab).decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
+            for part in slices(batch, "piece_ids", rows=500, size=BATCH_BYTES // 4):
+                texts = []
+                for k in range(part.num_rows):
+                    own = part.column(at)[k].values
+                    texts.append(join(own.to_numpy(zero_copy_only=False), vocab).decode() if own is not None else "")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
-    """encode() with decoded_sha256 and lossless, whether the decoded bytes are those of the text."""
-    digest = F.sha2("decoded", 256)
-    found = decode(encode(docs, model, alpha), model)
-    return found.withColumns({"decoded_sha256": digest, "lossless": digest == F.col("text_sha256")}).drop("decoded")
+    """encode() with decoded_sha256, made from the piece ids alone, and lossless, whether the decoded bytes are those of the text."""
+    return _encoded(docs, model, alpha, back=True)

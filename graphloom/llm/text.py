@@ -90,10 +90,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``rows`` rows and about ``size`` bytes of text."""
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes of text, or elements of a list column.
+
+    After the last slice, memory that Arrow's pool holds on to goes back.
+    """
     if batch.num_rows == 0:
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    own = batch.column(batch.schema.get_field_index(column))
+    lengths = pc.fill_null(pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own), 0)
     start, total = 0, 0
     for i, n in enumerate(lengths.to_pylist()):
         if i > start and (total + n > size or i - start >= rows):
@@ -101,6 +105,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, size:
             start, total = i, 0
         total += n
     yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def long_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
