@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ MIN_EQUAL = 12
 #: Equal tokens of an overlap, as a share of its length.
 MIN_SHARE = 0.8
 #: Bytes of benchmark text that are held by each task at once; a larger benchmark goes in blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Equal windows that are expanded at once.
+HITS = 1 << 18
 
 _SHARE = Fraction(MIN_SHARE).limit_denominator(1000)
 RESULT = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long"
@@ -63,18 +66,25 @@ class Seeds:
             self.tables.append((weights, found[order], item[order], at[order]))
             self.filter[found >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, position in the item, length of the mask) of each equal masked window."""
-        out = []
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(position, item, position in the item, length of the mask) of the equal masked windows, about HITS at a time."""
         for mask, (weights, found, item, at) in zip(self.masks, self.tables, strict=True):
             own = window_hashes(hashes, weights)
             where = np.flatnonzero(self.filter[own >> np.uint64(64 - _FILTER_BITS)])
             low, high = np.searchsorted(found, own[where], "left"), np.searchsorted(found, own[where], "right")
             count = high - low
             where, low, count = where[count > 0], low[count > 0], count[count > 0]
-            pick = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(where) else np.empty(0, np.int64)
-            out.append((np.repeat(where, count), item[pick], at[pick], np.full(len(pick), len(mask))))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            total = np.cumsum(count)
+            for part in np.split(np.arange(len(where)), np.flatnonzero(np.diff(total // HITS)) + 1):
+                n = count[part]
+                pick = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield np.repeat(where[part], n), item[pick], at[pick], len(mask)
+
+
+@lru_cache(1)
+def _seeds(held) -> Seeds:
+    """The seeds of a broadcast block, built once in a worker."""
+    return Seeds(held.value)
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
@@ -106,13 +116,15 @@ def overlaps(seeds: Seeds, ids: list, texts: list[bytes | None]) -> list[tuple]:
     hashes = [word_hashes(x) for x in texts]
     ends = np.cumsum([len(h) for h in hashes])
     every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    place, item, at, length = seeds.hits(every)
-    owner = np.searchsorted(ends, place, "right")
-    whole = place + length <= ends[owner] if len(place) else np.empty(0, bool)
     starts = ends - [len(h) for h in hashes]
-    near = np.unique(np.stack([owner[whole], item[whole], place[whole] - starts[owner[whole]] - at[whole]], axis=1), axis=0) if whole.any() else []
+    found = [np.empty((0, 3), np.int64)]
+    for place, item, at, length in seeds.hits(every):
+        owner = np.searchsorted(ends, place, "right")
+        whole = np.flatnonzero(place + length <= ends[owner])
+        found.append(np.unique(np.stack([owner[whole], item[whole], place[whole] - starts[owner[whole]] - at[whole]], axis=1), axis=0))
+    near = np.unique(np.concatenate(found), axis=0)
     best: dict = {}
-    for doc, which, shift in (x.tolist() for x in near):
+    for doc, which, shift in near.tolist():
         if found := best_overlap(hashes[doc], seeds.items[which][1], shift):
             key = (doc, which)
             if key not in best or (found[3], -found[0], -found[1]) > (best[key][3], -best[key][0], -best[key][1]):
@@ -142,7 +154,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(held.value)
+            seeds = _seeds(held)
             for batch in batches:
                 for part in slices(batch):
                     rows = overlaps(seeds, part.column(0).to_pylist(), as_bytes(part.column(1)))

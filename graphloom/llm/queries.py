@@ -121,6 +121,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_TOKENS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: Every stretch of every diagonal of equal tokens, judged by the rule itself.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), i AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d), it AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS q FROM i),
+diagonals AS (SELECT doc_id, item_id, p - q AS shift, least({decontaminate.MIN_EQUAL}, any_value(n)) AS least_equal, list(q ORDER BY q) AS places FROM dt JOIN it USING (x) GROUP BY 1, 2, 3 HAVING count(*) >= least({decontaminate.MIN_EQUAL}, any_value(n))),
+ends AS (SELECT *, unnest(range(1, len(places) + 1)) AS b FROM diagonals),
+stretches AS (SELECT *, unnest(range(1, b + 1)) AS a FROM ends),
+accepted AS (SELECT doc_id, item_id, places[a] + shift AS doc_start, places[a] AS item_start, places[b] - places[a] + 1 AS n_tokens, b - a + 1 AS n_equal FROM stretches
+  WHERE b - a + 1 >= least_equal AND b - a + 1 >= CAST({decontaminate.MIN_SHARE} AS DECIMAL(4, 3)) * (places[b] - places[a] + 1))
+SELECT doc_id, item_id, doc_start, item_start, n_tokens, n_equal FROM accepted QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start, item_start) = 1
+"""
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -151,4 +165,5 @@ ORACLES = {
     "op1_url_filters": _op1_sql(),
     "op2_minhash_near_dedup": OP2_SQL,
     "op3_chat_formatting": _op3_sql(),
+    "op7_decontamination": OP7_SQL,
 }

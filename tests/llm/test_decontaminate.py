@@ -108,3 +108,26 @@ def test_no_accepted_overlap_is_without_a_hit():
         least = new
         if n >= decontaminate.MIN_EQUAL:
             assert min(least.values()) > min(n - decontaminate.MIN_EQUAL, n // 5), n
+
+
+def test_overlaps_equal_brute_force_on_substituted_passages(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 16)
+    draw = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(500)]
+    items = [(k, [draw.choice(vocabulary) for _ in range(draw.randint(1, 60))]) for k in range(25)]
+    items.append((25, ["again"] * 30))
+    seeds = decontaminate.Seeds([(k, " ".join(w).encode()) for k, w in items])
+    for doc in range(150):
+        own = [draw.choice(vocabulary) for _ in range(60)]
+        _, passage = draw.choice(items)
+        noisy = [w if draw.random() > 0.2 else "changed" for w in passage]
+        own[20:20] = noisy
+        want = set()
+        for k, words in items:
+            least = min(decontaminate.MIN_EQUAL, len(words))
+            for shift in range(-len(words), len(own)):
+                same = np.array([0 <= j + shift < len(own) and own[j + shift] == w for j, w in enumerate(words)])
+                if same.sum() >= least and brute_force(same, least):
+                    want.add((k, max(brute_force(same, least), dict(want).get(k, 0))))
+        best = {k: max(n for j, n in want if j == k) for k, _ in want}
+        assert {r[1]: r[5] for r in decontaminate.overlaps(seeds, [doc], [" ".join(own).encode()])} == best
