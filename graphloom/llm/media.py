@@ -92,14 +92,14 @@ def feature(samples: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Collects parts in document order; the figcaption of a figure is the caption of its media."""
+    """Collects parts in document order; the figcaption of a figure, before or after, is the caption of its media."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
-        self.figure: list[dict] | None = None
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -107,16 +107,16 @@ class _Sequence(HTMLParser):
             self.hidden += 1
         elif tag in _MEDIA or (tag == "source" and dict(attrs).get("src")):
             own = dict(attrs)
-            if own.get("src"):
+            if own.get("src") and not self.hidden:
                 self.flush()
                 part = {"kind": _MEDIA.get(tag, "media"), "text": None, "ref": own["src"], "caption": own.get("alt") or own.get("title")}
                 self.parts.append(part)
-                if self.figure is not None:
-                    self.figure.append(part)
+                for figure in self.figures[-1:]:
+                    figure["parts"].append(part)
         elif tag in _BREAK:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"parts": [], "said": ""})
             elif tag == "figcaption":
                 self.caption = []
 
@@ -124,14 +124,20 @@ class _Sequence(HTMLParser):
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for part in self.figure or []:
-                part["caption"] = said or part["caption"]
+            for figure in self.figures[-1:]:
+                figure["said"] = " ".join("".join(self.caption).split())
             self.caption = None
         elif tag in _BREAK:
             self.flush()
-            if tag == "figure":
-                self.figure = self.caption = None
+            if tag == "figure" and self.figures:
+                self.caption = None
+                self.leave()
+
+    def leave(self) -> None:
+        """Ends the innermost figure."""
+        figure = self.figures.pop()
+        for part in figure["parts"]:
+            part["caption"] = figure["said"] or part["caption"]
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -150,11 +156,16 @@ def parse_html(source: str | None) -> list[dict]:
     parser.feed(source or "")
     parser.close()
     parser.flush()
+    while parser.figures:
+        parser.leave()
     return [{"position": k} | part for k, part in enumerate(parser.parts)]
 
 
 def sequences(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, parts array<struct<PART>>), a row per row of ``pages``."""
+    """(key, parts array<struct<PART>>), a row per row of ``pages``; null and empty sources have no parts.
+
+    Repeated rows and null keys have a row each.
+    """
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +178,13 @@ def sequences(pages: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def resolve(parts: DataFrame, key: str, payloads: DataFrame) -> DataFrame:
-    """Each media part with the columns of ``payloads`` (digest first) that its reference names.
+    """Each media part, and the other columns of ``parts``, with the columns of ``payloads`` (digest first) that its reference names.
 
     References read digest:HEX; others, and digests without payload, keep a row
     with nulls, so positions and captions stay aligned with the sequence.
     """
-    each = parts.select(key, F.explode("parts").alias("part")).select(key, "part.*").where("kind <> 'text'")
+    more = [c for c in parts.columns if c not in (key, "parts")]
+    each = parts.select(key, *more, F.explode("parts").alias("part")).select(key, *more, "part.*").where("kind <> 'text'")
     each = each.withColumn("digest", F.regexp_extract("ref", "^digest:([0-9a-f]{64})$", 1))
     return each.join(payloads, "digest", "left")
 
@@ -205,8 +217,8 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
+            for part in slices(batch, "media", rows=256):
+                rows = []
                 for digest, n, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     samples = read_png(data)
                     rows.append((digest, n, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(data), sha256(data).hexdigest(), feature(samples)))
@@ -216,31 +228,39 @@ def features(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, FEATURES)
 
 
-def wrapped(docs: DataFrame, caption: int = 80) -> DataFrame:
-    """(doc_id, html): each document as a figure that refers to its payload by digest.
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): each document's whole text as paragraphs around a figure that refers to its payload by digest.
 
-    The caption is the text's first line, at most ``caption`` characters of it;
-    the payload holds the whole text.
+    A paragraph is a line; the figure stands after half of them. Its caption
+    says how many words and bytes the payload has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 pages = []
-                for data in as_bytes(part.column(1)):
-                    first = (data or b"").split(b"\n", 1)[0][: 4 * caption].decode(errors="ignore")[:caption]
-                    pages.append(f'<figure><img src="digest:{sha256(data or b"").hexdigest()}"><figcaption>{html.escape(first)}</figcaption></figure>')
+                for data in (x or b"" for x in as_bytes(part.column(1))):
+                    lines = [f"<p>{html.escape(x, quote=False)}</p>" for x in data.decode().split("\n")]
+                    figure = f'<figure><img src="digest:{sha256(data).hexdigest()}"><figcaption>{len(data.split())} words, {len(data)} bytes</figcaption></figure>'
+                    half = (len(lines) + 1) // 2
+                    pages.append("".join([*lines[:half], figure, *lines[half:]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages)], names=["doc_id", "html"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, html string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, position, caption and FEATURES but the digest: a row per row of ``docs``.
+    """doc_id, n_parts, text_sha256, position, caption and FEATURES but the digest: a row per row of ``docs``.
 
-    Null and empty texts hold a payload of zeros. Equal texts share one stored
-    file. Repeated rows and null ids have a row each.
+    text_sha256 is that of the sequence's text parts, a line each. The caption
+    tells words and bytes of the text as its page had them, so that it can be
+    held against n_bytes, which the digest join brings. Null and empty texts
+    hold a payload of zeros. Equal texts share one stored file. Repeated rows
+    and null ids have a row each.
     """
     scratch = Scratch(docs.sparkSession, "media")
     found = scratch.keep(features(store(docs)), "features")
-    return resolve(sequences(wrapped(docs), "doc_id", "html"), "doc_id", found).drop("digest", "kind", "text", "ref")
+    parts = sequences(wrapped(docs), "doc_id", "html")
+    texts = F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: p["text"])
+    parts = parts.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), F.filter("parts", lambda p: p["kind"] != "text").alias("parts"))
+    return resolve(parts, "doc_id", found).drop("digest", "kind", "text", "ref")
