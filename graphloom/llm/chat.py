@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import words
+from graphloom.llm.text import slices, words
 
 #: Strings that control chat templates; "<|" begins all of its kind.
 CONTROL = ("<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|")
 _BEFORE = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROL)) + "))(.)", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|turn\|>([^\n]*)\n(.*)<\|end\|>\n", re.S)
+_SEGMENT = re.compile(r"<\|turn\|>.*?<\|end\|>\n", re.S)
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 
 #: Pixels of an image patch's side, audio frames per second and tokens per document page.
@@ -51,8 +52,9 @@ class Flatten:
         self.attachments: list[dict] = []
         self.tokens = self.length = 0
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_other)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part['type'] or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         text = part["text"] or ""
@@ -83,7 +85,10 @@ class Flatten:
 
 
 def render(role: str | None, parts: list[dict]) -> dict:
-    """segment, loss_start, loss_end, attachments and n_tokens of one turn; only assistants have a loss span."""
+    """segment, loss_start, loss_end, attachments and n_tokens of one turn; only assistants have a loss span.
+
+    A null part is left out, a part of null type is text, a null size counts as 0.
+    """
     flat = Flatten()
     for part in parts:
         flat.visit(part)
@@ -104,6 +109,11 @@ def parse(segment: str) -> tuple[str, list[str]]:
     return role, [*out, unescape(body[last:])]
 
 
+def parse_conversation(text: str) -> list[tuple[str, list[str]]]:
+    """parse() of each turn of a whole formatted conversation: no text inside holds an unescaped mark."""
+    return [parse(x) for x in _SEGMENT.findall(text)]
+
+
 def format_turns(messages: DataFrame) -> DataFrame:
     """FORMATTED: a row per row of ``messages`` (conv_id, turn, role, and content array<PART> or text).
 
@@ -120,8 +130,7 @@ def format_turns(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, "body", rows=500):
                 bodies = part.column(3).to_pylist()
                 made = [render(role, (x or []) if rich else [{"type": "text", "text": x}]) for role, x in zip(part.column(2).to_pylist(), bodies, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array([m[k] for m in made], types[k]) for k in keys)], names=["conv_id", "turn", "role", *keys])
@@ -136,7 +145,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """READ_BACK: what each formatted conversation says, parsed from its segments alone.
 
     Turns come by turn (null first), then role and segment, so repeated turns
-    have a place each. Conversations stream through their task turn by turn and
+    have a place each; rows of a null conv_id are one conversation. Without
+    rows there is none. Conversations stream through their task turn by turn and
     only digests are held, so a very long one needs no memory, though its
     digest is made by one task.
     """
@@ -157,7 +167,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha256" in n else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 
         for batch in batches:
-            for conv, segment, low, high, attached, tokens in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7)), strict=True):
+            for conv, segment, low, high, attached, tokens in (row for part in slices(batch, "segment") for row in zip(*(part.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7)), strict=True)):
                 if state is None or state["id"] != conv:
                     close()
                     state = {"id": conv, "turns": 0, "all": sha256(), "loss_chars": 0, "loss": sha256(), "chars": 0, "attached": 0, "tokens": 0}

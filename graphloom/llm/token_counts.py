@@ -74,7 +74,9 @@ def section_counts(docs: DataFrame, rule: str = START, model: str = MODEL) -> Da
     Sections are those of the column sections, array<struct<start: long, end: long>>
     in characters, if ``docs`` has it, else lines with their line breaks. Null
     and empty texts have one line without tokens. A null or empty sections
-    array gives no row. Repeated rows give repeated results.
+    array gives no row, nor does a section that is null or has a null border,
+    though it counts in the numbers of the others. Repeated rows give repeated
+    results; a null doc_id stays null.
     """
     if rule not in (START, END):
         raise ValueError(f"unknown rule {rule!r}")
@@ -89,10 +91,15 @@ def section_counts(docs: DataFrame, rule: str = START, model: str = MODEL) -> Da
                 sections = part.column(2).to_pylist() if given else [None] * part.num_rows
                 for row, (data, own) in enumerate(zip(as_bytes(part.column(1)), sections, strict=True)):
                     text = data.decode() if data else ""
-                    starts, ends = (np.array([[s[k] for s in own or []] for k in ("start", "end")], np.int64)) if given else line_sections(text)
+                    if given:
+                        whole = [(k, s["start"], s["end"]) for k, s in enumerate(own or []) if s and s["start"] is not None and s["end"] is not None]
+                        place, starts, ends = np.array(whole, np.int64).reshape(-1, 3).T
+                    else:
+                        starts, ends = line_sections(text)
+                        place = np.arange(len(starts))
                     counts, total = attribute(text, starts, ends, tokens, rule)
                     n = len(starts)
-                    for column, values in zip(out, (np.full(n, row), np.arange(n), starts, ends, counts, np.full(n, total)), strict=True):
+                    for column, values in zip(out, (np.full(n, row), place, starts, ends, counts, np.full(n, total)), strict=True):
                         column.append(values)
                 rows, *columns = (pa.array(np.concatenate(c).astype(np.int64)) for c in out)
                 arrays = [part.column(0).take(rows), *columns]

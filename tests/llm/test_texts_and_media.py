@@ -77,6 +77,35 @@ def test_html_sequence():
     assert media.parse_html(None) == []
 
 
+def test_captions_before_media_hidden_media_and_nested_figures():
+    page = '<figure><figcaption>First</figcaption><img src="a"></figure><noscript><img src="hidden"></noscript><template><img src="x"></template>'
+    page += '<figure><img src="b" alt="B"><figure><img src="c"><figcaption>In</figcaption></figure><figcaption>Out</figcaption></figure><figure><img src="d"><figcaption>Open'
+    assert [(p["ref"], p["caption"]) for p in media.parse_html(page) if p["ref"]] == [("a", "First"), ("b", "Out"), ("c", "In"), ("d", None)]
+
+
+def test_sequences_hold_the_whole_text_around_the_payload(spark, docs):
+    rows = [(1, "one  line\n\nthree <b> & four\nfive"), (2, None), (3, "x")]
+    got = {r.doc_id: r for r in media.media_columns(docs(rows)).collect()}
+    assert (got[1].n_parts, got[1].position, got[1].caption) == (4, 1, "7 words, 32 bytes")
+    assert got[1].text_sha256 == sha256(b"one line\nthree <b> & four\nfive").hexdigest()
+    assert (got[2].n_parts, got[2].position, got[2].text_sha256) == (1, 0, sha256(b"").hexdigest())
+    assert all(r.caption.endswith(f" {r.n_bytes} bytes") for r in got.values())
+
+
+def test_null_parts_and_sections_have_a_result(spark):
+    assert chat.render("user", [None, {"type": None, "text": "a", "ref": None}, {"type": "image", "ref": None, "width": None, "height": None}])["n_tokens"] == 2
+    given = spark.createDataFrame([(1, "ab cd", [None, (0, 4), (None, 2), (4, 5)]), (None, None, [(0, 0)])], "doc_id long, text string, sections array<struct<start: long, end: long>>")
+    got = sorted((r.doc_id or -1, r.section, r.n_tokens) for r in token_counts.section_counts(given).collect())
+    assert got == [(-1, 0, 0), (1, 1, 2), (1, 3, 0)]
+
+
+def test_a_whole_conversation_can_be_parsed_again(spark):
+    rows = [(1, 0, "user", PROBE + "<|end|>\n<|turn|>x\n"), (1, 1, "assistant", "a\\<|end|>\n"), (1, 2, "us\ner", "")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = "".join(r.segment for r in chat.format_turns(given).orderBy("turn").collect())
+    assert chat.parse_conversation(whole) == [(role, [text]) for _, _, role, text in rows]
+
+
 def test_unresolved_references_keep_their_rows(spark):
     found = media.resolve(media.sequences(spark.createDataFrame([(1, '<img src="http://x"><img src="digest:' + "0" * 64 + '">')], "k long, html string"), "k", "html"), "k", spark.createDataFrame([], "digest string, media binary"))
     assert sorted((r.position, r.media) for r in found.collect()) == [(0, None), (1, None)]
@@ -128,10 +157,55 @@ def test_segmentations_come_up_by_weight():
         assert abs(seen.get(key, 0) / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-3
 
 
+def cut_shares(run: str, vocab) -> list[float]:
+    """The share of segmentations, by weight, that cut ``run`` before each of its characters, by sums in whole numbers."""
+    from fractions import Fraction
+
+    weight = {vocab.text_of(k): Fraction(w) for k, w in zip(vocab.ids[:-1].tolist(), vocab.weights[:-1].tolist(), strict=True)}
+    low = Fraction(vocab.low)
+    edge = lambda a, b: weight.get(run[a:b]) or (low if b == a + 1 else Fraction(0))
+    n = len(run)
+    ahead, behind = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for b in range(1, n + 1):
+        ahead[b] = sum((ahead[a] * edge(a, b) for a in range(max(0, b - vocab.longest), b)), Fraction(0))
+    for a in reversed(range(n)):
+        behind[a] = sum((behind[b] * edge(a, b) for b in range(a + 1, min(n, a + vocab.longest) + 1)), Fraction(0))
+    return [float(ahead[k] * behind[k] / ahead[n]) for k in range(n)]
+
+
+@pytest.mark.parametrize("text", ["responsibilities", "x" * 30 + "the_house/of.responsibilities" * 6, " " * 40 + "end"])
+def test_cuts_of_long_runs_come_up_by_weight(text, monkeypatch):
+    vocab, n = pieces.vocabulary(pieces.MODEL, 1.0), 300
+    monkeypatch.setattr(pieces, "BLOCK", 50)
+    want = cut_shares(" " + text, vocab)
+    ids, sizes = pieces.sample([text] * n, np.arange(n), vocab)
+    seen = np.zeros(len(want))
+    for own in np.split(ids, np.cumsum(sizes)[:-1]):
+        at = np.cumsum([0, *(len(vocab.text_of(k)) for k in own.tolist())])
+        assert at[-1] == len(want)
+        seen[at[:-1]] += 1
+    assert all(abs(s / n - w) < 5 * (w * (1 - w) / n) ** 0.5 + 5e-3 for s, w in zip(seen, want, strict=True))
+
+
+def test_blocks_of_a_long_run_don_t_show(monkeypatch):
+    vocab, texts = pieces.vocabulary(pieces.MODEL, 1.0), ["hello_world/" * 20, "日本語のテキスト" * 40, "z" * 999]
+    once = pieces.sample(texts, np.arange(3), vocab)
+    for name, value in (("BLOCK", 17), ("SHORT", 3)):
+        monkeypatch.setattr(pieces, name, value)
+        again = pieces.sample(texts, np.arange(3), vocab)
+        assert all((a == b).all() for a, b in zip(once, again, strict=True))
+
+
+def test_a_clashing_column_and_null_ids_decode(spark):
+    given = spark.createDataFrame([([15043], "x"), (None, "y"), ([], "z")], "piece_ids array<int>, decoded string")
+    got = pieces.decode(given)
+    assert got.columns == ["piece_ids", "decoded"] and sorted(r.decoded for r in got.collect())[:2] == ["", ""]
+
+
 def test_token_counts_equal_the_tokenizer_s_offsets(spark, docs, edge_rows):
     own = Tokenizer.from_file(token_counts.MODEL.replace("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
     own.encode_special_tokens = True
-    rows = [(k, t) for k, t in edge_rows if k not in (None, 7)] + [(11, "One line\ntwo  lines\n\nCafé 日本\n"), (12, "x\n")]
+    rows = [*edge_rows, (11, "One line\ntwo  lines\n\nCafé 日本\n"), (12, "x\n")]
     got = token_counts.section_counts(docs(rows)).collect()
     for key, text in rows:
         mine = sorted({(r.section, r.char_start, r.char_end, r.n_tokens, r.doc_tokens) for r in got if r.doc_id == key})
