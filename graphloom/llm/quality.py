@@ -2,7 +2,8 @@
 
 A logistic model over rates of byte classes and their bigrams minimises the
 non-negative unbiased risk: with prior p, trusted positives P and unlabelled
-texts U,  p * R_P(+) + max(0, R_U(-) - p * R_P(-)).
+texts U,  p * R_P(+) + max(0, R_U(-) - p * R_P(-)). The prior is estimated from
+positives and unlabelled texts alone.
 """
 
 from __future__ import annotations
@@ -61,22 +62,43 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def decide(self, rows: np.ndarray) -> np.ndarray:
+        """The logit of each row, summed row by row, so that equal rows have equal ones in any company."""
+        return (np.clip((rows - self.mean) / self.scale, -10, 10).astype(np.float64) * self.weights).sum(axis=1) + self.bias
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        x = (features(texts) - self.mean) / self.scale
-        return _sigmoid(np.clip(x, -10, 10).astype(np.float64) @ self.weights + self.bias)
+        return _sigmoid(self.decide(features(texts)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.03, ridge: float = 1e-3) -> Model:
-    """Minimise the non-negative PU risk of the logistic loss by Adam.
+def pu_risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of positives, risk of negatives before it is kept from falling below 0) of the logistic loss."""
+    return prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+
+
+def pu_slopes(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slopes of the step to take by each z.
 
-    Where the estimated risk of negatives is below zero, the step climbs it
-    instead, as the non-negative estimator prescribes. Without positives or
-    unlabelled texts every score is the prior.
+    Where the risk of negatives is below 0 the step climbs it alone, as the
+    non-negative estimator prescribes; else it descends the sum of both.
     """
+    s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+    negative_p, negative_u = -prior * s_p / len(z_p), s_u / len(z_u)
+    if pu_risk(z_p, z_u, prior)[1] < 0:
+        return -negative_p, -negative_u
+    return prior * (s_p - 1) / len(z_p) + negative_p, negative_u
+
+
+def apart_slopes(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the plain logistic loss that tells the two sets apart, each of weight one."""
+    return (_sigmoid(z_p) - 1) / len(z_p), _sigmoid(z_u) / len(z_u)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, slopes=pu_slopes, steps: int = STEPS, rate: float = 0.03, ridge: float = 1e-3) -> Model:
+    """A linear model by Adam, by default of the non-negative PU risk. Without rows of both kinds every score is the prior."""
     prior = float(np.clip(prior, 0.01, 0.99))
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(prior / (1 - prior))))
@@ -86,42 +108,57 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     w, bias = np.zeros(FEATURES), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for step in range(1, steps + 1):
-        zp, zu = p @ w + bias, u @ w + bias
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = lambda x_u, x_p: x_u(su) - prior * x_p(sp)  # noqa: B023, E731
-        gw, gb = of_negative(lambda s: u.T @ s / len(u), lambda s: p.T @ s / len(p)), of_negative(np.mean, np.mean)
-        if negative >= 0:
-            gw, gb = prior * (p.T @ (sp - 1)) / len(p) + gw, prior * (sp - 1).mean() + gb
-        else:
-            gw, gb = -gw, -gb
-        g = np.append(gw + ridge * w, gb)
+        at_p, at_u = slopes(p @ w + bias, u @ w + bias, prior)
+        g = np.append(p.T @ at_p + u.T @ at_u + ridge * w, at_p.sum() + at_u.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     return Model(mean, scale, w, float(bias))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled texts, by the best bin of a classifier that tells the two sets apart.
+
+    It is fitted on every other row; the rest is scored. Above any score t,
+    share_U(t) / share_P(t) is the prior or more, and the prior itself where
+    nothing but positives scores so high. Of all t, the one with the least upper
+    confidence bound of that ratio is taken. Without rows it is a half.
+    """
+    p, u = positive[1::2], unlabelled[1::2]
+    if not len(p) or not len(u):
+        return 0.5
+    apart = fit(positive[::2], unlabelled[::2], 0.5, apart_slopes)
+    p, u = np.sort(apart.decide(p)), np.sort(apart.decide(u))
+    share_p, share_u = 1 - np.arange(len(p)) / len(p), 1 - np.searchsorted(u, p) / len(u)
+    slack = np.sqrt(np.log(4 / 0.1) / 2 / len(u)) + np.sqrt(np.log(4 / 0.1) / 2 / len(p))
+    best = np.argmin(share_u / share_p + 1.01 * slack / share_p)
+    return float(min(1.0, share_u[best] / share_p[best]))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are not learnt from: crc32 of doc_id as text, modulo 4, is 2. Null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
-    return ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """The ids of the smallest hashes; of many, only those that can be among them are sorted."""
+    n, place = ids.count(), F.xxhash64("doc_id")
+    if n > 4 * most:
+        near = ids.where(place < int(2**64 * 2 * most / n) - 2**63)
+        ids = near if near.count() >= most else ids
+    return ids.select("doc_id").orderBy(place, "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on trusted positives (quality 1) and unlabelled documents of the training rows.
 
-    The class prior is the share of quality 1 among all labelled training rows
-    (with one row added to each class). A document labelled both 0 and 1 counts
-    as labelled but is no trusted positive.
+    The class prior is estimated from both (estimate_prior); labels of 0 are not
+    learnt from, and a document labelled both 0 and 1 counts
+    as labelled, but is no trusted positive. Null and empty texts count as any
+    other; of the texts of a repeated doc_id one is taken.
     """
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    count = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).first()
-    prior = ((count.good or 0) + 1) / (count.n + 2)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = texts.select("doc_id", F.lit(1).alias("there"), F.lit(None).cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     marks = known.select("doc_id", F.lit(0).alias("there"), F.col("quality").cast("int").alias("quality"))
@@ -136,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 rows = [x.tobytes() for x in features(as_bytes(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["doc_id", "positive", "x"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive").mapInArrow(run, "doc_id long, positive boolean, x binary").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive").mapInArrow(run, "doc_id long, positive boolean, x binary").groupBy("doc_id", "positive").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     matrix = lambda flag: np.frombuffer(b"".join(r.x for r in rows if r.positive == flag), np.float32).reshape(-1, FEATURES)
-    return fit_pu(matrix(True), matrix(False), prior)
+    positive, unlabelled = matrix(True), matrix(False)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
