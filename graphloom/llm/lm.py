@@ -51,7 +51,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, n): counts of all tokens of the given documents, the end token (empty) among them."""
+    """(word binary, n): counts of all tokens of the given documents, the end token (empty) among them.
+
+    A null or empty text is the end token alone; repeated rows count each; without rows there are no counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def passed(counts: Counter) -> pa.RecordBatch:
@@ -125,10 +128,21 @@ def without(counts: DataFrame, hot: list[tuple[bytes, int]]) -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The most frequent words and endings, and totals of all counts; the driver gets HOT words at most."""
+    """The most frequent words and endings, and totals of all counts.
+
+    The driver gets HOT words at most: those above a count that a histogram of
+    counts gives, so that no task sends words that don't stay.
+    """
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("types")).first()
-    top = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).collect()
-    hot = [(bytes(r.word), r.n) for r in top]
+    short = counts.where(F.octet_length("word") <= HOT_BYTES)
+    histogram = short.groupBy(F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 128)).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()
+    least, room = None, HOT
+    for row in sorted(histogram, key=lambda r: -r.n):
+        room -= row.words
+        if room < 0:
+            break
+        least = row.n
+    hot = sorted(((bytes(r.word), r.n) for r in short.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0])) if least is not None else []
     tail = without(counts, hot[:HEAD]).groupBy(F.expr("right(hex(word), 4)").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     tail.sort(key=lambda r: (-r.n, r.ending))
     named = tail[: CLASSES - HEAD - 1]

@@ -40,11 +40,70 @@ def test_classifier_without_labels_or_rows(spark, docs, edge_rows):
 def test_non_negative_risk_recovers_a_mixture():
     draw = np.random.default_rng(0)
     shape = lambda n, at: np.concatenate([draw.normal(at, 1, (n, 2)), np.zeros((n, quality.FEATURES - 2))], axis=1).astype(np.float32)
-    model = quality.fit_pu(shape(500, 2), np.concatenate([shape(600, 2), shape(400, -2)]), 0.6)
+    model = quality.fit(shape(500, 2), np.concatenate([shape(600, 2), shape(400, -2)]), 0.6)
     z = lambda x: ((x - model.mean) / model.scale).clip(-10, 10) @ model.weights + model.bias
     assert (z(shape(200, 2)) > 0).mean() > 0.9 and (z(shape(200, -2)) < 0).mean() > 0.9
 
 
+def test_the_prior_is_found_in_unlabelled_rows():
+    draw = np.random.default_rng(4)
+    shape = lambda n, at: np.concatenate([draw.normal(at, 1, (n, 2)), np.zeros((n, quality.FEATURES - 2))], axis=1).astype(np.float32)
+    for prior in (0.3, 0.6, 0.9):
+        unlabelled = draw.permutation(np.concatenate([shape(int(4000 * prior), 2), shape(4000 - int(4000 * prior), -2)]))
+        assert abs(quality.estimate_prior(shape(2000, 2), unlabelled) - prior) < 0.06
+    assert quality.estimate_prior(shape(0, 2), shape(9, 2)) == 0.5
+
+
+def test_risk_and_slopes_equal_brute_force():
+    draw = np.random.default_rng(6)
+    loss = lambda z, y: np.log(1 + np.exp(-y * z))
+    for prior, shift in ((0.4, 0.0), (0.9, 3.0), (0.9, -3.0)):
+        z_p, z_u = draw.normal(shift, 1, 7), draw.normal(0, 1, 5)
+        by_hand = lambda p, u, prior=prior: (prior * sum(loss(z, 1) for z in p) / len(p), sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p))
+        assert np.allclose(quality.pu_risk(z_p, z_u, prior), by_hand(z_p, z_u))
+        climb = by_hand(z_p, z_u)[1] < 0
+        aim = lambda p, u: -by_hand(p, u)[1] if climb else sum(by_hand(p, u))  # noqa: B023, E731
+        for which, found in enumerate(quality.pu_slopes(z_p, z_u, prior)):
+            for k in range(len(found)):
+                up, down = [z_p.copy(), z_u.copy()], [z_p.copy(), z_u.copy()]
+                up[which][k] += 1e-5
+                down[which][k] -= 1e-5
+                assert found[k] == pytest.approx((aim(*up) - aim(*down)) / 2e-5, abs=1e-6)
+
+
+def test_repeated_ids_and_ties(spark, docs):
+    given, labels = labelled(spark, docs, 200)
+    again = given.unionByName(given.where("doc_id = 2")).unionByName(docs([(2, "another text of the same id"), (4, None), (None, "no id")]))
+    got = quality.score(again, quality.train(again, labels)).collect()
+    assert len(got) == 204 and len({r.score for r in got if r.doc_id == 2}) == 2
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_score_is_the_sum_of_its_tokens(spark, docs, scratch, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 50)
+    rows = lm_rows()[:120]
+    given = docs(rows)
+    texts = given.select("doc_id", "text").where("crc32(cast(doc_id as string)) % 7 <> 2")
+    counts = scratch.keep(lm.count_words(texts), "counts")
+    lex, count = lm.lexicon(counts).ready(), {bytes(r.word): r.n for r in counts.collect()}
+    params = lm.train(texts, lm.lexicon(counts), scratch)
+    monkeypatch.setattr(lm, "train", lambda *_: params)
+    of = {w: lex.class_of(w) for w in {w for _, t in rows for w in words(t.encode())} | {b""}}
+    tokens, types = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w, n in count.items():
+        tokens[of.get(w, lex.class_of(w))] += n
+        types[of.get(w, lex.class_of(w))] += 1
+    for r in lm.score(given).collect():
+        sequence, total = [*words(dict(rows)[r.doc_id].encode()), b""], 0.0
+        for k, word in enumerate(sequence):
+            context = [of[sequence[j]] if j >= 0 else of[b""] for j in range(k - lm.CONTEXT, k)]
+            c = of[word]
+            total += lm.log_probabilities(params, np.array([context]))[0, c] / np.log(10)
+            if c >= lm.HEAD:
+                total += log10((count.get(word, 0) + 1) / (tokens[c] + types[c] + 1))
+        assert r.score == pytest.approx(total, abs=1e-3)
+
+
 def test_features_of_long_texts_don_t_depend_on_steps(monkeypatch):
     text = ("Some words, 123!\n" * 300).encode()
     whole = quality.features([text, None, b""])
