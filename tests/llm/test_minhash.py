@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from graphloom.llm.text import shingle_set, word_hashes, words
 
 
 def brute(rows, per, cent):
-    sets = {k: set(shingle_set(t.encode() if t else None).tolist()) for k, t in rows}
+    sets = {k: set_by_hand(t) for k, t in rows}
     low = {k: k for k in sets}
 
     def root(k):
@@ -70,6 +71,33 @@ def test_dedup_keeps_one_row_and_all_columns(spark, docs, edge_rows):
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 8]
 
 
+def test_rows_are_judged_by_their_own_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    c = " ".join(f"c{k}" for k in range(30))
+    rows = [(3, b), (5, a), (5, b), (None, b), (5, c), (5, c), (7, c + " c30"), (8, None), (8, None)]
+    given = spark.createDataFrame([(k, t, n, "x", "y") for n, (k, t) in enumerate(rows)], "doc_id long, text string, _row int, row_key string, label string")
+    got = minhash.dedup(given)
+    assert got.columns == given.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(3, b), (5, a), (-1, b), (5, c), (8, "")])
+    found = sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash.near_duplicates(given).collect())
+    assert found == sorted([(3, 3, True), (5, 5, True), (5, 3, False), (-1, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True)])
+
+
+def set_by_hand(text):
+    """Shingles as strings, from the definition alone."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_hashed_sets_equal_those_by_hand(edge_rows):
+    texts = [t for _, t in [*edge_rows, *corpus()]]
+    hashed = [set(shingle_set(t.encode() if t else None).tolist()) for t in texts]
+    by_hand = [set_by_hand(t) for t in texts]
+    assert [len(s) for s in hashed] == [len(s) for s in by_hand]
+    for k in range(0, len(texts), 7):
+        assert [len(hashed[k] & s) for s in hashed] == [len(by_hand[k] & s) for s in by_hand]
+
+
 def test_sketches_fill_and_estimate():
     draw = np.random.default_rng(3)
     pool = draw.integers(0, 2**63, 4000).astype(np.uint64)
