@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a source scan leaves out, and how names map to languages.
+# What a source scan leaves out, how names map to languages, and names of entry points, barrels and hubs.
 SKIP_DIRS = ("node_modules", ".git", "dist", "build", "target", "out", ".next", "__pycache__", ".venv", "venv", "coverage", ".agents")
 SKIP_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "uv.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock")
 SECRET_NAMES = (".npmrc", ".pypirc", ".netrc", "_netrc", ".pgpass", ".htpasswd", "credentials", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "secrets.yml", "secrets.yaml")

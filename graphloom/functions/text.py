@@ -26,8 +26,12 @@ def numbered(text: Column, first: Column, last: Column) -> Column:
 
 
 def signature(text: Column, first: Column, last: Column, most: int = 6) -> Column:
-    """The lines of a declaration up to the one that opens its body, brace stripped; at most ``most`` lines."""
-    own = lines(text)
+    """The lines of a declaration up to the one that opens its body, brace stripped; at most ``most`` lines.
+
+    Only the text up to the last of these lines is split.
+    """
+    head = F.call_function("substring_index", text, F.lit("\n"), F.greatest(first + most - 1, F.lit(1)).cast("int"))
+    own = lines(F.when(F.length(head) < F.length(text), F.concat(head, F.lit("\n"))).otherwise(head))
     span = F.least(F.least(last, F.size(own)) - first + 1, F.lit(most))
     span = F.greatest(span, F.lit(1))
     head = F.slice(own, F.greatest(first, F.lit(1)), span)

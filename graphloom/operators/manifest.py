@@ -97,3 +97,35 @@ def render(files: DataFrame, options: Options, root: str, warnings: DataFrame |
     if warnings is not None and (known := warnings.orderBy("path", "kind").collect()):
         out += ["", "## Warnings (known gaps in this map)", *(f"- /{w.path}: {w.kind}" for w in known)]
     return "\n".join(out) + "\n"
+
+
+#: Characters of a token in the cost model, and tokens of a context window.
+CHARS_PER_TOKEN, CONTEXT_TOKENS, BYTES_PER_LINE = 3.7, 16_000, 40
+
+
+def manifest_chars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, chars) that each file takes in a manifest: nodes has path, exports and routes; edges may repeat a target."""
+    listed = lambda c, extra: F.when(F.size(c) > 0, F.length(F.array_join(c, ", ")) + extra).otherwise(0)
+    deps = edges.where("kind <> 'route'").groupBy(F.col("from_path").alias("path")).agg((F.sum(F.length("to_path") + 3) - 2 + 14).alias("deps"))
+    own = F.length("path") + 4 + listed("exports", 12) + listed("routes", 10)
+    return nodes.join(deps, "path", "left").select("path", (own + F.coalesce("deps", F.lit(0))).cast("long").alias("chars"))
+
+
+def savings(nodes: DataFrame, edges: DataFrame, read: DataFrame) -> DataFrame:
+    """One row: baseline_tokens of all files (size_bytes), active_tokens of the manifest and the files read (path), savings_percent."""
+    total = nodes.agg(F.round(F.sum("size_bytes") / CHARS_PER_TOKEN).cast("long").alias("baseline_tokens"))
+    text = manifest_chars(nodes, edges).agg(F.round(F.sum("chars") / CHARS_PER_TOKEN).cast("long").alias("m"))
+    opened = nodes.join(read.select("path").distinct(), "path", "left_semi").agg(F.round(F.coalesce(F.sum("size_bytes"), F.lit(0)) / CHARS_PER_TOKEN).cast("long").alias("r"))
+    both = total.crossJoin(F.broadcast(text)).crossJoin(F.broadcast(opened)).withColumn("active_tokens", F.coalesce("m", F.lit(0)) + F.col("r"))
+    share = F.when(F.col("baseline_tokens") > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.col("active_tokens") / F.col("baseline_tokens")) * 100))).otherwise(0.0)
+    return both.select(F.coalesce("baseline_tokens", F.lit(0)).alias("baseline_tokens"), "active_tokens", F.round(share, 1).alias("savings_percent"))
+
+
+def core_files(files: DataFrame, languages: list[str] | None = None, min_rank: float = 0.0, best: int = 30, opened: DataFrame | None = None) -> DataFrame:
+    """Files (path, language, rank_score, rank_order) of some languages and a least rank: the best by order, and opened ones (path)."""
+    kept = files.where(F.col("rank_score") >= min_rank)
+    kept = kept.where(F.col("language").isin(*languages)) if languages else kept
+    if opened is None:
+        return kept.where(F.col("rank_order") <= best)
+    marked = kept.join(opened.select("path").distinct().withColumn("opened", F.lit(True)), "path", "left")
+    return marked.where((F.col("rank_order") <= best) | F.col("opened")).drop("opened")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import running_totals
+from graphloom.storage import Scratch
+
 #: Milliseconds of silence after which a new turn begins; tokens of output that warn; smoothing of rates.
 GAP_MS, WARN_TOKENS, ALPHA = 3000, 4000, 0.3
 
@@ -47,7 +50,7 @@ def recent(calls: DataFrame, key: str, order: list[Column], keep: int = 100) ->
     return calls.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
 
 
-def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:
+def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float = ALPHA, decimals: int = 6) -> DataFrame:
     """(key, ema): values folded in order, each new one with weight alpha; the first stands alone.
 
     A null gives null and the next value stands alone again. Each value's weight
@@ -58,12 +61,44 @@ def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float
     own = F.when(F.col("_nulls") == 0, F.col("_v"))
     share = F.pow(F.lit(1 - alpha), F.col("_d"))
     first = F.max_by(own * share, F.when(own.isNotNull(), F.col("_d")))
-    return placed.groupBy(key).agg(F.round(F.sum(own * share) * alpha + first * (1 - alpha), 6).alias("ema"))
+    return placed.groupBy(key).agg(F.round(F.sum(own * share) * alpha + first * (1 - alpha), decimals).alias("ema"))
 
 
 def percentile_rank(samples: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
-    """(key, mean, at_place): the mean and the value at place floor(share * n) of the sorted values, from 0."""
-    by_value = Window.partitionBy(key).orderBy(value)
-    placed = samples.withColumn("_at", F.row_number().over(by_value) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    place = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return placed.groupBy(key).agg(F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("_at") == place, F.col(value))).alias("at_place"))
+    """(key, mean, at_place): the mean and the value at place floor(share * n) of the sorted values, from 0.
+
+    Nulls don't count. Equal values are counted together and running counts come
+    from ranges of (key, value), so no task holds a key's values.
+    """
+    counts = samples.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+    placed = running_totals(counts, ["k", "v"], "n", Scratch(samples.sparkSession, "percentile"))
+    keys = placed.groupBy("k").agg(F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.col("upto") - F.col("n")).alias("start"))
+    aim = F.col("start") + F.least(F.floor(F.col("total") * share), F.col("total") - 1) + 1
+    hit = (F.col("upto") >= aim) & (F.col("upto") - F.col("n") < aim)
+    return placed.join(keys, "k").where(hit).select(F.col("k").alias(key), F.round("mean", 6).alias("mean"), F.col("v").alias("at_place"))
+
+
+def eta(samples: DataFrame, key: str, order: str, done: str, total: str, seconds: str, alpha: float = ALPHA) -> DataFrame:
+    """(key, speed, eta_seconds): smoothed items a second between a run's samples, and the seconds left; 0 when complete, null while unknown."""
+    by_key = Window.partitionBy(key).orderBy(order)
+    steps = samples.withColumn("_speed", (F.col(done) - F.lag(done).over(by_key)) / F.nullif(F.col(seconds) - F.lag(seconds).over(by_key), F.lit(0)))
+    speed = smoothed(steps.where("_speed is not null"), key, order, "_speed", alpha).withColumnRenamed("ema", "speed")
+    last = samples.groupBy(key).agg(F.max_by(F.col(total) - F.col(done), order).alias("left"))
+    rest = F.when(F.col("left") <= 0, 0.0).when(F.col("speed") > 0, F.round(F.col("left") / F.col("speed"), 6))
+    return last.join(speed, key, "left").select(key, "speed", rest.alias("eta_seconds"))
+
+
+# Tokens that a tool's answer would have cost without a map, and those of a file that can't be read.
+RAW_PER_FILE = 1500
+
+
+def raw_cost(referenced: DataFrame, contents: DataFrame) -> DataFrame:
+    """(call, raw_tokens): tokens of the distinct files that each call refers to (call, path), of files (path, tokens).
+
+    Leading slashes don't count. A call whose files have no tokens costs RAW_PER_FILE for each reference, at least one.
+    """
+    clean = referenced.withColumn("path", F.regexp_replace("path", r"^[/\\]+", ""))
+    asked = clean.groupBy("call").agg(F.count("*").alias("asked"))
+    sums = clean.distinct().join(contents.select("path", "tokens"), "path").groupBy("call").agg(F.sum("tokens").alias("tokens"))
+    cost = F.when(F.coalesce("tokens", F.lit(0)) == 0, F.greatest("asked", F.lit(1)) * RAW_PER_FILE).otherwise(F.col("tokens"))
+    return asked.join(sums, "call", "left").select("call", cost.alias("raw_tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions import text as texts
-from graphloom.operators import community, graph, manifest, ordering, rank, resolve, search
+from graphloom.operators import community, graph, lookup, manifest, ordering, rank, resolve, search
 from graphloom.plans import bindings as b
 from graphloom.storage import Scratch, table
 
@@ -37,24 +37,19 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sql4_callers", code("SELECT e.to_id AS id, s.file_path, s.name, s.kind, e.kind AS edge_kind, count(*) AS n FROM edges e JOIN symbols s ON e.from_id = s.id GROUP BY ALL"))
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = b.symbols(spark, sf_dir)
-    edges = b.edges(spark, sf_dir).withColumnRenamed("kind", "edge_kind")
-    return edges.join(own, edges["from_id"] == own["id"]).groupBy(F.col("to_id").alias("id"), "file_path", "name", "kind", "edge_kind").agg(F.count("*").alias("n"))
+    found = lookup.callers(b.symbols(spark, sf_dir), b.edges(spark, sf_dir))
+    return found.groupBy("id", "file_path", "name", "kind", "edge_kind").agg(F.count("*").alias("n"))
 
 
 @query("sql5_callees", code("SELECT e.from_id AS id, s.file_path, s.name, s.kind, e.kind AS edge_kind, count(*) AS n FROM edges e JOIN symbols s ON e.to_id = s.id GROUP BY ALL"))
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = b.symbols(spark, sf_dir)
-    edges = b.edges(spark, sf_dir).withColumnRenamed("kind", "edge_kind")
-    return edges.join(own, edges["to_id"] == own["id"]).groupBy(F.col("from_id").alias("id"), "file_path", "name", "kind", "edge_kind").agg(F.count("*").alias("n"))
+    found = lookup.callees(b.symbols(spark, sf_dir), b.edges(spark, sf_dir))
+    return found.groupBy("id", "file_path", "name", "kind", "edge_kind").agg(F.count("*").alias("n"))
 
 
 @query("sql6_symbol_edges", code("SELECT a.file_path || '#' || a.name AS from_symbol, c.file_path || '#' || c.name AS to_symbol, e.kind, count(*) AS n FROM edges e JOIN symbols a ON e.from_id = a.id JOIN symbols c ON e.to_id = c.id GROUP BY ALL"))
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = b.symbols(spark, sf_dir).select("id", F.concat_ws("#", "file_path", "name").alias("s"))
-    e = b.edges(spark, sf_dir)
-    joined = e.join(own.select(F.col("id").alias("from_id"), F.col("s").alias("from_symbol")), "from_id").join(own.select(F.col("id").alias("to_id"), F.col("s").alias("to_symbol")), "to_id")
-    return joined.groupBy("from_symbol", "to_symbol", "kind").agg(F.count("*").alias("n"))
+    return lookup.symbol_edges(b.symbols(spark, sf_dir), b.edges(spark, sf_dir)).groupBy("from_symbol", "to_symbol", "kind").agg(F.count("*").alias("n"))
 
 
 @query("sql7_symbols_by_file", code("SELECT file_path, string_agg(name || ':' || kind, ',' ORDER BY id) AS symbols, count(*) AS n FROM symbols WHERE kind <> 'variable' GROUP BY file_path"))
@@ -65,20 +60,82 @@ def symbols_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sql8_dispatch",
-    """WITH faces AS (SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT f.r_regionkey, s.s_nationkey, count(*) AS n, count(DISTINCT o.o_orderkey) AS n_orders FROM faces f JOIN customer c ON c.c_nationkey = f.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey
-JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_nationkey = c.c_nationkey WHERE o.o_orderstatus = 'F' AND l.l_returnflag = 'A' GROUP BY ALL""",
+    code("""faces AS (SELECT id, 'src/' || split_part(file_path, '/', 2) || '/' || (id % 200) AS file_path, name, CASE WHEN id % 3 = 0 THEN 'interface' ELSE 'method' END AS kind FROM symbols),
+links AS (SELECT from_id, to_id, CASE kind WHEN 'extends' THEN 'implements' ELSE kind END AS kind FROM edges)
+SELECT DISTINCT e.from_id, t.id AS to_id FROM links e JOIN faces m ON e.to_id = m.id JOIN faces i ON i.file_path = m.file_path AND i.kind = 'interface' JOIN links p ON p.kind = 'implements' AND p.to_id = i.id
+JOIN faces c ON p.from_id = c.id JOIN faces t ON t.file_path = c.file_path AND t.name = m.name WHERE e.kind = 'calls' AND e.from_id <> t.id"""),
 )
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six-way join shape: region, nation, customer, orders, lineitem, supplier of the same nation."""
-    t = lambda name: table(spark, sf_dir, name)
-    faces = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_regionkey")
-    orders = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    lines = t("lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_suppkey")
-    buyers = t("customer").select("c_custkey", "c_nationkey").join(faces, F.col("c_nationkey") == F.col("n_nationkey"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    joined = joined.join(t("supplier").select("s_suppkey", "s_nationkey"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
-    return joined.groupBy("r_regionkey", "s_nationkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_orders"))
+    """Calls of what interface files declare, led on to what implements them: every third part is an interface."""
+    path = F.concat(F.lit("src/"), F.split("file_path", "/")[1], F.lit("/"), (F.col("id") % 200).cast("string"))
+    own = b.symbols(spark, sf_dir).select("id", path.alias("file_path"), "name", F.when(F.col("id") % 3 == 0, "interface").otherwise("method").alias("kind"))
+    edges = b.edges(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "extends", "implements").otherwise(F.col("kind")))
+    return resolve.dispatch_edges(own, edges)
+
+
+@query("sql2_by_name", code("n AS (SELECT name, id, file_path, kind, row_number() OVER (PARTITION BY name ORDER BY id) AS place FROM symbols) SELECT name AS asked, id, name, file_path, kind FROM n WHERE place <= 3"))
+def symbols_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three symbols of every name."""
+    own = b.symbols(spark, sf_dir)
+    return lookup.by_name(own, own.select(F.col("name").alias("asked")), most=3)
+
+
+@query("sql3_by_path", code("SELECT id, file_path, name, start_line, end_line FROM symbols"))
+def symbols_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols looked up by paths of which every other one has a leading slash."""
+    own = b.symbols(spark, sf_dir)
+    asked = own.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("/"), "file_path")).otherwise(F.col("file_path")).alias("path"), "name")
+    return lookup.by_path(own, asked).select("id", "file_path", "name", "start_line", "end_line")
+
+
+@query("sql10_wide_anchors", code("asked AS (SELECT DISTINCT upper(split_part(name, ' ', 1)) AS asked FROM symbols UNION SELECT min(name) FROM symbols), equal AS (SELECT asked, id FROM asked JOIN symbols ON name = asked) SELECT asked, id FROM equal UNION ALL SELECT a.asked, s.id FROM asked a JOIN symbols s ON contains(lower(s.name), lower(a.asked)) WHERE a.asked NOT IN (SELECT asked FROM equal)"))
+def wide_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in capitals find no equal one, so what holds them is taken."""
+    own = b.symbols(spark, sf_dir)
+    asked = own.select(F.upper(F.split("name", " ")[0]).alias("asked")).distinct().unionByName(own.agg(F.min("name").alias("asked")))
+    return lookup.anchors(own, asked)
+
+
+@query("sql15_distinct_files", code("SELECT DISTINCT file_path FROM symbols WHERE contains(lower(name), 'red') ORDER BY file_path LIMIT 5"))
+def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.distinct_files(b.symbols(spark, sf_dir).where(F.lower("name").contains("red")))
+
+
+@query("agg5_dependents_per_row", code("SELECT to_path AS path, count(*) AS n FROM file_edges GROUP BY 1"))
+def dependents_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.dependents_per_row(b.file_edges(spark, sf_dir))
+
+
+@query("agg11_summary", code("SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(DISTINCT regexp_extract(path, '[a-z]+$')) FROM files) AS n_languages, CAST(0 AS BIGINT) AS n_routes, (SELECT count(*) FROM file_edges) AS n_edges, (SELECT count(*) FROM symbols) AS n_symbols"))
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = b.files(spark, sf_dir).withColumn("language", paths.language(F.col("path")))
+    return lookup.index_summary(nodes, b.file_edges(spark, sf_dir), b.symbols(spark, sf_dir))
+
+
+@query("agg7_manifest_chars", code("d AS (SELECT from_path, string_agg('/' || to_path, ', ') AS t FROM file_edges GROUP BY 1), e AS (SELECT file_path, string_agg(name, ', ') AS t FROM (SELECT DISTINCT file_path, name FROM symbols) GROUP BY 1) SELECT f.path, CAST(length(f.path) + 4 + 12 + length(e.t) + coalesce(14 + length(d.t), 0) AS BIGINT) AS chars FROM files f JOIN e ON f.path = e.file_path LEFT JOIN d ON f.path = d.from_path"))
+def manifest_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each file's manifest entry; its distinct symbol names are its exports."""
+    exports = b.symbols(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.collect_set("name").alias("exports")).withColumn("routes", F.array().cast("array<string>"))
+    return manifest.manifest_chars(exports, b.file_edges(spark, sf_dir))
+
+
+@query("agg8_savings", code("f2 AS (SELECT path, n_symbols * 2200 AS size_bytes FROM files), m AS (SELECT sum(length(f.path) + 4 + coalesce(d.n, 0)) AS chars FROM files f LEFT JOIN (SELECT from_path, sum(length(to_path) + 3) + 12 AS n FROM file_edges GROUP BY 1) d ON f.path = d.from_path), x AS (SELECT CAST(round(sum(size_bytes) / 3.7) AS BIGINT) AS b, CAST(round(coalesce(sum(size_bytes) FILTER (path LIKE 'src/brand1%'), 0) / 3.7) AS BIGINT) AS r FROM f2) SELECT b AS baseline_tokens, CAST(round(chars / 3.7) AS BIGINT) + r AS active_tokens, round(greatest(0.0, least(100.0, (1 - (CAST(round(chars / 3.7) AS BIGINT) + r) / b) * 100)), 1) AS savings_percent FROM x, m"))
+def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    nodes = b.files(spark, sf_dir).select("path", (F.col("n_symbols") * 2200).alias("size_bytes"), none.alias("exports"), none.alias("routes"))
+    return manifest.savings(nodes, b.file_edges(spark, sf_dir), nodes.where("path like 'src/brand1%'"))
+
+
+@query("jn18_activity_targets", code("""calls AS (SELECT id AS call, CASE id % 3 WHEN 0 THEN '/root/' || file_path WHEN 1 THEN regexp_extract(file_path, '[^/]*$') ELSE file_path || '#' || name END AS path, name AS symbol FROM symbols WHERE id % 7 = 0 OR id % 3 = 2),
+own AS (SELECT call, regexp_replace(split_part(path, '#', 1), '^\\.?/', '') AS p, symbol AS s FROM calls),
+hit AS (SELECT call, p AS file, s FROM own UNION SELECT call, f.path, s FROM own JOIN files f ON f.path = p OR ends_with(f.path, '/' || p) OR ends_with(p, '/' || f.path) UNION SELECT call, y.file_path, s FROM own JOIN symbols y ON y.name = s)
+SELECT DISTINCT call, unnest([file, file || '#' || s]) AS target FROM hit"""))
+def activity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls on paths below another root, on bare file names and on file#symbol."""
+    own = b.symbols(spark, sf_dir)
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/root/"), "file_path")).when(F.col("id") % 3 == 1, F.substring_index("file_path", "/", -1)).otherwise(F.concat_ws("#", "file_path", "name"))
+    calls = own.where("id % 7 = 0 or id % 3 = 2").select(F.col("id").alias("call"), path.alias("path"), F.col("name").alias("symbol"))
+    return lookup.activity_targets(calls, b.files(spark, sf_dir), own)
 
 
 @query(
@@ -116,11 +173,8 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sql21_first_wins", code("SELECT from_id, kind, arg_min(to_id, to_id) AS first_to, max(to_id) AS last_to FROM edges GROUP BY from_id, kind"))
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each (from, kind) the first and the last target, by explicit order."""
-    e = b.edges(spark, sf_dir)
-    first = ordering.first_by(e, ["from_id", "kind"], [F.col("to_id")]).withColumnRenamed("to_id", "first_to")
-    last = ordering.first_by(e, ["from_id", "kind"], [F.col("to_id").desc()]).withColumnRenamed("to_id", "last_to")
-    return first.join(last, ["from_id", "kind"])
+    """Of each (from, kind) the first and the last target, in one aggregation."""
+    return b.edges(spark, sf_dir).groupBy("from_id", "kind").agg(F.min("to_id").alias("first_to"), F.max("to_id").alias("last_to"))
 
 
 @query("sql20_cascade_delete", code("SELECT e.kind, count(*) AS n FROM edges e JOIN symbols a ON e.from_id = a.id JOIN symbols c ON e.to_id = c.id WHERE a.file_path NOT LIKE 'src/brand1/%' AND c.file_path NOT LIKE 'src/brand1/%' GROUP BY e.kind"))

@@ -9,7 +9,7 @@ from graphloom.functions import paths
 from graphloom.functions import text as texts
 from graphloom.operators import ordering, telemetry
 from graphloom.plans import bindings as b
-from graphloom.sources import extract
+from graphloom.sources import declared, extract
 from graphloom.storage import Scratch, table
 from graphloom.streaming import live
 
@@ -47,9 +47,11 @@ def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("line", F.concat(F.lit("- "), "name", shown)).orderBy(F.col("in_degree").desc(), "name").limit(50)
 
 
-@query("ex16_markdown_links", r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[[^\]]*\]\(([^)\s]*)[^)]*\)', 1)) AS t FROM documents) SELECT doc_id, regexp_replace(t, '#.*$', '') AS target, count(*) AS n FROM l WHERE t <> '' AND NOT regexp_matches(t, '^(https?:|mailto:|#)') GROUP BY 1, 2""")
+@query("ex16_markdown_links", r"""WITH m AS (SELECT page_id, regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', '[\2](\1#top)', 'g') AS text FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(text, '\[[^\]]*\]\(([^)\s]*)[^)]*\)', 1)) AS t FROM m) SELECT page_id, regexp_replace(t, '#.*$', '') AS target, count(*) AS n FROM l WHERE t <> '' AND NOT regexp_matches(t, '^(https?:|mailto:|#)') GROUP BY 1, 2""")
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.markdown_links(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).groupBy("doc_id", "target").agg(F.count("*").alias("n"))
+    """The links of every page, written as Markdown first."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', "[$2]($1#top)").alias("text"))
+    return extract.markdown_links(pages, "page_id", F.col("text")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -101,9 +103,62 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("usd", F.round(texts.cost_usd(F.col("tokens")), 6))
 
 
-@query("agg3_http_methods", "SELECT CASE WHEN contains(upper(event_type), 'GET') THEN 'GET' WHEN contains(upper(event_type), 'POST') THEN 'POST' WHEN contains(upper(event_type), 'PUT') THEN 'PUT' WHEN contains(upper(event_type), 'HEAD') THEN 'HEAD' ELSE 'GET' END AS method, count(*) AS n FROM events GROUP BY 1")
+_ROUTE_NAMES = ("getUser", "POST /items", "deleteItem", "putThing", "patch_it", "options", "head")
+
+
+@query("agg3_http_methods", f"WITH n AS (SELECT upper(({list(_ROUTE_NAMES)})[event_id % 7 + 1] || event_type) AS u FROM events) SELECT CASE WHEN contains(u, 'GET') THEN 'GET' WHEN contains(u, 'POST') THEN 'POST' WHEN contains(u, 'PUT') THEN 'PUT' WHEN contains(u, 'PATCH') THEN 'PATCH' WHEN contains(u, 'DELETE') THEN 'DELETE' WHEN contains(u, 'OPTIONS') THEN 'OPTIONS' WHEN contains(u, 'HEAD') THEN 'HEAD' ELSE 'GET' END AS method, count(*) AS n FROM n GROUP BY 1")
 def http_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(texts.http_method(F.col("event_type")).alias("method")).agg(F.count("*").alias("n"))
+    """Methods of events whose names say one each."""
+    name = F.concat(F.element_at(F.array(*map(F.lit, _ROUTE_NAMES)), (F.col("event_id") % 7 + 1).cast("int")), "event_type")
+    return table(spark, sf_dir, "events").groupBy(texts.http_method(name).alias("method")).agg(F.count("*").alias("n"))
+
+
+@query("strm6_staleness", "WITH p AS (SELECT event_type || '/' || user_id AS path, max(epoch_us(ts) // 1000) AS marked FROM events GROUP BY 1) SELECT path, greatest(1704200000000 - marked, 0) AS elapsed_ms, path LIKE 'click/%' AS inside FROM p")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as marks of files; an answer refers to those that were clicked."""
+    marks = b.calls(spark, sf_dir).select(F.concat_ws("/", "tool", F.col("user_id").cast("string")).alias("path"), F.col("ms").alias("marked_at"))
+    return live.staleness(marks, marks.where("path like 'click/%'"), 1_704_200_000_000)
+
+
+@query("strm8_active_targets", "WITH t AS (SELECT user_id AS target, max(event_id * 40) + 2000 AS until_ms FROM events WHERE event_id * 40 <= 20000 GROUP BY 1) SELECT target, until_ms FROM t WHERE until_ms > 20000")
+def active_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose last call is two seconds old at most after twenty seconds of a call every 40 ms."""
+    return live.active_targets(table(spark, sf_dir, "events").select(F.col("user_id").alias("target"), (F.col("event_id") * 40).alias("ms")), 20_000)
+
+
+@query("tel6_raw_cost", "WITH r AS (SELECT event_id AS call, user_id * 7 AS doc FROM events UNION ALL SELECT event_id, event_id % 50 FROM events), c AS (SELECT doc_id, CAST(round(length(text) / 3.7) AS BIGINT) AS tokens FROM documents), u AS (SELECT call, sum(tokens) AS tokens FROM (SELECT DISTINCT call, doc FROM r) x JOIN c ON doc = doc_id GROUP BY 1), n AS (SELECT call, count(*) AS asked FROM r GROUP BY 1) SELECT n.call, CAST(CASE WHEN coalesce(tokens, 0) = 0 THEN asked * 1500 ELSE tokens END AS BIGINT) AS raw_tokens FROM n LEFT JOIN u ON n.call = u.call")
+def raw_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event refers to two documents; what they would have cost whole."""
+    events = table(spark, sf_dir, "events")
+    name = lambda c: F.concat(F.lit("/doc/"), c.cast("string")).alias("path")
+    asked = events.select(F.col("event_id").alias("call"), name(F.col("user_id") * 7)).unionByName(events.select(F.col("event_id").alias("call"), name(F.col("event_id") % 50)))
+    contents = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), texts.token_estimate(F.col("text")).alias("tokens"))
+    return telemetry.raw_cost(asked, contents)
+
+
+_SOURCES = """f AS (SELECT p_partkey AS id, p_size % 3 AS r, 'use' || regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') || p_partkey AS n FROM part)"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file of each part: path, language, content, id and name, in one of three languages."""
+    name = F.concat(F.lit("use"), F.regexp_replace("p_name", "[^A-Za-z0-9]", ""), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("r"), name.alias("n"))
+    script = F.concat(F.lit("import x from 'zustand'\n// export const useOld = create<S>()\nexport const "), "n", F.lit(": Store = create<S>()\nconst bus = new EventEmitter()\nbus.emit('"), "n", F.lit("', 1)"))
+    python = F.concat(F.lit("from pydantic import BaseModel\n\nclass "), "n", F.lit("(BaseModel):\n    x: int\n\n@app.task\ndef run_"), "n", F.lit("():\n    pass"))
+    go = F.concat(F.lit('package a\nimport "gorm"\ntype '), "n", F.lit(" struct {\n  gorm.Model\n}\ntype Plain struct {\n  X int\n}\nfunc main() {\n  api := e.Group(\"/v1\")\n  api.GET(\"/"), "n", F.lit('", handle)\n}\n// @router /go/'), "n", F.lit(" [get]\nfunc (c *C) Serve() {}"))
+    pick = lambda *x: F.when(F.col("r") == 0, x[0]).when(F.col("r") == 1, x[1]).otherwise(x[2])
+    return rows.select("id", "n", F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), pick(F.lit("javascript"), F.lit("python"), F.lit("go")).alias("language"), pick(script, python, go).alias("content"))
+
+
+@query("st_sc_declarations", f"WITH {_SOURCES} SELECT 'p/' || id AS path, 'state_store' AS kind, n AS name, CAST(3 AS INT) AS line FROM f WHERE r = 0 UNION ALL SELECT 'p/' || id, 'database_schema', n, 3 FROM f WHERE r <> 0 UNION ALL SELECT 'p/' || id, 'state_store', 'run_' || n, 6 FROM f WHERE r = 1")
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State stores and schemas of source files made from all parts."""
+    return declared.declarations(_sources(spark, sf_dir))
+
+
+@query("rt6_go_routes", f"WITH {_SOURCES} SELECT 'p/' || id AS path, '/v1/' || n AS route, 'handle' AS handler, CAST(11 AS INT) AS line FROM f WHERE r = 2 UNION ALL SELECT 'p/' || id, '/go/' || n, 'Serve', 13 FROM f WHERE r = 2")
+def go_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return declared.go_routes(_sources(spark, sf_dir).where("language = 'go'"))
 
 
 def _turns_sql(gap_ms: int) -> str:
@@ -189,11 +244,11 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.reconcile(part.where("p_partkey % 5 <> 0"), found)
 
 
-@query("strm5_smoothed_rate")
+@query("strm5_smoothed_rate", "WITH r AS (SELECT user_id || '/' || CAST(ts AS DATE) AS run, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT run, round(list_reduce(v, lambda a, x: CAST(0.3 AS DOUBLE) * x + CAST(0.7 AS DOUBLE) * a), 9) AS ema FROM r")
 def smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed value of each user's day of events, folded in order."""
     rows = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("run"), "event_id", "value")
-    return telemetry.smoothed(rows, "run", "event_id", "value")
+    return telemetry.smoothed(rows, "run", "event_id", "value", decimals=9)
 
 
 @query("agg10_percentile", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS mean FROM events) SELECT event_type, round(min(mean), 6) AS mean, max(CASE WHEN place = least(floor(n * 0.95), n - 1) THEN value END) AS at_place FROM r GROUP BY 1")

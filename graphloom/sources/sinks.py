@@ -18,31 +18,65 @@ def _files(spark: SparkSession, root: str):
     return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def _read(spark: SparkSession, fs, path) -> str:
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _current(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """The number and the version of the newest pointer; (0, None) without one."""
+    fs, path = _files(spark, root)
+    if not fs.exists(path(root)):
+        return 0, None
+    found = [x.getPath() for x in fs.listStatus(path(root)) if x.getPath().getName().startswith(f"{POINTER}-")]
+    newest = max(found, key=lambda x: x.getName(), default=None)
+    return (int(newest.getName().rpartition("-")[2]), _read(spark, fs, newest)) if newest else (0, None)
+
+
 def save_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Writes a new version of all tables, then points to it; readers see the old version or the new one."""
+    """Writes a new version of all tables, then points to it; readers see the old version or the new one.
+
+    Pointers are numbered and written aside first; the newest counts, so there
+    is no moment without one. Two writers of one number are an error.
+    """
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
     fs, path = _files(spark, root)
-    fresh, pointer = path(f"{root}/{POINTER}-{version}"), path(f"{root}/{POINTER}")
+    number = _current(spark, root)[0] + 1
+    fresh, pointer = path(f"{root}/new-{version}"), path(f"{root}/{POINTER}-{number:012d}")
     out = fs.create(fresh, True)
     out.writeBytes(version)
     out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
+    if fs.exists(pointer) or not fs.rename(fresh, pointer):
         raise OSError(f"could not point {root} to {version}")
+    fs.delete(path(f"{root}/{POINTER}-{number - 2:012d}"), False)
     return version
 
 
 def load_tables(spark: SparkSession, names: list[str], root: str) -> dict[str, DataFrame]:
     """The tables of the current version; raises FileNotFoundError before the first one."""
-    fs, path = _files(spark, root)
-    if not fs.exists(path(f"{root}/{POINTER}")):
+    version = _current(spark, root)[1]
+    if version is None:
         raise FileNotFoundError(f"{root} holds no version")
-    version = spark.read.text(f"{root}/{POINTER}").first().value
     return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in names}
 
 
+def append_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
+    """A new version with the rows of the current one, if any, and those given; columns that either side lacks are null."""
+    known = load_tables(spark, list(tables), root) if _current(spark, root)[1] else {}
+    return save_tables(spark, {name: known[name].unionByName(df, allowMissingColumns=True) if name in known else df for name, df in tables.items()}, root)
+
+
+def migrated(table: DataFrame, schema: str) -> DataFrame:
+    """``table`` in the columns of a schema: known ones cast, missing ones null, others left out."""
+    fields = table.sparkSession.createDataFrame([], schema).schema.fields
+    return table.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def recent_projects(opened: DataFrame, keep: int = 10) -> DataFrame:
     """(path, opened_at): the newest ``keep`` projects, each once; paths differ by neither slashes nor case of the drive."""
     path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), "/+$", "")

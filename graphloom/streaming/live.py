@@ -80,3 +80,32 @@ def telemetry_tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     rows = spark.readStream.schema(schema).parquet(folder)
     ratio = F.when(F.col("output_tokens") > 0, F.col("raw_tokens") / F.col("output_tokens")).when(F.col("raw_tokens") > 0, 18.5).otherwise(1.0)
     return rows.withColumn("ratio", ratio)
+
+
+def staleness(pending_marks: DataFrame, referenced: DataFrame, now_ms: int) -> DataFrame:
+    """(path, elapsed_ms, inside): files that wait for an update, and whether an answer refers to them (path)."""
+    inside = referenced.select("path").distinct().withColumn("inside", F.lit(True))
+    waited = F.greatest(F.lit(now_ms) - F.col("marked_at"), F.lit(0)).alias("elapsed_ms")
+    return pending(pending_marks).join(inside, "path", "left").select("path", waited, F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+#: Milliseconds for which the targets of a call stay active.
+PULSE_MS = 2000
+
+
+def active_targets(calls: DataFrame, now_ms: int) -> DataFrame:
+    """(target, until_ms): targets of calls (target, ms) that are active at a time; a later call keeps one active longer."""
+    return calls.where(F.col("ms") <= now_ms).groupBy("target").agg((F.max("ms") + PULSE_MS).alias("until_ms")).where(F.col("until_ms") > now_ms)
+
+
+def synced(symbols: DataFrame, edges: DataFrame, changed: DataFrame, fresh_symbols: DataFrame, fresh_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols (file_path, ...) and file edges (from_path, to_path, ...) after changed files (path) are read anew.
+
+    Rows of changed files go and fresh ones come, if their file still exists;
+    edges of other files to a file without symbols left go too.
+    """
+    gone = changed.select("path").distinct()
+    own = replaced(symbols, "file_path", gone, fresh_symbols)
+    kept = replaced(edges, "from_path", gone, fresh_edges)
+    lost = gone.join(own.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti").withColumnRenamed("path", "to_path")
+    return own, kept.join(lost, "to_path", "left_anti").select(*edges.columns)
