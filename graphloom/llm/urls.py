@@ -148,8 +148,9 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").cast("string").alias("url")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("held", F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % CALIBRATION == 0)
     urls = judged.groupBy("url").agg(F.count("*").alias("n"), F.first(F.col("found.allow")).alias("allow"), F.first("held").alias("held"))
-    # The number of partitions is given, as Spark would gather what is small here and large once its grams are made.
-    urls = urls.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "url")
+    # The number of partitions is given, as Spark would gather what is small here and large once its grams are made;
+    # dealt by a key, the exchange of the aggregation would do, and that is gathered.
+    urls = urls.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     urls = scratch.keep(urls.withColumn("grams", grams(normalised(F.col("url")))), "urls")
     each = urls.select("url", "n", "allow", "held", F.explode("grams").alias("gram"))
     counted = scratch.keep(each.where("allow is not null and not held").groupBy("gram", "allow").agg(F.sum("n").alias("n")), "counts")
