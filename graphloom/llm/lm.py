@@ -7,9 +7,12 @@ biases, give the normalised class probabilities. Within a class of several
 words, a word has probability (c + 1) / (N + V + 1) from the class's own
 training counts, of which one share is left for unseen words.
 
-Counts come from all training documents by aggregation. Every partition trains
-on its own training documents by noise-contrastive estimation from the same
-start; the parameters are averaged, weighted by tokens. What the driver gets is
+Counts come from all training documents by aggregation. For training, texts
+become a byte of class a token; equal rows are counted first and weigh by their
+number. Rows are dealt to shards by hash, ordered within them, and each shard
+trains by noise-contrastive estimation from the same start; the parameters are
+averaged, weighted by tokens. The number of shards follows the tokens, so the
+result doesn't depend on how the table is split. What the driver gets is
 bounded: CLASSES vectors and the counts of HOT words. Counts of all other words
 stay distributed and are joined.
 """
@@ -39,6 +42,8 @@ RATE, ROUNDS = 0.05, 1
 HOT, HOT_BYTES = 100_000, 64
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 200_000
+#: Tokens of a shard; with fewer than SHARDS of these, SHARDS smaller ones of at least LEAST tokens.
+SHARD_TOKENS, SHARDS, LEAST = 1 << 24, 32, 1 << 19
 #: Parameter sets that one task adds up.
 FAN_IN = 64
 #: The end token; no word is empty.
@@ -189,16 +194,17 @@ class Trainer:
         """Tokens of the next step: few at first, STEP later on."""
         return min(STEP, STEP // 16 * (1 + self.steps // 16))
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        """context (n, CONTEXT) and target (n) classes."""
-        p, n = self.p, len(target)
+    def step(self, context: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """context (n, CONTEXT) and target (n) classes, each counted ``weight`` times."""
+        p, n = self.p, weight.sum()
+        context, target = context.astype(np.int64), target.astype(np.int64)
         vectors = p["context"][context]
         guess = (vectors * p["place"]).sum(axis=1)
         noise = np.minimum(np.searchsorted(self.noise_at, self.draw.random(NOISE)), CLASSES - 1)
         own = (guess * p["output"][target]).sum(axis=1) + p["bias"][target] - self.log_noise[target]
         other = guess @ p["output"][noise].T + (p["bias"][noise] - self.log_noise[noise])
-        g_own = -1 / (1 + np.exp(np.clip(own, -30, 30)))
-        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
+        g_own = -weight / (1 + np.exp(np.clip(own, -30, 30)))
+        g_other = weight[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
         g_guess = g_own[:, None] * p["output"][target] + g_other @ p["output"][noise]
         output = _rows_sum(target, g_own[:, None] * guess)
         np.add.at(output, noise, g_other.T @ guess)
@@ -210,13 +216,13 @@ class Trainer:
             gradient = (gradient / n).astype(np.float32)
             self.squares[name] += gradient * gradient
             self.p[name] -= RATE * gradient / np.sqrt(self.squares[name])
-        self.tokens += n
+        self.tokens += len(target)
         self.steps += 1
 
 
 def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and targets of texts, each with the end token after it and CONTEXT of them before it."""
-    pad = np.full(CONTEXT, end)
+    pad = np.full(CONTEXT, end, sequences[0].dtype)
     parts = [x for s in sequences for x in (pad, s, pad[:1])]
     joined = np.concatenate(parts)
     sizes = np.array([len(s) + 1 for s in sequences])
@@ -248,10 +254,32 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], names=["params"])
 
 
+def shards(tokens: int) -> int:
+    """The number of shards for so many training tokens."""
+    return max(-(-tokens // SHARD_TOKENS), min(SHARDS, -(-tokens // LEAST)), 1)
+
+
+def class_rows(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(doc_id, classes binary, times): the class of each token in a byte, and how many rows are so."""
+    held = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = held.value
+        lex.ready()
+        for batch in batches:
+            for part in slices(batch):
+                classes = [lex.sequence(words(x))[1].astype(np.uint8).tobytes() for x in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary())], names=["doc_id", "classes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, classes binary")
+    return rows.groupBy("doc_id", "classes").agg(F.count("*").alias("times"))
+
+
 def train(docs: DataFrame, lex: Lexicon, scratch: Scratch) -> dict[str, np.ndarray]:
     """The averaged parameters after ROUNDS over all given documents."""
     spark = docs.sparkSession
     params = start(lex)
+    rows = class_rows(docs, lex).repartition(shards(lex.tokens), "doc_id", "classes").sortWithinPartitions("doc_id", "classes")
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((lex, params))
 
@@ -260,28 +288,29 @@ def train(docs: DataFrame, lex: Lexicon, scratch: Scratch) -> dict[str, np.ndarr
             lex.ready()
             trainer = None
             for batch in batches:
-                for part in slices(batch, rows=500, size=1 << 20):
-                    texts = as_bytes(part.column(1))
+                for part in slices(batch, "classes", rows=500, size=1 << 18):
+                    rows = part.column(1).to_pylist()
                     if trainer is None:
-                        trainer = Trainer(params, lex, zlib.crc32(texts[0] or b"", turn))
-                    context, target = windows([lex.sequence(words(x))[1] for x in texts], lex.end_class)
+                        trainer = Trainer(params, lex, zlib.crc32(rows[0], turn))
+                    context, target = windows([np.frombuffer(x, np.uint8) for x in rows], lex.end_class)
+                    weight = np.repeat(part.column(2).to_numpy().astype(np.float32), [len(x) + 1 for x in rows])
                     order = trainer.draw.permutation(len(target))
                     at = 0
                     while at < len(order):
                         own = order[at : at + trainer.size()]
-                        trainer.step(context[own], target[own])
+                        trainer.step(context[own], target[own], weight[own])
                         at += len(own)
             sets = [_pack(trainer.p, trainer.tokens)] if trainer else []
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], names=["params"])
 
-        sets = scratch.keep(docs.select("doc_id", "text").mapInArrow(run, "params binary"), f"sets-{turn}")
+        sets = scratch.keep(rows.mapInArrow(run, "params binary"), f"sets-{turn}")
         level, n = 0, sets.count()
         while n > FAN_IN:
             sets = scratch.keep(sets.repartition(math.ceil(n / FAN_IN)).mapInArrow(_added, "params binary"), f"sets-{turn}-{level}")
             level, n = level + 1, sets.count()
-        rows = sorted(bytes(r.params) for r in sets.collect())
-        if rows:
-            params = _unpack(sum(np.frombuffer(r) for r in rows), params)
+        found = sorted(bytes(r.params) for r in sets.collect())
+        if found:
+            params = _unpack(sum(np.frombuffer(r) for r in found), params)
     return params
 
 

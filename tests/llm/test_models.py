@@ -134,6 +134,28 @@ def test_model_beats_the_base_on_held_out_texts(spark, docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_scores_don_t_depend_on_the_split(spark, docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 2000)
+    given = docs([*lm_rows(), *edge_rows, *[(11, "the one and only")] * 40])
+    scores = lambda n: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm.score(given.repartition(n)).collect())
+    assert np.allclose(scores(1), scores(5), rtol=1e-5)
+
+
+def test_shards_follow_the_tokens():
+    assert [lm.shards(n) for n in (0, 1, 1 << 20, 1 << 24, 1 << 30, 1 << 40)] == [1, 1, 2, 32, 64, 1 << 16]
+
+
+def test_a_weight_counts_like_repeated_tokens(spark, docs, scratch):
+    lex = lm.lexicon(scratch.keep(lm.count_words(docs(lm_rows())), "counts")).ready()
+    draw = np.random.default_rng(5)
+    context, target = draw.integers(0, lm.CLASSES, (20, lm.CONTEXT)), draw.integers(0, lm.CLASSES, 20)
+    times = draw.integers(1, 4, 20)
+    one, many = (lm.Trainer(lm.start(lex), lex, 3) for _ in range(2))
+    one.step(context, target, times.astype(np.float32))
+    many.step(np.repeat(context, times, axis=0), np.repeat(target, times), np.ones(times.sum(), np.float32))
+    assert all(np.allclose(one.p[k], many.p[k], atol=1e-3) for k in one.p)
+
+
 def test_class_probabilities_are_normalised(spark, docs, scratch):
     given = docs(lm_rows())
     lex = lm.lexicon(scratch.keep(lm.count_words(given), "counts"))
