@@ -126,7 +126,7 @@ def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.savings(nodes, b.file_edges(spark, sf_dir), nodes.where("path like 'src/brand1%'"))
 
 
-@query("jn18_activity_targets", code("""calls AS (SELECT id AS call, CASE id % 3 WHEN 0 THEN '/root/' || file_path WHEN 1 THEN regexp_extract(file_path, '[^/]*$') ELSE file_path || '#' || name END AS path, name AS symbol FROM symbols WHERE id % 7 = 0 OR id % 3 = 2),
+@query("jn18_activity_targets", code("""calls AS (SELECT id AS call, CASE id % 3 WHEN 0 THEN '/root/' || file_path WHEN 1 THEN regexp_extract(file_path, '[^/]*$') ELSE file_path || '#' || name END AS path, name AS symbol FROM symbols),
 own AS (SELECT call, regexp_replace(split_part(path, '#', 1), '^\\.?/', '') AS p, symbol AS s FROM calls),
 hit AS (SELECT call, p AS file, s FROM own UNION SELECT call, f.path, s FROM own JOIN files f ON f.path = p OR ends_with(f.path, '/' || p) OR ends_with(p, '/' || f.path) UNION SELECT call, y.file_path, s FROM own JOIN symbols y ON y.name = s)
 SELECT DISTINCT call, unnest([file, file || '#' || s]) AS target FROM hit"""))
@@ -134,7 +134,7 @@ def activity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls on paths below another root, on bare file names and on file#symbol."""
     own = b.symbols(spark, sf_dir)
     path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/root/"), "file_path")).when(F.col("id") % 3 == 1, F.substring_index("file_path", "/", -1)).otherwise(F.concat_ws("#", "file_path", "name"))
-    calls = own.where("id % 7 = 0 or id % 3 = 2").select(F.col("id").alias("call"), path.alias("path"), F.col("name").alias("symbol"))
+    calls = own.select(F.col("id").alias("call"), path.alias("path"), F.col("name").alias("symbol"))
     return lookup.activity_targets(calls, b.files(spark, sf_dir), own)
 
 
@@ -314,10 +314,10 @@ def coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coupling(b.file_edges(spark, sf_dir), membership)
 
 
-@query("gr17_neighbourhood", code("near AS (SELECT from_path AS anchor, to_path AS node FROM file_edges UNION SELECT to_path, from_path FROM file_edges UNION SELECT path, path FROM files), a AS (SELECT * FROM near WHERE anchor LIKE 'src/brand2/%') SELECT x.anchor, e.from_path, e.to_path, e.kind FROM file_edges e JOIN a x ON e.from_path = x.node JOIN a y ON e.to_path = y.node AND x.anchor = y.anchor"))
+@query("gr17_neighbourhood", code("near AS (SELECT from_path AS anchor, to_path AS node FROM file_edges UNION SELECT to_path, from_path FROM file_edges UNION SELECT path, path FROM files) SELECT x.anchor, e.from_path, e.to_path, e.kind FROM file_edges e JOIN near x ON e.from_path = x.node JOIN near y ON e.to_path = y.node AND x.anchor = y.anchor"))
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges around each file of one directory."""
-    anchors = b.files(spark, sf_dir).where(paths.in_scope(F.col("path"), "src/brand2")).select(F.col("path").alias("anchor"))
+    """Edges around each file."""
+    anchors = b.files(spark, sf_dir).select(F.col("path").alias("anchor"))
     return graph.neighbourhood(b.file_edges(spark, sf_dir), anchors)
 
 
