@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import basename, directory, is_dampened_hub
 from graphloom.storage import Scratch
 
-ROUNDS, HUB_WEIGHT, SMALL = 10, 0.1, 30
+ROUNDS, HUB_WEIGHT, SMALL, KEY_EXPORTS = 10, 0.1, 30, 3
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,8 +55,8 @@ def communities(nodes: DataFrame, edges: DataFrame, scratch: Scratch, rounds: in
     return labels.join(found, "label").select(F.col("node").alias("path"), "community")
 
 
-def summaries(membership: DataFrame, ranks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, name, file_count, top_hub, cohesion), a row per community.
+def summaries(membership: DataFrame, ranks: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(community, name, file_count, top_hub, cohesion), a row per community; with names (path, ordinal, name), the hub's first three as key_exports.
 
     The hub has the highest rank, of equals the first path. Cohesion is the
     share of possible pairs that are linked; 1 for a single file. The name is
@@ -78,4 +78,10 @@ def summaries(membership: DataFrame, ranks: DataFrame, edges: DataFrame) -> Data
     spoken = F.replace(F.regexp_replace("dir", "^src/", ""), F.lit("/"), F.lit(" / "))
     name = F.when(F.col("file_count") == 1, basename(F.col("top_hub"))).when(F.col("n") >= F.greatest(F.floor(F.col("file_count") / 2), F.lit(1)), spoken).otherwise(F.concat(stem, F.lit(" Domain")))
     cohesion = F.when(F.col("file_count") <= 1, 1.0).otherwise(F.least(F.col("pairs") / possible, F.lit(1.0)))
-    return joined.select("community", name.alias("name"), "file_count", "top_hub", F.round(cohesion, 6).alias("cohesion"))
+    out = joined.select("community", name.alias("name"), "file_count", "top_hub", F.round(cohesion, 6).alias("cohesion"))
+    if names is None:
+        return out
+    first = names.join(hubs.select(F.col("top_hub").alias("path")), "path", "left_semi").groupBy("path", "name").agg(F.min("ordinal").alias("ordinal"))
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("ordinal", "name"))).where(F.col("_n") <= KEY_EXPORTS)
+    told = first.groupBy(F.col("path").alias("top_hub")).agg(F.array_sort(F.collect_list(F.struct("_n", "name"))).alias("s")).select("top_hub", F.col("s.name").alias("key_exports"))
+    return out.join(told, "top_hub", "left").withColumn("key_exports", F.coalesce("key_exports", F.array().cast("array<string>")))

@@ -25,6 +25,21 @@ def edge_weight(kind: Column) -> Column:
     return out
 
 
+def weighted(edges: DataFrame) -> DataFrame:
+    """(from_path, to_path, kind, weight) of edges between files that count."""
+    return edges.where("from_path <> to_path").select("from_path", "to_path", "kind", edge_weight(F.col("kind")).alias("weight")).where("weight > 0")
+
+
+def flagged(nodes: DataFrame, raw: DataFrame) -> DataFrame:
+    """(path, barrel, prior) of nodes (path, n_symbols, n_routes): entry points and routes weigh more, barrels and tests less."""
+    degree = raw.groupBy(F.col("from_path").alias("path")).agg(F.count("*").alias("out_degree"))
+    out = nodes.join(degree, "path", "left").fillna(0, ["out_degree"])
+    out = out.withColumn("barrel", is_barrel(F.col("path"), F.col("n_symbols"), F.col("out_degree")))
+    prior = F.when((F.col("n_routes") > 0) | is_entry_point(F.col("path")), ENTRY_BOOST).otherwise(1.0)
+    prior = prior * F.when(F.col("barrel"), BARREL_PRIOR).otherwise(1.0) * F.when(is_test(F.col("path")), TEST_PRIOR).otherwise(1.0)
+    return out.select("path", "barrel", prior.alias("prior"))
+
+
 def links(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(weighted links source, target, weight), (nodes with prior); a link to a barrel goes on to what it exports.
 
@@ -34,21 +49,15 @@ def links(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFra
     """
     nodes = scratch.keep(nodes.select("path", "n_symbols", "n_routes"), "nodes")
     known = nodes.select("path")
-    raw = edges.where("from_path <> to_path").select("from_path", "to_path", "kind", edge_weight(F.col("kind")).alias("weight")).where("weight > 0")
-    raw = raw.join(known.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(known.withColumnRenamed("path", "to_path"), "to_path", "left_semi")
+    raw = weighted(edges).join(known.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(known.withColumnRenamed("path", "to_path"), "to_path", "left_semi")
     raw = scratch.keep(raw, "raw")
-    degree = raw.groupBy(F.col("from_path").alias("path")).agg(F.count("*").alias("out_degree"))
-    flagged = nodes.join(degree, "path", "left").fillna(0, ["out_degree"])
-    flagged = flagged.withColumn("barrel", is_barrel(F.col("path"), F.col("n_symbols"), F.col("out_degree")))
-    prior = F.when((F.col("n_routes") > 0) | is_entry_point(F.col("path")), ENTRY_BOOST).otherwise(1.0)
-    prior = prior * F.when(F.col("barrel"), BARREL_PRIOR).otherwise(1.0) * F.when(is_test(F.col("path")), TEST_PRIOR).otherwise(1.0)
-    flagged = scratch.keep(flagged.select("path", "barrel", prior.alias("prior")), "priors")
-    barrels = flagged.where("barrel").select(F.col("path").alias("at"))
+    told = scratch.keep(flagged(nodes, raw), "priors")
+    barrels = told.where("barrel").select(F.col("path").alias("at"))
     whole = raw.withColumn("at", F.col("to_path")).withColumn("n", F.lit(1))
     if not barrels.isEmpty():
         whole = _through(raw, barrels, scratch)
     spread = whole.groupBy(F.col("from_path").alias("source"), F.col("at").alias("target")).agg(F.sum(F.col("weight") / F.col("n")).alias("weight"))
-    return spread, flagged.select("path", "prior")
+    return spread, told.select("path", "prior")
 
 
 def _through(raw: DataFrame, barrels: DataFrame, scratch: Scratch) -> DataFrame:

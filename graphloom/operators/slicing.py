@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ast
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import numbered, signature
+from graphloom.functions.text import lines, signature, token_estimate
 
 # Fixed value: kinds that hold a call's result rather than take part in calls.
 NOISE = ("variable", "file", "constant", "field", "property")
@@ -51,29 +49,31 @@ def explore(symbols: DataFrame, edges: DataFrame, requested: DataFrame, compact:
 
 
 def symbol_slices(symbols: DataFrame, files: DataFrame, most: int = 6) -> DataFrame:
-    """(id, signature, code) of symbols from files (file_path, content); code lines are numbered as in the file."""
-    joined = symbols.join(files.select("file_path", "content"), "file_path")
-    return joined.select("id", signature(F.col("content"), F.col("start_line"), F.col("end_line"), most).alias("signature"), numbered(F.col("content"), F.col("start_line"), F.col("end_line")).alias("code"))
-
-
-def python_skeleton(source: str) -> str:
-    """The source with function bodies replaced by "...", docstrings kept; unchanged where it doesn't parse."""
-    try:
-        module = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return source
-    rows, spans = source.split("\n"), []
-
-    def visit(node: ast.AST) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                body = child.body[1:] if ast.get_docstring(child) is not None else child.body
-                if body and body[0].lineno > child.lineno:
-                    spans.append((body[0].lineno, body[-1].end_lineno, body[0].col_offset))
-            else:
-                visit(child)
-
-    visit(module)
-    for start, end, indent in sorted(spans, reverse=True):
-        rows[start - 1 : end] = [" " * indent + "..."]
-    return "\n".join(rows)
+    """(id, signature, code) of symbols (id, file_path, start_line, end_line) from files (file_path, content); code lines are numbered as in the file.
+
+    A file is split once, and a symbol gathers its own lines only. Symbols
+    whose file is missing are left out; without lines, both texts are empty.
+    """
+    own = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path", F.greatest("start_line", F.lit(1)).alias("low"), F.col("end_line").alias("high"))
+    rows = files.select("file_path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("file_path", (F.col("at") + 1).alias("k"), "text")
+    asked = own.where("low <= high").select("id", "file_path", "low", F.explode(F.sequence("low", "high")).alias("k"))
+    numbered_line = F.concat(F.lpad(F.col("k").cast("string"), 4, " "), F.lit(": "), "text")
+    met = asked.join(rows, ["file_path", "k"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "text", numbered_line.alias("shown")))).alias("s"))
+    head = F.slice("s.text", 1, most)
+    code = F.coalesce(F.array_join("s.shown", "\n"), F.lit(""))
+    out = own.select("id").join(met, "id", "left")
+    return out.select("id", F.coalesce(signature(F.array_join(head, "\n"), F.lit(1), F.size(head), most), F.lit("")).alias("signature"), code.alias("code"))
+
+
+#: Tokens of sources above which an answer holds signatures only.
+AUTO_BUDGET = 2500
+
+
+def within_budget(slices: DataFrame, key: str, budget: int = AUTO_BUDGET, whole: bool = False) -> DataFrame:
+    """``slices`` (key, signature, code) with ``text``: the code, or, where a key's codes take over ``budget`` tokens, the signature.
+
+    ``shortened`` tells which; ``whole`` keeps the code in any case.
+    """
+    total = slices.groupBy(key).agg(F.sum(token_estimate(F.col("code"))).alias("tokens"))
+    long_ = F.lit(False) if whole else F.col("tokens") > budget
+    return slices.join(total, key).withColumn("shortened", long_).withColumn("text", F.when(F.col("shortened"), F.col("signature")).otherwise(F.col("code"))).drop("tokens")

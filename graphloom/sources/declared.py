@@ -176,3 +176,45 @@ def go_routes(files: DataFrame) -> DataFrame:
     marked = rows.withColumns({"mark": F.last(F.when(said != "", F.struct("line", said.alias("route"))), True).over(before), "code": F.coalesce(F.last(F.when(code, F.col("line")), True).over(before), F.lit(0))})
     noted = marked.where(F.col("mark.line") > F.col("code")).select("path", F.col("mark.route").alias("route"), part(r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)", 1).alias("handler"), F.col("mark.line").alias("line")).where("handler <> ''")
     return direct.unionByName(noted)
+
+
+def nested_routes(files: DataFrame) -> DataFrame:
+    """(path, route, line): Kotlin calls such as get("/x") inside a ``routing {`` block, after the prefixes of the route("/y") { blocks around them.
+
+    The block around a line at each depth is the last one that was opened
+    there, so a window by depth finds them all. Braces are taken to be balanced.
+    """
+    rows = files.where("content is not null").select("path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("path", (F.col("at") + 1).cast("int").alias("line"), F.trim("text").alias("text"))
+    rows = rows.where(~F.col("text").startswith("//"))
+    count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
+    by_file = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("net", count("{") - count("}")).withColumn("depth", F.coalesce(F.sum("net").over(by_file), F.lit(0)))
+    prefix = F.when(F.col("text").endswith("{"), F.nullif(F.regexp_extract("text", r"""(?<![A-Za-z0-9])route\(\s*["']([^"']*)["']""", 1), F.lit("")))
+    opened = F.sequence(F.col("depth").cast("bigint"), (F.col("depth") + F.col("net") - 1).cast("bigint"))
+    blocks = rows.where("net > 0").select("path", "line", F.explode(opened).alias("level"), "depth", F.col("text").rlike(r"(^|\s)routing \{").alias("routing"), prefix.alias("prefix"))
+    first = F.col("level") == F.col("depth")
+    blocks = blocks.select("path", "level", "line", F.struct((F.col("routing") & first).alias("routing"), F.when(first, F.col("prefix")).alias("prefix")).alias("block"), F.lit(None).cast("string").alias("route"))
+    route = F.regexp_extract("text", r"""(?<![A-Za-z0-9])(?:get|post|put|delete|patch|head|options)\(\s*["'](/[^"']*)["']""", 1)
+    calls = rows.withColumn("route", route).where("route <> '' and depth > 0")
+    calls = calls.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("depth") - 1).cast("bigint"))).alias("level"), "line", F.lit(None).cast("struct<routing: boolean, prefix: string>").alias("block"), "route")
+    around = Window.partitionBy("path", "level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    met = blocks.unionByName(calls).withColumn("b", F.last("block", True).over(around)).where("route is not null")
+    told = met.groupBy("path", "line", "route").agg(F.min(F.when(F.col("b.routing"), F.col("level"))).alias("root"), F.array_sort(F.collect_list(F.struct("level", "b.prefix"))).alias("bs")).where("root is not null")
+    inner = F.transform(F.filter("bs", lambda x: (x["level"] > F.col("root")) & x["prefix"].isNotNull()), lambda x: x["prefix"])
+    return told.select("path", F.concat(F.array_join(inner, ""), "route").alias("route"), "line")
+
+
+# Exports of a route module that answer requests, and those of a module below a routes folder.
+VERBS, MODULE_HANDLERS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"), ("loader", "action")
+
+
+def file_route_handlers(routes: DataFrame, exports: DataFrame, handlers: tuple[str, ...] = VERBS, fallback: str | None = None) -> DataFrame:
+    """(path, route, handler) of routes that files serve (path, route), a row for each export (path, name) among ``handlers``.
+
+    Without one, ``fallback`` is the handler if the file exports it, else null.
+    Routers of pages and apps bind VERBS; route modules MODULE_HANDLERS with "default".
+    """
+    asked = exports.where(F.col("name").isin(*handlers, *([fallback] if fallback else []))).select("path", "name").distinct()
+    grouped = routes.select("path", "route").distinct().join(asked, "path", "left").groupBy("path", "route").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    bound = F.filter("names", lambda x: x.isin(*handlers))
+    return grouped.select("path", "route", F.explode_outer(F.when(F.size(bound) > 0, bound).otherwise(F.col("names"))).alias("handler"))

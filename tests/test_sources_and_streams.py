@@ -74,12 +74,6 @@ def test_collapsed_endpoints_and_explore(spark):
     assert sorted(r.edge for r in got) == ["a.ts -references-> s.ts#store", "b.ts#run -calls-> s.ts#store"]
 
 
-def test_python_skeleton():
-    source = 'class A:\n    def f(self):\n        """Says."""\n        x = 1\n        return x\n\ndef g():\n    return 2'
-    assert slicing.python_skeleton(source) == 'class A:\n    def f(self):\n        """Says."""\n        ...\n\ndef g():\n    ...'
-    assert slicing.python_skeleton("def (") == "def ("
-
-
 CODE = {
     "a.py": ("python", 'import os\nfrom .x import y\nclass A(B):\n    def m(self):\n        return y\ndef f():\n    pass\ns = "class Ghost: pass"\n'),
     "b.ts": ("javascript", 'import { x } from "./x";\n// class Ghost {}\nexport class Big extends Base {\n  go() { return "function no() {}"; }\n}\nexport function top() {\n  return 1;\n}\n'),
