@@ -261,13 +261,14 @@ def _rank_sql(rounds: int) -> str:
             f"""s{k + 1} AS (SELECT p.path, ({1 - rank.DAMPING!r} + {rank.DAMPING} * (SELECT coalesce(sum(score), 0) FROM s{k} WHERE path NOT IN (SELECT source FROM shares))) * p.prior + {rank.DAMPING} * coalesce(f.flow, 0) AS score
         FROM prior p LEFT JOIN (SELECT target, sum(score * share) AS flow FROM s{k} JOIN shares ON path = source GROUP BY 1) f ON p.path = f.target)"""
         )
-    return code(", ".join(ctes) + f" SELECT path, round(score / (SELECT max(score) FROM s{rounds}), 6) AS rank_score FROM s{rounds}")
+    ctes.append(f"scaled AS (SELECT path, round(score / (SELECT max(score) FROM s{rounds}), 6) AS rank_score FROM s{rounds})")
+    return code(", ".join(ctes) + " SELECT path, rank_score, row_number() OVER (ORDER BY rank_score DESC, path) AS rank_order FROM scaled")
 
 
 @query("gr4_page_rank", _rank_sql(3))
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three power iterations over the file graph."""
-    return rank.page_rank(b.files(spark, sf_dir), b.file_edges(spark, sf_dir), Scratch(spark, "rank"), iterations=3).select("path", "rank_score")
+    """Three power iterations over the file graph, and their order."""
+    return rank.page_rank(b.files(spark, sf_dir), b.file_edges(spark, sf_dir), Scratch(spark, "rank"), iterations=3).select("path", "rank_score", "rank_order")
 
 
 @query("gr5_rank_order")
