@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, decontaminate, lm, media, minhash, pieces, quality, secrets, token_counts, urls
+from graphloom.llm import chat, decontaminate, lm, media, minhash, pieces, quality, resample, runs, secrets, token_counts, urls
 from graphloom.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,6 +148,54 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.periodic_tails(table(spark, sf_dir, "documents")))
+
+
+def _crc32_sql(data: str) -> str:
+    """The CRC32 of a blob: bit by bit over its bytes, -1 standing for a shift."""
+    items = f"flatten(list_transform(range(1, length(hex({data})), 2), lambda k: [CAST('0x' || substr(hex({data}), k, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {items}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"
+
+
+#: Equal windows of half a shortest run, at each distance in a text, in stretches; of stretches as long as their distance, the smallest distance.
+OP12_SQL = rf"""
+WITH base AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0, {_crc32_sql("encode(CAST(doc_id AS VARCHAR))")} AS h FROM documents
+), sized AS (SELECT doc_id, w0, len(w0) AS n, h, h // 10 AS g FROM base), tails AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM sized),
+texts AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w0[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w0 END AS w FROM tails),
+grams AS (SELECT doc_id, unnest(range(n - {runs.MIN_LENGTH // 2 - 1})) AS i, unnest(list_transform(range(1, n - {runs.MIN_LENGTH // 2 - 2}), lambda k: array_to_string(w[k:k + {runs.MIN_LENGTH // 2 - 1}], ' '))) AS x FROM texts WHERE n >= {runs.MIN_LENGTH}),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i),
+parts AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs),
+equal AS (SELECT doc_id, q, min(i) AS s, max(i) + {runs.MIN_LENGTH // 2} - min(i) AS m FROM parts GROUP BY doc_id, q, part),
+found AS (SELECT doc_id, s AS start, m + q AS length, min(q) AS period FROM equal WHERE m >= q AND m + q >= {runs.MIN_LENGTH} GROUP BY 1, 2, 3),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text, max({{'l': length, 's': -start, 'p': -period}}) AS best,
+  list_distinct(flatten(list(range(start + period, start + length)))) AS gone FROM found GROUP BY doc_id),
+gone AS (SELECT doc_id, unnest(gone) AS i FROM lines), words AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS x FROM texts),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(-best.p AS BIGINT) AS period,
+  CAST(1000 * best.l // -best.p AS BIGINT) AS exponent_milli, sha256(coalesce(l.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN lines l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_RESAMPLED = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_RESAMPLED} AS w FROM documents), words AS (SELECT doc_id, unnest(w) AS x FROM d), aims AS (SELECT unnest({_RESAMPLED}) AS x FROM benchmark),
+kinds AS (SELECT x, {_crc32_sql("encode(x)")} % {resample.BUCKETS} AS bucket FROM (SELECT x FROM words UNION SELECT x FROM aims)),
+source AS (SELECT bucket, count(*) AS s FROM words JOIN kinds USING (x) GROUP BY bucket), target AS (SELECT bucket, count(*) AS t FROM aims JOIN kinds USING (x) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM words) + {resample.BUCKETS}) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM aims) + {resample.BUCKETS})))) AS BIGINT) AS gain FROM source LEFT JOIN target USING (bucket)),
+sums AS (SELECT doc_id, sum(gain) AS total FROM words JOIN kinds USING (x) JOIN gains USING (bucket) GROUP BY doc_id),
+weights AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(floor(total / CAST(len(w) AS DOUBLE)), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN sums USING (doc_id)),
+scores AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, n_features >= {resample.MIN_WORDS} AS able FROM weights),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= {resample.PERCENT} * n // 100 THEN place END AS rank FROM ranks
+"""
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -159,6 +207,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
@@ -166,4 +216,6 @@ ORACLES = {
     "op2_minhash_near_dedup": OP2_SQL,
     "op3_chat_formatting": _op3_sql(),
     "op7_decontamination": OP7_SQL,
+    "op12_periodic_runs": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
