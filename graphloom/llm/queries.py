@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, decontaminate, lm, media, minhash, pieces, quality, resample, runs, secrets, token_counts, urls
+from graphloom.llm import chat, decontaminate, lm, media, minhash, pieces, pii, quality, resample, runs, secrets, token_counts, urls
 from graphloom.storage import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,6 +148,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.extract(table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.periodic_tails(table(spark, sf_dir, "documents")))
 
@@ -207,6 +211,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_pii": op11_pii,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_importance_resampling": op13_importance_resampling,
 }
