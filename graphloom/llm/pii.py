@@ -133,7 +133,8 @@ def candidates(data: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int
     if b":" in data:
         words += [(*m.span(), 2) for m in _HEX_GROUPS.finditer(data)]
     for m in _DIGIT_GROUPS.finditer(data):
-        if PHONE_DIGITS[0] <= m.end() - m.start():
+        alone = not data[max(0, m.start() - 1) : m.start()].isalnum() and not data[m.end() : m.end() + 1].isalnum()
+        if alone and PHONE_DIGITS[0] <= m.end() - m.start():
             n = len(_digits(m[0]))
             numbers.append((*m.span(), 4 * (CARD_DIGITS[0] <= n <= CARD_DIGITS[1]) + 8 * (PHONE_DIGITS[0] <= n <= PHONE_DIGITS[1])))
     first = _free([x for x in words if x[1] - x[0] <= LONGEST], taken)
