@@ -287,8 +287,9 @@ def periodic_tails(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.element_at(w, (a + (i - a) % p + 1).cast("int"))).otherwise(x)), " ")
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("words", F.when(h % 10 == 0, words))
-    return own.select("doc_id", F.when(F.size("words") > 0, tail(F.col("words"))).otherwise(F.col("text")).alias("text"))
+    # The words are made once, as an element of an array: what a lambda takes from outside is computed again for each word.
+    made = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w))), 1)
+    return own.select("doc_id", F.coalesce(F.when(h % 10 == 0, made), F.col("text")).alias("text"))
 
 
 def run_digest(docs: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
