@@ -1,8 +1,8 @@
 """Chat formatting: typed content parts, reversible escapes, loss masks, attachments.
 
 A turn is rendered as  <|turn|>role NEWLINE body<|end|> NEWLINE. A visitor
-flattens the parts of its content in order: text is escaped, each image, audio
-and document becomes a placeholder <|kind:n|>, n counting attachments of the
+flattens the parts of its content in order: text is escaped, each image, audio,
+document and other part becomes a placeholder <|kind:n|>, n counting attachments of the
 turn, and its reference and the tokens that it expands to are recorded.
 """
 
@@ -25,7 +25,7 @@ _BEFORE = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROL)) + "))(.)", re.
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|turn\|>([^\n]*)\n(.*)<\|end\|>\n", re.S)
 _SEGMENT = re.compile(r"<\|turn\|>.*?<\|end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 
 #: Pixels of an image patch's side, audio frames per second and tokens per document page.
 PATCH, FRAMES, PAGE = 28, 25, 800
@@ -71,11 +71,11 @@ class Flatten:
         self._attach(part, (part["pages"] or 0) * PAGE)
 
     def visit_other(self, part: dict) -> None:
-        raise ValueError(f"unknown content part {part['type']!r}")
+        self._attach(part, 1, "other")
 
-    def _attach(self, part: dict, tokens: int) -> None:
+    def _attach(self, part: dict, tokens: int, mark: str | None = None) -> None:
         place = self.length
-        self._add(f"<|{part['type']}:{len(self.attachments)}|>")
+        self._add(f"<|{mark or part['type']}:{len(self.attachments)}|>")
         self.attachments.append({"kind": part["type"], "ref": part["ref"], "place": place, "tokens": max(1, tokens)})
         self.tokens += max(1, tokens)
 
@@ -87,7 +87,9 @@ class Flatten:
 def render(role: str | None, parts: list[dict]) -> dict:
     """segment, loss_start, loss_end, attachments and n_tokens of one turn; only assistants have a loss span.
 
-    A null part is left out, a part of null type is text, a null size counts as 0.
+    A null part is left out, a part of null type is text, a null size counts as
+    0. A part of an unknown type is an attachment of that kind and one token,
+    with a placeholder of its own.
     """
     flat = Flatten()
     for part in parts:
@@ -118,8 +120,8 @@ def format_turns(messages: DataFrame) -> DataFrame:
     """FORMATTED: a row per row of ``messages`` (conv_id, turn, role, and content array<PART> or text).
 
     The conversation is the concatenation of its segments by turn. Null text is
-    empty, a null role too; null content is a turn without parts. Other columns
-    are ignored. Offsets are in characters of the segment.
+    empty, a null role too; null content is a turn without parts; parts of
+    unknown types are attachments. Other columns are ignored. Offsets are in characters of the segment.
     """
     rich = "content" in messages.columns
     body = F.col("content") if rich else F.col("text").cast("string")

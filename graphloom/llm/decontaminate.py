@@ -132,6 +132,16 @@ def overlaps(seeds: Seeds, ids: list, texts: list[bytes | None]) -> list[tuple]:
     return [(ids[doc], seeds.items[which][0], *found) for (doc, which), found in sorted(best.items())]
 
 
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """The benchmark's items with id and text, as broadcast blocks of about BLOCK_BYTES."""
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in rows])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """RESULT: a row per row of ``docs`` and benchmark item that overlap.
 
@@ -144,14 +154,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The benchmark is read in blocks of about BLOCK_BYTES, each a pass over the
     documents, so what a task holds doesn't grow with it.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks, found = max(1, math.ceil(size / BLOCK_BYTES)), None
-    for k in range(blocks):
-        block = [(r.item_id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        held = spark.sparkContext.broadcast(block)
+    found = None
+    for held in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             seeds = _seeds(held)
@@ -167,5 +172,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no benchmark item; null ids are judged by no one and stay."""
-    return docs.join(find_overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, with all their columns, whose text overlaps with no benchmark item.
+
+    Each row is judged by its own text, so rows that share an id, or have none,
+    are kept or go one by one. Null, empty and blank texts stay; repeated rows
+    are all kept or all go. Without items all rows stay. Blocks of the benchmark
+    are filters one after another; nothing is shuffled.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+    for held in _blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            seeds = _seeds(held)
+            for batch in batches:
+                for part in slices(batch, batch.schema.names[at]):
+                    hit = {doc for doc, *_ in overlaps(seeds, range(part.num_rows), as_bytes(part.column(at)))}
+                    yield part.filter(pa.array([k not in hit for k in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -194,10 +194,11 @@ FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 stri
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """STORED: the payload of each text as PNG, one row per distinct payload and text length.
+    """STORED: the payload of each text as PNG, one row per distinct text of a task's slice.
 
     A text's digest is that of its unpadded bytes, so texts that differ only in
-    padding don't meet.
+    padding don't meet. Payloads aren't shuffled: copies that fall to different
+    slices are stored by each, and whoever joins takes one (``once``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +208,12 @@ def store(docs: DataFrame) -> DataFrame:
                 files = [write_png(padded(x)) for x in own.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([len(x) for x in own.values()], pa.int64()), pa.array(files, pa.binary())], names=["digest", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
-    return rows.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row per digest of STORED or FEATURES rows; those of a digest are equal."""
+    return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in rows.columns if c != "digest"))
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -250,17 +255,28 @@ def wrapped(docs: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_parts, text_sha256, position, caption and FEATURES but the digest: a row per row of ``docs``.
+    """doc_id, FEATURES but the digest, n_parts, text_sha256, position and caption: a row per row of ``docs``.
 
+    Payloads are written as files to the shared folder and read back; their
+    features, one row a digest, are joined to the references of the sequences.
     text_sha256 is that of the sequence's text parts, a line each. The caption
     tells words and bytes of the text as its page had them, so that it can be
     held against n_bytes, which the digest join brings. Null and empty texts
-    hold a payload of zeros. Equal texts share one stored file. Repeated rows
-    and null ids have a row each.
+    hold a payload of zeros. Repeated rows and null ids have a row each.
     """
     scratch = Scratch(docs.sparkSession, "media")
-    found = scratch.keep(features(store(docs)), "features")
+    found = scratch.keep(once(features(scratch.keep(store(docs), "stored"))), "features")
     parts = sequences(wrapped(docs), "doc_id", "html")
     texts = F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: p["text"])
     parts = parts.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), F.filter("parts", lambda p: p["kind"] != "text").alias("parts"))
-    return resolve(parts, "doc_id", found).drop("digest", "kind", "text", "ref")
+    names = [x.split()[0] for x in FEATURES.split(", ")[1:]]
+    return resolve(parts, "doc_id", found).select("doc_id", *names, "n_parts", "text_sha256", "position", "caption")
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """page_id, position, kind, ref, caption and text_sha256: a row per part of each page's html, text and media in their order.
+
+    Null and empty pages have no rows; repeated pages have theirs each.
+    """
+    each = sequences(pages, "page_id", "html").select("page_id", F.explode("parts").alias("p")).select("page_id", "p.*")
+    return each.select("page_id", "position", "kind", "ref", "caption", F.sha2("text", 256).alias("text_sha256"))

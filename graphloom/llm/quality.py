@@ -181,7 +181,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row per row of ``docs``; a null text scores as an empty one."""
+    """(doc_id, held_out, score, predicted), a row per row of ``docs``.
+
+    A null text scores as an empty one, which has a score too; equal texts score
+    alike, whatever their ids; null ids have a row each. An empty table has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +198,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, unchanged."""
+    """The rows of ``docs`` that the model accepts, unchanged.
+
+    Each row is judged by its own text, a null one as an empty one; repeated
+    rows all stay or all go. An empty table stays one.
+    """
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

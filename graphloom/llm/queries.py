@@ -109,6 +109,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_sequences(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -206,6 +210,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_media_columns": op4_media_columns,
     "op5_sentencepiece": op5_sentencepiece,
+    "media_page_sequences": media_page_sequences,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,

@@ -133,7 +133,8 @@ def find_spans(data: bytes | None) -> list[tuple[int, int, str]]:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, secrets) with secrets array<struct<kind, start, end>>, ends exclusive, a row per row.
 
-    Null and empty texts have empty arrays; nothing else is read of ``docs``.
+    Null and empty texts have empty arrays; repeated rows and null ids have a
+    row each; an empty table has none. Nothing else is read of ``docs``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def digest(spans: list[tuple[int, int, str]]) -> tuple[int, int, int, str, str]:
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
-    """scan() with its spans as counts and text: a row per row of ``docs``."""
+    """scan() with its spans as counts and text: a row per row of ``docs``, no spans being 0 and empty text; an empty table has none."""
     part = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -86,9 +86,15 @@ def normalised(url: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Per character, the gram that ends with it; contexts that begin before the text hold START."""
-    padded = F.concat(F.lit(START * (ORDER - 1)), text)
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: padded.substr(k, F.lit(ORDER)))).otherwise(F.array().cast("array<string>"))
+    """Per character, the gram that ends with it; contexts that begin before the text hold START.
+
+    The characters are made once, as an element of an array, as what a lambda
+    takes from outside is computed again for each gram.
+    """
+    characters = F.split(F.concat(F.lit(START * (ORDER - 1)), text), "")
+    each = lambda own: F.transform(F.sequence(F.lit(1), F.size(own) - (ORDER - 1)), lambda k: F.array_join(F.slice(own, k, ORDER), ""))
+    made = F.element_at(F.transform(F.array(characters), each), 1)
+    return F.when(F.length(text) > 0, made).otherwise(F.array().cast("array<string>"))
 
 
 def log_ratios(counted: DataFrame, wanted: DataFrame) -> DataFrame:

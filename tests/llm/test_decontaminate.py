@@ -59,11 +59,22 @@ def test_edge_cases(spark, docs, edge_rows):
     assert sorted((r.doc_id or -1, r.item_id) for r in got.collect()) == [(-1, 3), (5, 3), (5, 3), (8, 4)]
     left = decontaminate.decontaminate(docs(edge_rows), items)
     assert left.columns == ["doc_id", "text", "node", "label"]
-    assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 3, 4, 6, 7]
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 6, 7]
     assert decontaminate.find_overlaps(docs([]), items).count() == 0
     assert decontaminate.find_overlaps(docs(edge_rows), items.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, docs, monkeypatch):
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows = [(5, passage), (5, "a clean text"), (5, "a clean text"), (6, "other"), (None, passage), (None, "clean too")]
+    want = [(str(k), t) for k, t in rows if t != passage]
+    for size in (decontaminate.BLOCK_BYTES, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        left = decontaminate.decontaminate(docs(rows), table(spark, [(1, passage), (2, "nothing like it"), (3, passage + " more")]))
+        assert left.columns == docs(rows).columns
+        assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted(want)
+
+
 def brute_force(same, least):
     """The most equal tokens of any stretch that the rule accepts, 0 if none."""
     total = np.concatenate([[0], np.cumsum(same)])

@@ -64,3 +64,11 @@ def test_redaction_keeps_rows_and_columns(spark, docs, edge_rows):
 
 def test_empty_table(spark, docs):
     assert secrets.scan(docs([])).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark, docs):
+    rows = [(1, "token=abcdefgh12")] * 3 + [(None, "token=abcdefgh12"), (None, None)]
+    given = docs(rows).selectExpr("*", "'s' AS secrets", "1 AS kind", "2 AS start", "'x' AS spans", "3 AS n_hex")
+    assert sorted((str(r.doc_id), r.spans) for r in secrets.scan_digest(given).collect()) == [("1", "assign:0:16")] * 3 + [("None", ""), ("None", "assign:0:16")]
+    left = secrets.redact(given)
+    assert left.columns == given.columns and sorted(str(r.text) for r in left.collect()) == ["None"] + ["[assign]"] * 4

@@ -26,8 +26,19 @@ def test_typed_parts():
     assert all(made["segment"][a["place"] :].startswith(f"<|{a['kind']}:{k}|>") for k, a in enumerate(made["attachments"]))
     role, parts = chat.parse(made["segment"])
     assert parts == ["see", "<|image:0|>", "", "<|audio:1|>", "", "<|document:2|>", "<|image:0|>"]
-    with pytest.raises(ValueError):
-        chat.render("user", [{"type": "video"}])
+
+
+def test_unknown_parts_are_attachments():
+    made = chat.render("user", [{"type": "video", "ref": "v.mp4"}, {"type": "text", "text": "<|other:0|>"}])
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in made["attachments"]] == [("video", "v.mp4", 1)] and made["n_tokens"] == 2
+    assert chat.parse(made["segment"]) == ("user", ["", "<|other:0|>", "<|other:0|>"])
+    assert "<\\|other:0|>" in made["segment"]
+
+
+def test_very_long_turns(spark):
+    text = ("long </s> " * 50_000) + "x" * 1_000_000
+    got = chat.read_back(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", text)] * 2, "conv_id long, turn long, role string, text string"))).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, 2 * len(text), sha256(2 * text.encode()).hexdigest())
 
 
 def test_conversations_read_back(spark):
@@ -70,6 +81,25 @@ def test_media_columns(spark, docs, edge_rows):
     assert media.media_columns(docs([])).count() == 0
 
 
+def test_stored_payloads_are_joined_to_their_references(spark, docs, edge_rows):
+    given = docs(edge_rows)
+    assert media.media_columns(given).columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_parts", "text_sha256", "position", "caption"]
+    stored = media.once(media.store(given))
+    assert stored.count() == len({(t or "") for _, t in edge_rows})
+    found = media.resolve(media.sequences(media.wrapped(given), "doc_id", "html"), "doc_id", stored).collect()
+    assert len(found) == len(edge_rows)
+    for r in found:
+        assert media.read_png(bytes(r.media)) in {media.padded((t or "").encode()) for k, t in edge_rows if k == r.doc_id}
+        assert r.caption.endswith(f" {r.n_bytes} bytes")
+
+
+def test_pages_as_sequences(spark):
+    rows = [(1, '<title>T</title><p>a<img src="u" alt="c">b</p>'), (1, None), (2, ""), (None, "<p>x")]
+    got = media.page_sequences(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, html string, kind string")).collect()
+    said = lambda x: sha256(x.encode()).hexdigest()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 0, "text", None, None, said("T")), (1, 1, "text", None, None, said("a")), (1, 2, "image", "u", "c", None), (1, 3, "text", None, None, said("b")), (None, 0, "text", None, None, said("x"))]))
+
+
 def test_html_sequence():
     page = '<p>One <b>two</b></p><figure><img src="digest:x" alt="old"><figcaption>New &amp; good</figcaption></figure><script>no()</script>three<img src="y" alt="A">'
     got = media.parse_html(page)
@@ -233,6 +263,23 @@ def test_url_rules(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_repeated_null_and_very_long_urls(spark):
+    long = "http://a.example/" + "x" * 20_000
+    rows = [(1, "http://news.org/a"), (1, "http://news.org/a"), (None, "http://news.org/a"), (2, None), (3, ""), (4, long), (4, long), (5, "http://x.com/de/1")]
+    got = urls.filter_urls(spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, host string, n int")).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(k) for k, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.host, r.path), set()).add((r.rule, r.verdict, r.score))
+    assert all(len(x) == 1 for x in by.values())
+    assert by["news.org", "/a"].pop()[:2] == ("org/", "allow") and by["x.com", "/de/1"].pop()[:2] == ("com/de/", "block") and by["", ""].pop() == (None, "block", None)
+
+
+def test_ties_of_the_cut_take_the_least(spark):
+    rows = [(10, True), (10, False), (20, True), (20, False)]
+    assert urls.threshold(spark.createDataFrame(rows, "step long, allow boolean")) == 10
+
+
 def test_url_model_follows_its_examples(spark):
     rows = [(k, f"http://shop{k}.org/good/page{k}") for k in range(200)] + [(1000 + k, f"http://x{k}.com/de/pills-{k}") for k in range(200)] + [(5000, "http://new.net/good/page7"), (5001, "http://new.net/pills-de-9")]
     got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 5000").collect()}
