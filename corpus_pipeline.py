@@ -9,27 +9,34 @@ from graphloom.storage import Scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality model rejects."""
+    """Drops documents that the quality model rejects.
+
+    Each row is scored by its own text; null and empty texts get the score of an
+    empty one. Repeated rows and null ids stay or go by their texts.
+    """
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8).
+
+    Null and empty texts are duplicates of nothing and stay.
+    """
     return minhash.dedup(docs, per=80, cent=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with benchmark items."""
+    """Drops documents that overlap with benchmark items, each row by its own text; null and empty texts stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by the names of their kinds."""
+    """Replaces secrets in the texts by the names of their kinds; all rows and columns stay, null texts as they are."""
     return secrets.redact(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each text, with whether they decode to it."""
+    """Sampled pieces of each text, with whether they decode to it; null and empty texts have none."""
     return pieces.round_trip(docs)
 
 
