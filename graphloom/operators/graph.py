@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors
+from graphloom.operators.pairs import meet, triangles
 from graphloom.storage import Scratch
 
 # Old names of edge kinds, and calls that a trace doesn't follow.
@@ -101,21 +102,29 @@ def trace(symbols: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int =
     """(anchor, id, name, file_path, hops, path): calls followed from each anchor id, 1 to 4 deep.
 
     A call chain ends where it would meet itself; calls of logging sinks are
-    left out. Of each anchor, the first ``limit`` rows by depth and path stay.
+    left out. Of each anchor, the first ``limit`` rows by depth and path stay. As
+    depth comes first, an anchor that has its rows isn't followed further, and
+    one that hasn't has fewer than ``limit`` chains to follow, so a hop makes
+    rows for that many chains an anchor at most.
     """
-    depth = max(1, min(depth, 4))
+    depth, scratch = max(1, min(depth, 4)), Scratch(symbols.sparkSession, "trace")
     own = symbols.select("id", "name", "file_path")
-    row = own.join(anchors.select(F.col("anchor").alias("id")).distinct(), "id").select(F.col("id").alias("anchor"), "id", "name", "file_path", F.lit(0).alias("hops"), F.array("id").alias("trail"), F.col("name").alias("path"))
-    out, step = row, row
+    row = own.join(anchors.select(F.col("anchor").alias("id")).distinct(), "id").select(F.col("id").alias("anchor"), "id", "name", "file_path", F.lit(0).alias("hops"), F.array("id").alias("trail"), F.col("name").alias("path"), F.lit(None if limit is None else limit - 1).cast("int").alias("left"))
+    out = step = row if limit is None or limit > 0 else row.limit(0)
+    by_anchor = Window.partitionBy("anchor")
     followed = edges.where(F.col("kind").isin(*kinds)).select("from_id", "to_id").distinct()
     target = own.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"), F.col("file_path").alias("to_file")).where(~F.lower("name").isin(*SINKS))
     for hop in range(1, depth + 1):
         met = step.join(followed, step["id"] == followed["from_id"]).where(~F.array_contains("trail", F.col("to_id"))).join(target, "to_id")
-        step = met.select("anchor", F.col("to_id").alias("id"), F.col("to_name").alias("name"), F.col("to_file").alias("file_path"), F.lit(hop).alias("hops"), F.concat("trail", F.array("to_id")).alias("trail"), F.concat("path", F.lit(" > "), "to_name").alias("path"))
+        step = met.select("anchor", F.col("to_id").alias("id"), F.col("to_name").alias("name"), F.col("to_file").alias("file_path"), F.lit(hop).alias("hops"), F.concat("trail", F.array("to_id")).alias("trail"), F.concat("path", F.lit(" > "), "to_name").alias("path"), "left")
+        if limit is not None:
+            # The first condition is one that tasks apply before rows are dealt out by anchor.
+            step = step.withColumn("place", F.row_number().over(by_anchor.orderBy("path", "id", "trail"))).where(F.col("place") <= limit).where(F.col("place") <= F.col("left")).drop("place")
+        step = scratch.keep(step, f"hop-{hop}")
         out = out.unionByName(step)
-    if limit is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy("hops", "path", "id", "trail"))).where(F.col("_n") <= limit).drop("_n")
-    return out.drop("trail")
+        if limit is not None:
+            step = step.withColumn("left", (F.col("left") - F.count("*").over(by_anchor)).cast("int")).where("left > 0")
+    return out.drop("trail", "left")
 
 
 def coupling(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -127,21 +136,41 @@ def coupling(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return counts.join(back, ["source", "target"], "left").fillna(False, ["circular"])
 
 
-def neighbourhood(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor, from_path, to_path, kind): edges with both ends among each anchor and its direct neighbours."""
-    both = dependencies(edges).unionByName(dependents(edges)).select(F.col("path").alias("anchor"), F.col("other").alias("node"))
-    near = both.join(anchors, "anchor", "left_semi").unionByName(anchors.select("anchor", F.col("anchor").alias("node"))).distinct()
-    start = near.withColumnRenamed("node", "from_path")
-    end = near.withColumnRenamed("node", "to_path")
-    return edges.join(start, "from_path").join(end, ["anchor", "to_path"]).select("anchor", "from_path", "to_path", "kind")
+def neighbourhood(edges: DataFrame, anchors: DataFrame, nodes: int | None = None, most: int | None = None) -> DataFrame:
+    """(anchor, from_path, to_path, kind): edges with both ends among each anchor and its direct neighbours.
+
+    Route edges make no neighbours, but show where both ends are near. Found are
+    the anchor's own edges and, for each triangle, the edges across from it, so
+    no hub has its neighbours paired. For a drawing, ``nodes`` keeps the anchor
+    and its first neighbours by path, that many in all, and ``most`` the first
+    edges by path and kind.
+    """
+    asked = anchors.select("anchor").distinct()
+    near = dependencies(edges).unionByName(dependents(edges)).where("path <> other").select(F.col("path").alias("anchor"), "other").distinct().join(asked, "anchor", "left_semi")
+    if nodes is not None:
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("other"))).where(F.col("place") < nodes).drop("place")
+    ends = F.array(F.struct(F.col("from_path").alias("anchor"), F.col("to_path").alias("other")), F.struct(F.col("to_path").alias("anchor"), F.col("from_path").alias("other")))
+    own = edges.where("from_path <> to_path").select("*", F.explode(ends).alias("e")).select("e.*", "from_path", "to_path", "kind").join(near, ["anchor", "other"], "left_semi").drop("other")
+    around = near.unionByName(asked.withColumn("other", F.col("anchor")))
+    loops = edges.where("from_path = to_path").join(around, F.col("from_path") == F.col("other")).select("anchor", "from_path", "to_path", "kind")
+    corner = lambda x, y, z: F.struct(F.col(x).alias("anchor"), F.least(y, z).alias("low"), F.greatest(y, z).alias("high"))
+    across = triangles(edges.select(F.col("from_path").alias("a"), F.col("to_path").alias("b"))).select(F.explode(F.array(corner("a", "b", "c"), corner("b", "a", "c"), corner("c", "a", "b"))).alias("t")).select("t.*")
+    for end in ("low", "high"):
+        across = across.join(near.withColumnRenamed("other", end), ["anchor", end], "left_semi")
+    met = edges.select(F.least("from_path", "to_path").alias("low"), F.greatest("from_path", "to_path").alias("high"), "from_path", "to_path", "kind")
+    out = own.unionByName(loops).unionByName(across.join(met, ["low", "high"]).select("anchor", "from_path", "to_path", "kind"))
+    if most is not None:
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("from_path", "to_path", "kind"))).where(F.col("place") <= most).drop("place")
+    return out
 
 
 def adamic_adar(pairs: DataFrame, heaviest: int | None = None) -> DataFrame:
     """(a, b, score) of nodes that share neighbours, from distinct (node, neighbour) rows.
 
     A shared neighbour of degree d adds 1 / ln d, or 1 where d is 1. Pairs come
-    from neighbours, so their number grows with squared degrees; ``heaviest``,
-    if given, is the degree above which neighbours are left out by intent.
+    from neighbours, so their number grows with squared degrees, and those of
+    one neighbour are made in blocks; ``heaviest``, if given, is the degree above
+    which neighbours are left out by intent.
     """
     degree = pairs.groupBy("neighbour").agg(F.count("*").alias("degree"))
     if heaviest is not None:
@@ -149,7 +178,7 @@ def adamic_adar(pairs: DataFrame, heaviest: int | None = None) -> DataFrame:
     known = pairs.join(degree, "neighbour")
     other = pairs.select("neighbour", F.col("node").alias("b"))
     weight = F.when(F.col("degree") > 1, 1 / F.log(F.col("degree").cast("double"))).otherwise(1.0)
-    return known.withColumnRenamed("node", "a").join(other, "neighbour").where("a < b").groupBy("a", "b").agg(F.sum(weight).alias("score"))
+    return meet(known.withColumnRenamed("node", "a"), other, ["neighbour"]).where("a < b").groupBy("a", "b").agg(F.sum(weight).alias("score"))
 
 
 def collapsed_dirs(nodes: DataFrame, above: int = 1000) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.ordering import first_by
+from graphloom.operators.search import holding
 
 
 def by_name(symbols: DataFrame, names: DataFrame, most: int = 1) -> DataFrame:
     """(asked, id, name, file_path, kind): the first symbols by id of each asked name (asked)."""
-    found = symbols.join(names.select("asked").distinct(), F.col("name") == F.col("asked"))
-    ranked = found.groupBy("asked").agg(F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids")) if most > 1 else found.groupBy("asked").agg(F.array(F.min("id")).alias("ids"))
-    return ranked.select("asked", F.explode("ids").alias("id")).join(symbols.select("id", "name", "file_path", "kind"), "id").select("asked", "id", "name", "file_path", "kind")
+    found = symbols.join(names.select("asked").distinct(), F.col("name") == F.col("asked")).select("asked", "id", "name", "file_path", "kind")
+    if most == 1:
+        return found.groupBy("asked").agg(F.min_by(F.struct("id", "name", "file_path", "kind"), "id").alias("s")).select("asked", "s.*")
+    # Tasks keep the first rows of a name before these are dealt out by it.
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("id"))).where(F.col("place") <= most).drop("place")
 
 
 def clean_path(path: Column) -> Column:
@@ -47,12 +49,13 @@ def symbol_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def anchors(symbols: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, id): the symbols of each asked name, or, where no name is equal, all whose name holds it, in any case of A-Z.
 
-    asked is a few names; the wide search is a scan of the symbols for those that are left.
+    The wide search, for names that are left, looks among symbols with a rare
+    gram of the name; an empty name finds nothing by it.
     """
     names = asked.select("asked").distinct()
     equal = symbols.join(names, F.col("name") == F.col("asked")).select("asked", "id")
     left = names.join(equal.select("asked").distinct(), "asked", "left_anti")
-    return equal.unionByName(symbols.join(F.broadcast(left), F.lower("name").contains(F.lower("asked"))).select("asked", "id"))
+    return equal.unionByName(holding(symbols.select("id", "name"), left))
 
 
 def distinct_files(hits: DataFrame, most: int = 5) -> DataFrame:
@@ -94,8 +97,3 @@ def activity_targets(calls: DataFrame, nodes: DataFrame, symbols: DataFrame) ->
     every = asked.select("call", F.col("p").alias("file"), "s").unionByName(under).unionByName(over).unionByName(named)
     both = every.select("call", F.explode(F.array("file", F.concat_ws("#", "file", "s"))).alias("target"), "s", "file").where("s is not null or target = file")
     return both.select("call", "target").distinct()
-
-
-def newest_by(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """The row of the greatest value of a column for each key."""
-    return first_by(rows, keys, [F.col(column).desc()])

@@ -15,14 +15,13 @@ def with_position(df: DataFrame, order: list[Column], scratch: Scratch, name: st
     and adds the counts of the ranges before it. Order columns must tell rows
     apart for positions to be reproducible.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    own = scratch.keep(dealt, f"{name}-ranges")
-    counts = own.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    placed = own.withColumn("_within", within).join(F.broadcast(offsets), "_range")
-    return placed.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_within", "_before")
+    part, n, before, within = (spare(x, df) for x in ("_range", "_n", "_before", "_within"))
+    own = scratch.keep(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), f"{name}-ranges")
+    counts = own.groupBy(part).agg(F.count("*").alias(n))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    placed = own.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order))).join(F.broadcast(offsets), part)
+    return placed.withColumn(name, (F.col(before) + F.col(within)).cast("long")).drop(part, within, before)
 
 
 def spare(name: str, *tables: DataFrame) -> str:
@@ -55,5 +54,6 @@ def running_totals(df: DataFrame, order: list[str], amount: str, scratch: Scratc
 
 def last_rows(df: DataFrame, column: str, keep: int) -> DataFrame:
     """Rows whose id is above max - keep: the rolling retention of a log."""
-    top = df.agg(F.max(column).alias("_top"))
-    return df.crossJoin(F.broadcast(top)).where(F.col(column) > F.col("_top") - keep).drop("_top")
+    most = spare("_top", df)
+    top = df.agg(F.max(column).alias(most))
+    return df.crossJoin(F.broadcast(top)).where(F.col(column) > F.col(most) - keep).drop(most)

@@ -48,16 +48,20 @@ def explore(symbols: DataFrame, edges: DataFrame, requested: DataFrame, compact:
     return rows.distinct()
 
 
-def symbol_slices(symbols: DataFrame, files: DataFrame, most: int = 6) -> DataFrame:
-    """(id, signature, code) of symbols (id, file_path, start_line, end_line) from files (file_path, content); code lines are numbered as in the file.
+def symbol_slices(symbols: DataFrame, files: DataFrame, most: int = 6, of_file: bool = False) -> DataFrame:
+    """(id, signature, code) of symbols (id, file_path, start_line, end_line) from files (file_path, content); code lines are numbered from the symbol's first, or as in the file.
 
-    A file is split once, and a symbol gathers its own lines only. Symbols
-    whose file is missing are left out; without lines, both texts are empty.
+    A file is split once, and a symbol gathers its own lines only: an end after
+    the file's is cut to it before lines are asked for. Symbols whose file is
+    missing are left out; without lines, both texts are empty.
     """
-    own = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path", F.greatest("start_line", F.lit(1)).alias("low"), F.col("end_line").alias("high"))
-    rows = files.select("file_path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("file_path", (F.col("at") + 1).alias("k"), "text")
+    split = files.select("file_path", lines(F.col("content")).alias("own"))
+    sizes = split.groupBy("file_path").agg(F.max(F.size("own")).alias("n"))
+    own = symbols.join(sizes, "file_path").select("id", "file_path", F.greatest("start_line", F.lit(1)).alias("low"), F.least("end_line", "n").alias("high"))
+    rows = split.select("file_path", F.posexplode("own").alias("at", "text")).select("file_path", (F.col("at") + 1).alias("k"), "text")
     asked = own.where("low <= high").select("id", "file_path", "low", F.explode(F.sequence("low", "high")).alias("k"))
-    numbered_line = F.concat(F.lpad(F.col("k").cast("string"), 4, " "), F.lit(": "), "text")
+    number = F.col("k") if of_file else F.col("k") - F.col("low") + 1
+    numbered_line = F.concat(F.lpad(number.cast("string"), 4, " "), F.lit(": "), "text")
     met = asked.join(rows, ["file_path", "k"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "text", numbered_line.alias("shown")))).alias("s"))
     head = F.slice("s.text", 1, most)
     code = F.coalesce(F.array_join("s.shown", "\n"), F.lit(""))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.ordering import running_totals
+from graphloom.operators.ordering import running_totals, spare
+from graphloom.operators.scans import numbered_gaps, running_sums
 from graphloom.storage import Scratch
 
 #: Milliseconds of silence after which a new turn begins; tokens of output that warn; smoothing of rates.
@@ -13,24 +14,23 @@ GAP_MS, WARN_TOKENS, ALPHA = 3000, 4000, 0.3
 
 
 def with_turns(calls: DataFrame, key: str, ms: Column, order: list[str], gap_ms: int = GAP_MS) -> DataFrame:
-    """``calls`` with turn_id: 1 for a key's first call, one more after each gap longer than gap_ms."""
-    by_key = Window.partitionBy(key).orderBy(*order)
-    stamped = calls.withColumn("_ms", ms)
-    opened = stamped.withColumn("_new", F.when(F.col("_ms") - F.lag("_ms").over(by_key) > gap_ms, 1).otherwise(0))
-    running = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return opened.withColumn("turn_id", (1 + F.sum("_new").over(running)).cast("long")).drop("_ms", "_new")
+    """``calls`` with turn_id: 1 for a key's first call, one more after each gap longer than gap_ms. A key's calls may fill many tasks."""
+    return numbered_gaps(calls, key, order, ms, gap_ms, Scratch(calls.sparkSession, "turns"), "turn_id")
 
 
 def with_totals(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Calls with saved_tokens, compression_ratio, turn and session totals and large: needs raw_tokens, output_tokens, turn_id."""
+    """Calls with saved_tokens, compression_ratio, turn and session totals and large: needs raw_tokens, output_tokens, turn_id.
+
+    Turns follow one another in the order, so totals of both come from the same
+    ranges of (key, turn, order).
+    """
     saved = F.greatest(F.col("raw_tokens") - F.col("output_tokens"), F.lit(0))
     both = (F.col("output_tokens") > 0) & (F.col("raw_tokens") > 0)
     ratio = F.when(both, F.greatest(F.col("raw_tokens") / F.col("output_tokens"), F.lit(1.0))).otherwise(1.0)
-    session = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turn = Window.partitionBy(key, "turn_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumns({"saved_tokens": saved.cast("long"), "compression_ratio": F.round(ratio, 6)}).withColumns(
-        {"turn_total_output": F.sum("output_tokens").over(turn), "session_total_output": F.sum("output_tokens").over(session), "large": F.col("output_tokens") > WARN_TOKENS}
-    )
+    own = calls.withColumns({"saved_tokens": saved.cast("long"), "compression_ratio": F.round(ratio, 6), "large": F.col("output_tokens") > WARN_TOKENS})
+    out = F.col("output_tokens")
+    sums = {"turn_total_output": ([key, "turn_id"], out), "session_total_output": ([key], out)}
+    return running_sums(own, sums, [F.col(key), F.col("turn_id"), *map(F.col, order)], Scratch(calls.sparkSession, "totals"))
 
 
 def overall(calls: DataFrame, key: str) -> DataFrame:
@@ -47,20 +47,23 @@ def tag(row: dict) -> str:
 
 def recent(calls: DataFrame, key: str, order: list[Column], keep: int = 100) -> DataFrame:
     """The last ``keep`` rows of each key."""
-    return calls.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+    n = spare("_n", calls)
+    return calls.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(n) <= keep).drop(n)
 
 
 def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float = ALPHA, decimals: int = 6) -> DataFrame:
     """(key, ema): values folded in order, each new one with weight alpha; the first stands alone.
 
     A null gives null and the next value stands alone again. Each value's weight
-    follows from its distance to the end, so no task holds a key's values.
+    follows from its distance to the end, which ranges of (key, order) count, so
+    a key's values may fill many tasks.
     """
-    back = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("_v").desc())
-    placed = samples.withColumn("_v", F.col(value).cast("double")).withColumns({"_d": F.row_number().over(back) - 1, "_nulls": F.count_if(F.col("_v").isNull()).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    own = F.when(F.col("_nulls") == 0, F.col("_v"))
-    share = F.pow(F.lit(1 - alpha), F.col("_d"))
-    first = F.max_by(own * share, F.when(own.isNotNull(), F.col("_d")))
+    rows = samples.select(F.col(key), F.col(order).alias("at"), F.col(value).cast("double").alias("v"))
+    sums = {"d": ([key], F.lit(1)), "nulls": ([key], F.col("v").isNull().cast("int"))}
+    placed = running_sums(rows, sums, [F.col(key), F.col("at").desc(), F.col("v").desc()], Scratch(samples.sparkSession, "smoothed"))
+    own = F.when(F.col("nulls") == 0, F.col("v"))
+    share = F.pow(F.lit(1 - alpha), F.col("d") - 1)
+    first = F.max_by(own * share, F.when(own.isNotNull(), F.col("d")))
     return placed.groupBy(key).agg(F.round(F.sum(own * share) * alpha + first * (1 - alpha), decimals).alias("ema"))
 
 

@@ -315,11 +315,31 @@ def coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coupling(b.file_edges(spark, sf_dir), membership)
 
 
-@query("gr17_neighbourhood", code("near AS (SELECT from_path AS anchor, to_path AS node FROM file_edges UNION SELECT to_path, from_path FROM file_edges UNION SELECT path, path FROM files) SELECT x.anchor, e.from_path, e.to_path, e.kind FROM file_edges e JOIN near x ON e.from_path = x.node JOIN near y ON e.to_path = y.node AND x.anchor = y.anchor"))
+_MARK = "CAST(conv(substr(md5(concat_ws(' ', from_path, to_path)), 1, 8), 16, 10) AS BIGINT)"
+
+
+@query(
+    "gr17_neighbourhood",
+    code("""n AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM files), e AS (SELECT a.k AS f, c.k AS t, kind, CAST('0x' || substr(md5(concat_ws(' ', from_path, to_path)), 1, 8) AS BIGINT) AS mark FROM file_edges JOIN n a ON from_path = a.path JOIN n c ON to_path = c.path),
+near AS (SELECT f AS anchor, t AS node FROM e UNION SELECT t, f FROM e UNION SELECT k, k FROM n)
+SELECT n.path AS anchor, e.kind, count(*) AS n_edges, CAST(sum(e.mark) AS BIGINT) AS edges_sum FROM e JOIN near x ON e.f = x.node JOIN near y ON e.t = y.node AND x.anchor = y.anchor JOIN n ON n.k = x.anchor GROUP BY 1, 2"""),
+)
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges around each file."""
-    anchors = b.files(spark, sf_dir).select(F.col("path").alias("anchor"))
-    return graph.neighbourhood(b.file_edges(spark, sf_dir), anchors)
+    """Edges around each file, counted and summed up by hashes of their ends."""
+    edges = Scratch(spark, "neighbourhood").keep(b.file_edges(spark, sf_dir), "edges")
+    found = graph.neighbourhood(edges, b.files(spark, sf_dir).select(F.col("path").alias("anchor")))
+    return found.withColumn("mark", F.expr(_MARK)).groupBy("anchor", "kind").agg(F.count("*").alias("n_edges"), F.sum("mark").alias("edges_sum"))
+
+
+@query(
+    "gr17_drawing",
+    code("""near AS (SELECT from_path AS anchor, to_path AS node FROM file_edges UNION SELECT to_path, from_path FROM file_edges), kept AS (SELECT anchor, node FROM near QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY node) < 25 UNION ALL SELECT path, path FROM files)
+SELECT x.anchor, e.from_path, e.to_path, e.kind FROM file_edges e JOIN kept x ON e.from_path = x.node JOIN kept y ON e.to_path = y.node AND x.anchor = y.anchor QUALIFY row_number() OVER (PARTITION BY x.anchor ORDER BY e.from_path, e.to_path, e.kind) <= 35"""),
+)
+def drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drawing around each file shows: 25 files and 35 edges at most."""
+    edges = Scratch(spark, "drawing").keep(b.file_edges(spark, sf_dir), "edges")
+    return graph.neighbourhood(edges, b.files(spark, sf_dir).select(F.col("path").alias("anchor")), nodes=25, most=35)
 
 
 @query("gr19_layout", code("SELECT path, split_part(path, '/', 2) AS col, CAST(coalesce(sum(40 + n_symbols * 10 + 24) OVER (PARTITION BY split_part(path, '/', 2) ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM files"))

@@ -303,7 +303,7 @@ _LINES = r"string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)
     rf"""WITH d AS (SELECT doc_id, {_LINES} AS own FROM documents), s AS (SELECT doc_id * 2 AS id, own, 1 AS a, 2 AS z FROM d UNION ALL SELECT doc_id * 2 + 1, own, 2, 9 FROM d),
 h AS (SELECT id, a, z, own, own[a:least(z, a + 5)] AS head FROM s), k AS (SELECT *, list_position(list_transform(head, lambda x: regexp_matches(rtrim(x), '(\{{|:|=>|;)$')), true) AS hit FROM h)
 SELECT id, coalesce(regexp_replace(array_to_string(CASE WHEN coalesce(hit, 0) > 0 THEN head[1:hit] ELSE head END, chr(10)), '[{{\s]+$', ''), '') AS signature,
- CASE WHEN len(own) >= a THEN array_to_string(list_transform(range(a, least(z, len(own)) + 1), lambda i: lpad(CAST(i AS VARCHAR), 4, ' ') || ': ' || own[i]), chr(10)) ELSE '' END AS code FROM k""",
+ CASE WHEN len(own) >= a THEN array_to_string(list_transform(range(a, least(z, len(own)) + 1), lambda i: lpad(CAST(i - a + 1 AS VARCHAR), 4, ' ') || ': ' || own[i]), chr(10)) ELSE '' END AS code FROM k""",
 )
 def symbol_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 1 to 2 and 2 to 9 of every document as two symbols."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions import text as texts
-from graphloom.operators import ordering, telemetry
+from graphloom.operators import ordering, search, telemetry
 from graphloom.plans import bindings as b
 from graphloom.sources import declared, extract
 from graphloom.storage import Scratch, table
@@ -260,3 +260,18 @@ def percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations")
     return own.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum(texts.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
+_PLAIN = r"string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[\x20\x09-\x0D]+')"
+
+
+@query(
+    "search7_spelt_alike",
+    f"""WITH a AS (SELECT DISTINCT unnest({_PLAIN}) AS name FROM documents), b AS (SELECT DISTINCT unnest({_PLAIN}) AS asked FROM benchmark)
+SELECT asked, name, CAST(levenshtein(asked, name) AS INT) AS distance FROM b JOIN a ON abs(length(asked) - length(name)) <= 1 AND levenshtein(asked, name) <= 1""",
+)
+def spelt_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that one changed character makes of a word of the benchmark; characters that aren't ASCII as question marks."""
+    plain = F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), r"[\x20\x09-\x0D]+")
+    words = lambda name, column: table(spark, sf_dir, name).select(F.explode(plain).alias(column))
+    return search.spelt_alike(words("documents", "name"), words("benchmark", "asked"), 1)

@@ -44,16 +44,18 @@ def test_file_route_handlers(spark):
 
 def test_symbol_slices_by_lines(spark):
     files = spark.createDataFrame([("a", "def f(\n  x):\n  return 1\n"), ("b", None), ("c", "")], "file_path string, content string")
-    symbols = spark.createDataFrame([(1, "a", 1, 3), (2, "a", 3, 9), (3, "a", 7, 9), (4, "b", 1, 2), (5, "gone", 1, 2), (6, "a", 0, 1), (7, "c", 1, 1)], "id long, file_path string, start_line int, end_line int")
+    symbols = spark.createDataFrame([(1, "a", 1, 3), (2, "a", 3, 9), (3, "a", 7, 9), (4, "b", 1, 2), (5, "gone", 1, 2), (6, "a", 0, 1), (7, "c", 1, 1), (8, "a", 2, 20_000_000)], "id long, file_path string, start_line int, end_line int")
     got = {r.id: (r.signature, r.code) for r in slicing.symbol_slices(symbols, files).collect()}
     assert got == {
         1: ("def f(\n  x):", "   1: def f(\n   2:   x):\n   3:   return 1"),
-        2: ("  return 1", "   3:   return 1"),
+        2: ("  return 1", "   1:   return 1"),
         3: ("", ""),
         4: ("", ""),
         6: ("def f(", "   1: def f("),
         7: ("", "   1: "),
+        8: ("  x):", "   1:   x):\n   2:   return 1"),
     }
+    assert slicing.symbol_slices(symbols, files, of_file=True).where("id = 8").first().code == "   2:   x):\n   3:   return 1"
 
 
 def test_answers_within_a_budget(spark):
