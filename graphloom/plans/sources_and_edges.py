@@ -352,3 +352,45 @@ def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = own.where("file_path like 'src/brand1%'").select(F.col("file_path").alias("path")).distinct()
     fresh = edges.where("from_path like 'src/brand1%' and from_path not like '%.md' and kind = 'imports'")
     return live.synced(own, edges, changed, own.where("file_path like 'src/brand1%' and file_path not like '%.md'"), fresh)[1]
+
+
+#: A reference of each symbol that an order links to another: by name, to the first file that has it now.
+_NAMED_SQL = """refs AS (SELECT DISTINCT a.file_path AS from_path, c.name FROM edges e JOIN symbols a ON e.from_id = a.id JOIN symbols c ON e.to_id = c.id),
+now AS (SELECT file_path, CASE WHEN file_path LIKE 'src/brand2%' THEN name || ' new' ELSE name END AS name FROM symbols WHERE file_path NOT LIKE 'src/brand1%'),
+owner AS (SELECT name, min(file_path) AS to_path FROM now GROUP BY name)
+SELECT from_path, to_path, name FROM refs JOIN owner USING (name) WHERE from_path <> to_path AND from_path NOT LIKE 'src/brand1%'"""
+
+
+@query("snk3_merged_batches", code(_NAMED_SQL))
+def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to the first file that has a name, after a stream of two batches of changes: some directories go, others rename all their symbols."""
+    from graphloom.sources.buckets import Bucketed
+
+    scratch = Scratch(spark, "merged")
+    own = scratch.keep(b.symbols(spark, sf_dir).select("id", "file_path", "name"), "symbols")
+    e = b.edges(spark, sf_dir).join(own.select(F.col("id").alias("from_id"), F.col("file_path").alias("from_path")), "from_id").join(own.select(F.col("id").alias("to_id"), "name"), "to_id")
+    refs = scratch.keep(e.select("from_path", "name").distinct(), "refs")
+
+    def edges_of(paths: DataFrame, symbols: DataFrame) -> DataFrame:
+        asked = refs.join(paths.select(F.col("path").alias("from_path")), "from_path", "left_semi").join(symbols.select(F.col("file_path").alias("from_path")).distinct(), "from_path", "left_semi")
+        owner = symbols.groupBy("name").agg(F.min("file_path").alias("to_path"))
+        return asked.join(owner, "name").where("from_path <> to_path").select("from_path", "to_path", "name")
+
+    files = own.select(F.col("file_path").alias("path")).distinct()
+    root = f"{scratch.root}/tables"
+    keys = {"symbols": "file_path", "edges": "from_path"}
+    symbols = own.select("file_path", "name").distinct()
+    Bucketed(spark, root, keys, 16).create({"symbols": symbols, "edges": edges_of(files, symbols)})
+    gone, renamed = files.where("path like 'src/brand1%'"), files.where("path like 'src/brand2%'")
+    scratch.keep(gone.coalesce(1), "changes/batch=1")
+    scratch.keep(renamed.coalesce(1), "changes/batch=2")
+    fresh = symbols.where("file_path like 'src/brand2%'").withColumn("name", F.concat("name", F.lit(" new")))
+
+    def write(changes: DataFrame, batch: int) -> None:
+        symbols_of = lambda paths: fresh.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+        for _ in range(2):  # the second time nothing happens
+            live.merge_changes(Bucketed(spark, root, keys), changes, batch, symbols_of, edges_of)
+
+    stream = spark.readStream.schema("path string, batch int").option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/changes")
+    live.apply_changes(stream, write, f"{scratch.root}/progress").awaitTermination()
+    return Bucketed(spark, root, keys).read("edges")

@@ -232,6 +232,23 @@ def bursts_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("user_id long, first_at timestamp, due_at timestamp, n_marks long").parquet(f"{scratch.root}/out")
 
 
+@query("strm1_marks_streamed", f"WITH {_turns_sql(GAP - 1)} SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS n_marks, min(ms) AS first_ms, max(ms) AS last_ms, max(ms) + {GAP} AS due_ms FROM turns GROUP BY user_id, turn_id")
+def marks_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of all events of each user, from a stateful stream of three batches; two marks in a far future close the last bursts."""
+    from graphloom.streaming import marks
+
+    scratch = Scratch(spark, "marks")
+    own = b.calls(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), "ms", F.lit(False).alias("synced"), F.pmod(F.xxhash64("id"), F.lit(3)).alias("k"))
+    for k in range(3):
+        scratch.keep(own.where(F.col("k") == k).drop("k").coalesce(1), f"given/k={k}")
+    for k in (3, 4):
+        scratch.keep(spark.range(1).select(F.lit("end").alias("path"), F.lit(k * 10**12 * 2).alias("ms"), F.lit(False).alias("synced")), f"given/k={k}")
+    marks.stateful(spark)
+    stream = spark.readStream.schema("path string, ms long, synced boolean").option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/given")
+    live.run_to(marks.due_marks(stream, GAP, "5000 days"), f"{scratch.root}/out", f"{scratch.root}/progress").awaitTermination()
+    return spark.read.schema(marks.DUE).parquet(f"{scratch.root}/out").where("path <> 'end'")
+
+
 @query(
     "strm4_reconcile",
     """WITH known AS (SELECT 'f' || p_partkey AS path, p_size AS size_bytes, p_partkey % 3 AS mtime FROM part WHERE p_partkey % 5 <> 0), found AS (SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 11 = 0 THEN p_size + 1 ELSE p_size END AS size_bytes, p_partkey % 3 AS mtime FROM part WHERE p_partkey % 7 <> 0)

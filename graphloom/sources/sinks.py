@@ -36,6 +36,18 @@ def _current(spark: SparkSession, root: str) -> tuple[int, str | None]:
     return (int(newest.getName().rpartition("-")[2]), _read(spark, fs, newest)) if newest else (0, None)
 
 
+def put_pointer(spark: SparkSession, root: str, number: int, content: str) -> None:
+    """Writes a pointer aside and gives it its number; an error if another writer has taken that. The one before stays for readers."""
+    fs, path = _files(spark, root)
+    fresh, pointer = path(f"{root}/new-{uuid.uuid4().hex}"), path(f"{root}/{POINTER}-{number:012d}")
+    out = fs.create(fresh, True)
+    out.write(content.encode("utf-8"))
+    out.close()
+    if fs.exists(pointer) or not fs.rename(fresh, pointer):
+        raise OSError(f"could not write pointer {number} of {root}")
+    fs.delete(path(f"{root}/{POINTER}-{number - 2:012d}"), False)
+
+
 def save_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
     """Writes a new version of all tables, then points to it; readers see the old version or the new one.
 
@@ -45,15 +57,7 @@ def save_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) ->
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    fs, path = _files(spark, root)
-    number = _current(spark, root)[0] + 1
-    fresh, pointer = path(f"{root}/new-{version}"), path(f"{root}/{POINTER}-{number:012d}")
-    out = fs.create(fresh, True)
-    out.writeBytes(version)
-    out.close()
-    if fs.exists(pointer) or not fs.rename(fresh, pointer):
-        raise OSError(f"could not point {root} to {version}")
-    fs.delete(path(f"{root}/{POINTER}-{number - 2:012d}"), False)
+    put_pointer(spark, root, _current(spark, root)[0] + 1, version)
     return version
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.sources.buckets import Bucketed
+
 #: Milliseconds of quiet after which a changed file is due, and its bounds.
 DEBOUNCE_MS, SHORTEST_MS, LONGEST_MS = 150, 50, 60_000
 #: Share of changed files above which a full build is cheaper.
@@ -75,6 +77,31 @@ def apply_changes(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_changes(
+    tables: Bucketed, changes: DataFrame, batch: int, symbols_of: Callable[[DataFrame], DataFrame], edges_of: Callable[[DataFrame, DataFrame], DataFrame], asking: Callable[[DataFrame], DataFrame] | None = None
+) -> bool:
+    """Merges a batch of changed files (path) into tables ``symbols`` (file_path, ...) and ``edges`` (from_path, to_path, ...).
+
+    Files that depend on a changed one are looked for before its rows go, and
+    their edges are resolved again with its own, as a name may now be found
+    elsewhere or nowhere. ``symbols_of`` gives the symbols that paths now have,
+    none for a deleted file; ``edges_of`` the edges of paths, resolved against
+    all symbols as they will be. ``asking`` gives the files (path) that ask for
+    a fresh symbol's name, which a changed file may take over from another;
+    without it, only dependents are resolved again. A batch that was merged
+    before changes nothing.
+    """
+    if tables.batch is not None and batch <= tables.batch:
+        return False
+    changed = changes.select("path").distinct()
+    redone = affected(changed, tables.read("edges"))
+    fresh = symbols_of(changed)
+    if asking:
+        redone = redone.unionByName(asking(fresh).select("path")).distinct()
+    after = replaced(tables.read("symbols"), "file_path", changed, fresh)
+    return tables.merge({"symbols": (changed, fresh), "edges": (redone, edges_of(redone, after))}, batch)
+
+
 def telemetry_tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """New telemetry rows as they are appended to a folder; ratio falls back to 18.5 where output is 0 but tokens were saved."""
     rows = spark.readStream.schema(schema).parquet(folder)
