@@ -34,10 +34,14 @@ def bm25(rows: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
     stats = totals.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     terms = F.array(*[F.struct(F.lit(p).alias("term")) for p in prefixes])
     hits = rows.select(key, F.explode(F.filter(terms, lambda t: F.col("token").startswith(t["term"]))).alias("t")).groupBy(key, F.col("t.term").alias("term")).agg(F.count("*").alias("tf"))
-    found = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(found, "term").join(totals, key).crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    return bm25_scores(hits.join(totals, key).crossJoin(F.broadcast(stats)), key, F.col("n_docs"), F.col("avg_length"))
+
+
+def bm25_scores(hits: DataFrame, key: str, n_docs: Column, avg_length: Column) -> DataFrame:
+    """(key, score) from a row (key, term, tf, length) per document and term; a term's document frequency is the number of its rows."""
+    joined = hits.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg_length))
     return joined.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
 
 

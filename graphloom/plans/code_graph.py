@@ -386,6 +386,20 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(search.token_table(b.symbols(spark, sf_dir)), "id", ["red", "widget"])
 
 
+@query("search3_stored_index", code(_BM25_SQL.replace("FROM symbols)", "FROM (SELECT id, CASE WHEN id % 5 = 1 THEN replace(name, 'red', 'widgetred') ELSE name END AS name FROM symbols WHERE id % 7 <> 3))")))
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a stored index, after some symbols were renamed and others went."""
+    from graphloom.sources.postings import Index
+
+    scratch = Scratch(spark, "postings")
+    own = b.symbols(spark, sf_dir)
+    root = f"{scratch.root}/index"
+    Index(spark, root).add(search.token_table(own))
+    renamed = own.where("id % 5 = 1 and id % 7 <> 3").withColumn("name", F.replace("name", F.lit("red"), F.lit("widgetred")))
+    Index(spark, root).add(search.token_table(renamed), own.where("id % 7 = 3").select("id"))
+    return Index(spark, root).search(["red", "widget"])
+
+
 @query("top1_manifest", code("""d AS (SELECT to_path AS path, count(DISTINCT from_path) AS in_degree FROM file_edges GROUP BY 1), r AS (SELECT f.path, coalesce(d.in_degree, 0) AS in_degree, row_number() OVER (ORDER BY coalesce(d.in_degree, 0) DESC, f.path) AS rank_order FROM files f LEFT JOIN d USING (path))
 SELECT path, rank_order, in_degree, '- /' || path || CASE WHEN in_degree >= 2 THEN ' (In: ' || in_degree || ')' ELSE '' END AS line FROM r WHERE rank_order <= 20"""))
 def top_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,7 +245,12 @@ def marks_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch.keep(spark.range(1).select(F.lit("end").alias("path"), F.lit(k * 10**12 * 2).alias("ms"), F.lit(False).alias("synced")), f"given/k={k}")
     marks.stateful(spark)
     stream = spark.readStream.schema("path string, ms long, synced boolean").option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/given")
-    live.run_to(marks.due_marks(stream, GAP, "5000 days"), f"{scratch.root}/out", f"{scratch.root}/progress").awaitTermination()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # a state store a partition
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), 8))
+        live.run_to(marks.due_marks(stream, GAP, "5000 days"), f"{scratch.root}/out", f"{scratch.root}/progress").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(marks.DUE).parquet(f"{scratch.root}/out").where("path <> 'end'")
 
 
