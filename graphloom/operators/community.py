@@ -2,8 +2,8 @@
 
 Labels move in synchronous rounds, each one join and one aggregation: a node
 takes the label with the most weight among its neighbours and itself, ties to
-the smallest. A node that visits its neighbours one by one, as a sequential
-sweep does, would need the whole graph in one task.
+the smallest. ``sweep`` gives what a sequential sweep, node by node, would, in
+steps of nodes that no earlier neighbour holds up.
 """
 
 from __future__ import annotations
@@ -55,6 +55,98 @@ def communities(nodes: DataFrame, edges: DataFrame, scratch: Scratch, rounds: in
     return labels.join(found, "label").select(F.col("node").alias("path"), "community")
 
 
+def sweep_levels(near: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """(node) by the step of a sweep in the order of node in which it may move: after all its earlier neighbours have.
+
+    A level is one more than the highest among a node's earlier neighbours, so
+    no two neighbours share one, and there are as many as the longest rising
+    path has nodes.
+    """
+    earlier = scratch.keep(near.where("other < node").select("node", "other").distinct(), "earlier")
+    left = scratch.keep(near.select("node").distinct(), "left")
+    levels: list[DataFrame] = []
+    while not left.isEmpty():
+        k = len(levels)
+        blocked = earlier.join(left.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
+        levels.append(scratch.keep(left.join(blocked, "node", "left_anti"), f"level-{k}"))
+        left = scratch.keep(left.join(levels[-1], "node", "left_anti"), f"left-{k}")
+        if k:
+            scratch.drop(f"left-{k - 1}")
+    return levels
+
+
+def sweep(near: DataFrame, scratch: Scratch, passes: int = ROUNDS, strict: bool = False) -> DataFrame:
+    """(node, label) after passes over all nodes in the order of node, each seeing what those before it have become.
+
+    near has node, other and weight, in both directions. A node takes the label
+    of most weight among its neighbours; of equal ones the smallest, or, with
+    ``strict``, it stays unless another weighs more than its own, and of equal
+    others takes that of its first neighbour by place, a further column of
+    near. Labels are nodes at first. It ends after a pass in which none moved.
+
+    Nodes of a level move at once, as no two of them are neighbours, so the
+    result is that of a sequential sweep, in as many steps a pass as there are
+    levels.
+    """
+    levels = sweep_levels(near, scratch)
+    rows = near if strict else near.withColumn("place", F.lit(0))
+    own = [scratch.keep(rows.join(level, "node", "left_semi").select("node", "other", "weight", "place"), f"near-{k}") for k, level in enumerate(levels)]
+    labels = [level.select("node", F.col("node").alias("label")) for level in levels]
+    for turn in range(passes):
+        moved = False
+        for k, links in enumerate(own):
+            every = labels[0]
+            for part in labels[1:]:
+                every = every.unionByName(part)
+            votes = links.join(every.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("weight"), F.min("place").alias("place"))
+            best = votes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("place")).alias("place"))).alias("top"), F.min_by("label", F.struct(-F.col("weight"), "place" if strict else "label")).alias("new"))
+            held = labels[k].join(best, "node", "left")
+            if strict:
+                mine = votes.select("node", "label", F.col("weight").alias("mine"))
+                held = held.join(mine, ["node", "label"], "left")
+                held = held.withColumn("new", F.when(F.col("top.weight") > F.coalesce("mine", F.lit(0)), F.col("new")).otherwise(F.col("label")))
+            after = scratch.keep(held.select("node", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")), f"labels-{turn}-{k}")
+            moved = moved or not after.where("moved").isEmpty()
+            labels[k] = after.drop("moved")
+            if turn:
+                scratch.drop(f"labels-{turn - 1}-{k}")
+        if not moved:
+            break
+    out = labels[0]
+    for part in labels[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# Folders of a path that name a community, and the share of its files that they must hold.
+NAME_FOLDERS, NAME_SHARE = 2, 0.45
+
+
+def detected(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, scratch: Scratch, passes: int = 8) -> DataFrame:
+    """(path, community, name, top_hub) by a strict sweep over nodes (path, place) in the order of place, edges (from_path, to_path, place) without weights.
+
+    The community is the path of the node whose label it has. It is named by
+    the first two segments of most of its paths, the first of these by order,
+    if they hold NAME_SHARE of them, else by its hub: the file of highest rank
+    (path, rank_score), the first of equals.
+    """
+    spot = nodes.select("path", F.col("place").alias("spot"))
+    a, c = spot.toDF("from_path", "node"), spot.toDF("to_path", "other")
+    links = edges.where("from_path <> to_path").join(a, "from_path").join(c, "to_path").select("node", "other", "place")
+    both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"), "place")).groupBy("node", "other").agg(F.min("place").alias("place")).withColumn("weight", F.lit(1))
+    found = sweep(scratch.keep(both, "both"), scratch, passes, strict=True)
+    member = spot.join(found.select(F.col("node").alias("spot"), "label"), "spot", "left").withColumn("label", F.coalesce("label", "spot"))
+    member = member.join(spot.select(F.col("spot").alias("label"), F.col("path").alias("community")), "label")
+    hubs = member.join(ranks.select("path", "rank_score"), "path", "left").groupBy("community").agg(F.min_by("path", F.struct(-F.coalesce("rank_score", F.lit(0.0)), "spot")).alias("top_hub"), F.count("*").alias("n"))
+    folder = F.array_join(F.slice(F.split("path", "/"), 1, NAME_FOLDERS), "/")
+    dirs = member.where(F.instr("path", "/") > 0).groupBy("community", folder.alias("dir")).agg(F.count("*").alias("held"), F.min("spot").alias("first"))
+    common = dirs.groupBy("community").agg(F.max_by(F.struct("dir", "held"), F.struct("held", -F.col("first"))).alias("d"))
+    base = F.substring_index("top_hub", "/", -1)
+    name = F.when(F.col("n") == 1, base).when(F.col("d.held") >= F.col("n") * NAME_SHARE, F.col("d.dir")).otherwise(F.concat(F.coalesce(F.nullif(F.substring_index(base, ".", 1), F.lit("")), F.col("top_hub")), F.lit(" Domain")))
+    named = hubs.join(common, "community", "left").select("community", name.alias("name"), "top_hub")
+    return member.join(named, "community").select("path", "community", "name", "top_hub")
+
+
 def summaries(membership: DataFrame, ranks: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(community, name, file_count, top_hub, cohesion), a row per community; with names (path, ordinal, name), the hub's first three as key_exports.
 

@@ -121,6 +121,36 @@ def savings(nodes: DataFrame, edges: DataFrame, read: DataFrame) -> DataFrame:
     return both.select(F.coalesce("baseline_tokens", F.lit(0)).alias("baseline_tokens"), "active_tokens", F.round(share, 1).alias("savings_percent"))
 
 
+def context_budget(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(context, file_tokens, manifest_tokens, total_tokens, percent): what each context takes of CONTEXT_TOKENS.
+
+    ``chosen`` has (context, path, name): whole files, where name is null, and
+    symbols. A file counts by its size; a symbol, unless its file is whole in
+    the context, by its lines at BYTES_PER_LINE each, at most the file's size,
+    and the first by id of equal names. The manifest lists these files and what
+    they depend on or is dependent on them. Unknown files and symbols count
+    nothing, and what is chosen twice counts once. nodes has path, size_bytes,
+    exports and routes, symbols id, file_path, name, start_line and end_line.
+    """
+    picked = chosen.select("context", "path", "name").distinct()
+    whole = picked.where("name is null").select("context", "path")
+    sizes = nodes.select("path", "size_bytes")
+    of_files = whole.join(sizes, "path").select("context", F.col("size_bytes").alias("bytes"))
+    first = symbols.groupBy(F.col("file_path").alias("path"), "name").agg(F.min_by(F.col("end_line") - F.col("start_line") + 1, "id").alias("lines"))
+    parts = picked.where("name is not null").join(whole, ["context", "path"], "left_anti").join(first, ["path", "name"]).join(sizes, "path")
+    of_symbols = parts.select("context", F.least(F.col("size_bytes"), F.col("lines") * BYTES_PER_LINE).alias("bytes"))
+    tokens = lambda total: F.round(total / CHARS_PER_TOKEN).cast("long")
+    files = of_files.unionByName(of_symbols).groupBy("context").agg(tokens(F.sum("bytes")).alias("f"))
+    own = picked.select("context", "path").distinct()
+    links = edges.where("kind <> 'route'").select("from_path", "to_path").distinct()
+    near = links.unionByName(links.select(F.col("to_path").alias("from_path"), F.col("from_path").alias("to_path"))).withColumnRenamed("from_path", "path")
+    listed = own.unionByName(own.join(near, "path").select("context", F.col("to_path").alias("path"))).distinct()
+    manifest = listed.join(manifest_chars(nodes, edges), "path").groupBy("context").agg(tokens(F.sum("chars")).alias("m"))
+    both = picked.select("context").distinct().join(files, "context", "left").join(manifest, "context", "left").fillna(0, ["f", "m"])
+    total = F.col("f") + F.col("m")
+    return both.select("context", F.col("f").alias("file_tokens"), F.col("m").alias("manifest_tokens"), total.alias("total_tokens"), F.round(F.least(total / CONTEXT_TOKENS * 100, F.lit(100.0)), 1).alias("percent"))
+
+
 def core_files(files: DataFrame, languages: list[str] | None = None, min_rank: float = 0.0, best: int = 30, opened: DataFrame | None = None) -> DataFrame:
     """Files (path, language, rank_score, rank_order) of some languages and a least rank: the best by order, and opened ones (path)."""
     kept = files.where(F.col("rank_score") >= min_rank)

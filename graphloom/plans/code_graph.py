@@ -287,6 +287,43 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.summaries(found, ranks, edges)
 
 
+def _sweep_sql(strict: bool = False, passes: int = 2, levels: int = 24) -> str:
+    """Labels of the half-number tree after some passes in the order of its numbers: a node of level k has k digits in base 2, and its parent is the only earlier neighbour.
+
+    Strict: without weights and links of every fifth number; a node stays unless a label has more votes than its own, and takes the one of its first link.
+    """
+    votes = "SELECT n.node, o.label, sum(n.weight) AS weight, min(n.place) AS place, any_value(l.label) AS own"
+    best = "arg_min(label, (-weight, place))" if strict else "arg_min(label, (-weight, label))"
+    moves = "CASE WHEN max(weight) > coalesce(max(weight) FILTER (label = own), 0) THEN " + best + " ELSE any_value(own) END" if strict else best
+    steps, last = [], "start"
+    for turn in range(passes):
+        for level in range(levels):
+            name = f"s{turn}_{level}"
+            steps.append(f"""{name} AS MATERIALIZED (SELECT l.node, l.level, coalesce(b.label, l.label) AS label FROM {last} l LEFT JOIN (
+              SELECT node, {moves} AS label FROM ({votes} FROM near n JOIN {last} l USING (node) JOIN {last} o ON n.other = o.node WHERE l.level = {level} GROUP BY 1, 2) GROUP BY 1) b USING (node))""")
+            last = name
+    return f"""WITH t AS (SELECT p_partkey AS a, p_partkey // 2 AS b, {1 if strict else "1 + p_partkey * 7919 % 13"} AS weight FROM part WHERE p_partkey > 0{" AND p_partkey % 5 <> 0" if strict else ""}), near AS MATERIALIZED (SELECT a AS node, b AS other, weight, a AS place FROM t UNION ALL SELECT b, a, weight, a FROM t),
+start AS MATERIALIZED (SELECT DISTINCT node, CASE WHEN node = 0 THEN 0 ELSE CAST(floor(log2(node)) AS INT) + 1 END AS level, node AS label FROM near), {", ".join(steps)} SELECT node, label FROM {last}"""
+
+
+@query("gr7_sweep", _sweep_sql())
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a weighted tree after two passes, node by node."""
+    weight = 1 + F.col("source") * 7919 % 13
+    links = b.tree(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b"), weight.alias("weight"))
+    near = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+    return community.sweep(near, Scratch(spark, "sweep"), passes=2)
+
+
+@query("gr10_sweep", _sweep_sql(strict=True))
+def strict_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a forest after two strict passes, ties to the first link."""
+    links = b.tree(spark, sf_dir).where("source % 5 <> 0")
+    near = links.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit(1).alias("weight"), F.col("source").alias("place"))
+    back = links.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit(1).alias("weight"), F.col("source").alias("place"))
+    return community.sweep(near.unionByName(back), Scratch(spark, "sweep"), passes=2, strict=True)
+
+
 @query(
     "gr7_label_round",
     code("""near AS (SELECT node, other, count(*) * 1.0 AS weight FROM (SELECT from_path AS node, to_path AS other FROM file_edges UNION ALL SELECT to_path, from_path FROM file_edges) GROUP BY 1, 2),
@@ -427,6 +464,30 @@ def workspace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.files(spark, sf_dir).agg(F.round(F.sum(F.col("n_symbols") * 2200) / texts.CHARS_PER_TOKEN, 6).alias("raw_tokens"), (F.count("*") * 65 + F.sum("n_symbols") * 25).alias("map_tokens"))
 
 
+@query(
+    "agg8_context_budget",
+    code("""n AS (SELECT path, n_symbols * 90 AS size FROM files), ch AS (SELECT split_part(path, '/', 2) AS context, path, NULL AS name FROM files WHERE n_symbols >= 3 UNION SELECT split_part(file_path, '/', 2), file_path, name FROM symbols WHERE id % 3 = 0 UNION SELECT 'none', 'none', NULL),
+whole AS (SELECT context, path FROM ch WHERE name IS NULL), first AS (SELECT file_path AS path, name, arg_min(end_line - start_line + 1, id) AS lines FROM symbols GROUP BY 1, 2),
+bytes AS (SELECT context, size AS b FROM whole JOIN n USING (path) UNION ALL SELECT c.context, least(n.size, f.lines * 40) FROM ch c JOIN first f USING (path, name) JOIN n USING (path) WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.context = c.context AND w.path = c.path)),
+f AS (SELECT context, CAST(round(sum(b) / 3.7::DOUBLE) AS BIGINT) AS f FROM bytes GROUP BY 1), own AS (SELECT DISTINCT context, path FROM ch),
+listed AS (SELECT context, path FROM own UNION SELECT context, to_path FROM own JOIN file_edges ON path = from_path UNION SELECT context, from_path FROM own JOIN file_edges ON path = to_path),
+chars AS (SELECT n.path, length(n.path) + 4 + coalesce((SELECT sum(length(to_path) + 3) + 12 FROM file_edges e WHERE e.from_path = n.path), 0) AS chars FROM n),
+m AS (SELECT context, CAST(round(sum(chars) / 3.7::DOUBLE) AS BIGINT) AS m FROM listed JOIN chars USING (path) GROUP BY 1)
+SELECT context, coalesce(f, 0) AS file_tokens, coalesce(m, 0) AS manifest_tokens, coalesce(f, 0) + coalesce(m, 0) AS total_tokens, round(least((coalesce(f, 0) + coalesce(m, 0)) / 16000 * 100, 100.0::DOUBLE), 1) AS percent FROM (SELECT DISTINCT context FROM ch) LEFT JOIN f USING (context) LEFT JOIN m USING (context)"""),
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each directory's larger files, and a third of its symbols, take of a context."""
+    scratch, own = Scratch(spark, "budget"), b.symbols(spark, sf_dir)
+    edges = scratch.keep(b.file_edges(spark, sf_dir), "edges")
+    files = b.files(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    nodes = files.select("path", (F.col("n_symbols") * 90).alias("size_bytes"), none.alias("exports"), none.alias("routes"))
+    place = lambda path: F.split_part(path, F.lit("/"), F.lit(2)).alias("context")
+    no_name = F.lit(None).cast("string").alias("name")
+    chosen = files.where("n_symbols >= 3").select(place(F.col("path")), "path", no_name).unionByName(own.where("id % 3 = 0").select(place(F.col("file_path")), F.col("file_path").alias("path"), "name"))
+    return manifest.context_budget(nodes, edges, own, chosen.unionByName(spark.range(1).select(F.lit("none").alias("context"), F.lit("none").alias("path"), no_name)))
+
+
 @query("sl6_collapse_endpoints", code("""raw AS (SELECT e.to_id AS anchor, t.file_path AS anchor_file, s.file_path, s.name, s.kind FROM edges e JOIN symbols s ON e.from_id = s.id JOIN symbols t ON e.to_id = t.id),
 named AS (SELECT DISTINCT anchor, file_path, file_path || '#' || name AS endpoint, 'calls' AS kind FROM raw WHERE kind NOT IN ('variable', 'file', 'constant', 'field', 'property') AND name <> file_path)
 SELECT anchor, endpoint, kind FROM named UNION ALL SELECT DISTINCT anchor, file_path, 'references' FROM raw r WHERE file_path <> anchor_file AND NOT EXISTS (SELECT 1 FROM named n WHERE n.anchor = r.anchor AND n.file_path = r.file_path)"""))
