@@ -393,6 +393,22 @@ def folded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.folded_edges(files, b.file_edges(spark, sf_dir), dirs)
 
 
+@query(
+    "gr13_on_cycles",
+    """WITH RECURSIVE n AS (SELECT DISTINCT p_partkey % 97 AS k FROM part), e AS (SELECT DISTINCT k AS a, (k * k + 1) % 97 AS b FROM n UNION SELECT k, (k * 5 + 2) % 97 FROM n WHERE k % 3 = 0), reach AS (SELECT b AS anchor, a AS node FROM e UNION SELECT r.anchor, e.a FROM reach r JOIN e ON e.b = r.node)
+SELECT 'f' || anchor AS anchor, 'f' || node AS node FROM reach""",
+)
+def impact_on_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that depends on each file of a graph with cycles; a file that depends on itself that way is part of its own result."""
+    keys = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("k")).distinct()
+    spoken = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    one = keys.select(spoken(F.col("k")).alias("from_path"), spoken((F.col("k") * F.col("k") + 1) % 97).alias("to_path"))
+    two = keys.where("k % 3 = 0").select(spoken(F.col("k")).alias("from_path"), spoken((F.col("k") * 5 + 2) % 97).alias("to_path"))
+    edges = one.unionByName(two).distinct().withColumn("kind", F.lit("imports"))
+    anchors = edges.select(F.explode(F.array("from_path", "to_path")).alias("anchor")).distinct()
+    return graph.transitive_dependents(edges, anchors, Scratch(spark, "cycles"), keep_anchor=True).select("anchor", "node")
+
+
 @query("gr20_directories", code("SELECT DISTINCT unnest(['src', 'src/' || split_part(path, '/', 2)]) AS dir FROM files"))
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collapsed_dirs(b.files(spark, sf_dir), above=0)

@@ -192,6 +192,19 @@ def route_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.route_handlers(routes, own, _imports(spark, sf_dir))
 
 
+@query(
+    "jn11_fallbacks",
+    code("""s AS (SELECT id, file_path, CASE WHEN id % 11 = 5 THEN 'default' ELSE name END AS name, kind, start_line FROM symbols), last AS (SELECT file_path, name, max(id) AS id FROM s GROUP BY 1, 2), spoken AS (SELECT DISTINCT file_path, regexp_extract(file_path, '[.]([a-z]+)$', 1) AS ext FROM s),
+first AS (SELECT file_path, arg_min(name, (start_line, s.id)) AS name FROM s JOIN spoken USING (file_path) WHERE (ext = 'ts' AND kind IN ('component', 'function')) OR (ext = 'py' AND kind IN ('function', 'method')) GROUP BY 1)
+SELECT p.file_path, '/' || p.file_path AS route, coalesce(CASE WHEN ext = 'ts' THEN (SELECT id FROM last d WHERE d.file_path = p.file_path AND d.name = 'default') END, (SELECT l.id FROM first f JOIN last l USING (file_path, name) WHERE f.file_path = p.file_path)) AS id FROM spoken p"""),
+)
+def fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route of every file without a named handler; a part of the symbols is exported by default."""
+    own = b.symbols(spark, sf_dir).withColumn("name", F.when(F.col("id") % 11 == 5, "default").otherwise(F.col("name")))
+    routes = own.select("file_path", F.concat(F.lit("/"), "file_path").alias("route")).distinct().withColumn("id", F.lit(None).cast("long"))
+    return resolve.with_fallbacks(routes, own)
+
+
 @query("jn12_inheritance", code(f"{_LOOKED}, hit AS (SELECT file_path, own_name, name, arg_min(id, far) AS id FROM near GROUP BY ALL) SELECT DISTINCT c.id AS from_id, h.id AS to_id, CASE q.kind WHEN 'calls' THEN 'implements' ELSE 'extends' END AS kind FROM asked q JOIN hit h ON q.file_path = h.file_path AND q.own_name = h.own_name AND q.name = h.name JOIN last c ON c.file_path = q.file_path AND c.name = q.own_name WHERE c.id <> h.id"))
 def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every symbol edge as a relation of a class and its parent; calls stand for implements."""

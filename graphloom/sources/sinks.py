@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.operators.ordering import first_by
 
@@ -48,6 +50,19 @@ def put_pointer(spark: SparkSession, root: str, number: int, content: str) -> No
     fs.delete(path(f"{root}/{POINTER}-{number - 2:012d}"), False)
 
 
+def _written(tables: dict[str, DataFrame], root: str, version: str) -> dict[str, list[dict]]:
+    """Writes tables below a version; what a manifest says of them."""
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    return {name: [{"path": f"{version}/{name}", "schema": df.schema.jsonValue()}] for name, df in tables.items()}
+
+
+def _parts(spark: SparkSession, root: str) -> tuple[int, dict[str, list[dict]]]:
+    """The number of the newest pointer, and the parts of each table."""
+    number, content = _current(spark, root)
+    return number, json.loads(content)["tables"] if content else {}
+
+
 def save_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
     """Writes a new version of all tables, then points to it; readers see the old version or the new one.
 
@@ -55,24 +70,32 @@ def save_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) ->
     is no moment without one. Two writers of one number are an error.
     """
     version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    put_pointer(spark, root, _current(spark, root)[0] + 1, version)
+    parts = _written(tables, root, version)
+    put_pointer(spark, root, _current(spark, root)[0] + 1, json.dumps({"tables": parts}))
     return version
 
 
 def load_tables(spark: SparkSession, names: list[str], root: str) -> dict[str, DataFrame]:
-    """The tables of the current version; raises FileNotFoundError before the first one."""
-    version = _current(spark, root)[1]
-    if version is None:
+    """The tables of the current version, by their saved schemas; columns that some parts lack are null. Raises FileNotFoundError before the first one."""
+    number, known = _parts(spark, root)
+    if not number:
         raise FileNotFoundError(f"{root} holds no version")
-    return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in names}
+    out = {}
+    for name in names:
+        parts = [spark.read.schema(StructType.fromJson(x["schema"])).parquet(f"{root}/{x['path']}") for x in known[name]]
+        out[name] = parts[0]
+        for part in parts[1:]:
+            out[name] = out[name].unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def append_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """A new version with the rows of the current one, if any, and those given; columns that either side lacks are null."""
-    known = load_tables(spark, list(tables), root) if _current(spark, root)[1] else {}
-    return save_tables(spark, {name: known[name].unionByName(df, allowMissingColumns=True) if name in known else df for name, df in tables.items()}, root)
+    """A new version with the current one's parts, as they are, and those of the rows given; other tables stay."""
+    version = uuid.uuid4().hex
+    number, known = _parts(spark, root)
+    fresh = _written(tables, root, version)
+    put_pointer(spark, root, number + 1, json.dumps({"tables": known | {name: known.get(name, []) + parts for name, parts in fresh.items()}}))
+    return version
 
 
 def migrated(table: DataFrame, schema: str) -> DataFrame:

@@ -101,6 +101,11 @@ def test_readers_never_meet_a_gap(spark, tmp_path):
     assert all(found) and sinks.load_tables(spark, ["x"], f"file://{root}")["x"].count() == 2
     sinks.append_tables(spark, {"x": spark.range(3).withColumn("y", F.lit("a"))}, f"file://{root}")
     assert sinks.load_tables(spark, ["x"], f"file://{root}")["x"].where("y is null").count() == 2
+    written = {x for x in os.listdir(root) if not x.startswith((".", "CURRENT"))}
+    version = sinks.append_tables(spark, {"x": spark.range(4), "z": spark.range(1)}, f"file://{root}")
+    assert {x for x in os.listdir(root) if not x.startswith((".", "CURRENT"))} - written == {version}
+    both = sinks.load_tables(spark, ["x", "z"], f"file://{root}")
+    assert (both["x"].count(), both["z"].count(), both["x"].columns) == (9, 1, ["id", "y"])
     assert sinks.migrated(spark.range(1), "id int, name string").first().asDict() == {"id": 0, "name": None}
 
 
