@@ -48,8 +48,11 @@ def communities(nodes: DataFrame, edges: DataFrame, scratch: Scratch, rounds: in
     for turn in range(rounds):
         after = scratch.keep(label_round(labels, near), f"labels-{turn}")
         moved = after.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before")
+        still = turn + 1 < rounds and moved.isEmpty()
         labels = after
-        if turn + 1 < rounds and moved.isEmpty():
+        if turn:
+            scratch.drop(f"labels-{turn - 1}")
+        if still:
             break
     found = labels.groupBy("label").agg(F.min("node").alias("community"))
     return labels.join(found, "label").select(F.col("node").alias("path"), "community")

@@ -63,7 +63,7 @@ def closure(edges: DataFrame, anchors: DataFrame, scratch: Scratch, depth: int |
     on a cycle, is part of its own result.
     """
     seen = scratch.keep(anchors.select(F.col("anchor"), F.col("anchor").alias("node"), F.lit(0).alias("hops")).distinct(), f"{name}-0")
-    frontier, step, parts = seen, 0, [seen]
+    frontier, step, parts, names = seen, 0, [seen], [f"{name}-0"]
     back = []
     while depth is None or step < depth:
         step += 1
@@ -78,11 +78,15 @@ def closure(edges: DataFrame, anchors: DataFrame, scratch: Scratch, depth: int |
             break
         frontier = fresh
         parts.append(fresh)
+        names.append(f"{name}-{step}")
         if len(parts) > 8:
             together = parts[0]
             for part in parts[1:]:
                 together = together.unionByName(part)
             parts = [scratch.keep(together, f"{name}-all-{step}")]
+            # The frontier is read once more, then it goes with the next parts.
+            scratch.drop(*names[:-1])
+            names = [names[-1], f"{name}-all-{step}"]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -78,7 +78,7 @@ def collapsed(files: DataFrame, budget: int = LINE_BUDGET) -> DataFrame:
 
 
 def render(files: DataFrame, options: Options, root: str, warnings: DataFrame | None = None, budget: int = LINE_BUDGET) -> str:
-    """The manifest as text: at most ``budget`` file lines and one per directory of the rest."""
+    """The manifest as text: at most ``budget`` file lines, as many lines for directories of the rest, and as many warnings, each with a line for what is beyond."""
     rows = checked(files, options)
     total = files.where(in_scope(F.col("path"), options.scope)).count() if options.scope else files.count()
     shown = rows.count()
@@ -86,16 +86,17 @@ def render(files: DataFrame, options: Options, root: str, warnings: DataFrame |
     if shown < total:
         out.append(f"Showing {shown} of {total} files, highest-ranked first.")
     rest: list = []
+    more = lambda rows, what: [f"- and more {what}"] if len(rows) > budget else []
     if shown > budget:
         best = rows.orderBy("rank_order").limit(budget).select("path", F.lit(True).alias("kept"))
         marked = rows.join(F.broadcast(best), "path", "left")
-        rest = marked.where("kept is null").groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).orderBy("dir").collect()
+        rest = marked.where("kept is null").groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).orderBy("dir").limit(budget + 1).collect()
         rows = marked.where("kept").drop("kept").orderBy(*options.order())
     for position, row in enumerate(rows.withColumn("_line", F.struct(line(F.lit(-1)).alias("far"), line(F.col("rank_order")).alias("near"))).collect(), 1):
         out.append(row["_line"].near if row.rank_order in (0, position) else row["_line"].far)
-    out += [f"- /{r.dir}/ ({r.n} lower-ranked files)" for r in rest]
-    if warnings is not None and (known := warnings.orderBy("path", "kind").collect()):
-        out += ["", "## Warnings (known gaps in this map)", *(f"- /{w.path}: {w.kind}" for w in known)]
+    out += [*(f"- /{r.dir}/ ({r.n} lower-ranked files)" for r in rest[:budget]), *more(rest, "directories")]
+    if warnings is not None and (known := warnings.orderBy("path", "kind").limit(budget + 1).collect()):
+        out += ["", "## Warnings (known gaps in this map)", *(f"- /{w.path}: {w.kind}" for w in known[:budget]), *more(known, "warnings")]
     return "\n".join(out) + "\n"
 
 

@@ -33,7 +33,7 @@ def spare(name: str, *tables: DataFrame) -> str:
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the order (first-wins; descending order for last-wins)."""
+    """The first row of each key in the order (first-wins; descending order for last-wins). Tasks keep one row a key before rows are dealt out."""
     n = spare("_n", df)
     return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 

@@ -112,16 +112,21 @@ def page_rank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, iterations:
     linked = shares.select(F.col("source").alias("path"), F.lit(False).alias("loose")).distinct()
     share = F.col("prior") / F.col("total")
     first = prior.crossJoin(F.broadcast(total)).join(linked, "path", "left").select("path", share.alias("prior"), F.coalesce("loose", F.lit(True)).alias("loose"), share.alias("score"))
-    scores, turn = scratch.keep(first, "scores-0"), 0
+    last, turn = "scores-0", 0
+    scores = scratch.keep(first, last)
     while turn < iterations:
         for _ in range(min(BLOCK, iterations - turn) - 1):
             scores, turn = step(scores, shares), turn + 1
-        before = scratch.keep(scores, f"before-{turn}")
-        scores, turn = scratch.keep(step(before, shares), f"scores-{turn + 1}"), turn + 1
-        if turn < iterations:
+        before, spent = scratch.keep(scores, f"before-{turn}"), [f"before-{turn}", last]
+        last = f"scores-{turn + 1}"
+        scores, turn = scratch.keep(step(before, shares), last), turn + 1
+        done = turn >= iterations
+        if not done:
             both = scores.join(before.select("path", F.col("score").alias("before")), "path")
-            if (both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < until:
-                break
+            done = (both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < until
+        scratch.drop(*spent)
+        if done:
+            break
     scores = scores.select("path", "score")
     top = scores.agg(F.max("score").alias("top"))
     scaled = scores.crossJoin(F.broadcast(top)).withColumn("rank_score", F.round(F.col("score") / F.col("top"), 6)).drop("top")
