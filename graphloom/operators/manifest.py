@@ -79,6 +79,7 @@ def collapsed(files: DataFrame, budget: int = LINE_BUDGET) -> DataFrame:
 
 def render(files: DataFrame, options: Options, root: str, warnings: DataFrame | None = None, budget: int = LINE_BUDGET) -> str:
     """The manifest as text: at most ``budget`` file lines, as many lines for directories of the rest, and as many warnings, each with a line for what is beyond."""
+    # The headings and the words of this text's lines.
     rows = checked(files, options)
     total = files.where(in_scope(F.col("path"), options.scope)).count() if options.scope else files.count()
     shown = rows.count()

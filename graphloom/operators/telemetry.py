@@ -42,6 +42,7 @@ def overall(calls: DataFrame, key: str) -> DataFrame:
 def tag(row: dict) -> str:
     """The line that tells a caller what a call cost."""
     ratio = f"{row['compression_ratio']:.1f}x"
+    # Fixed value: the wording of the line.
     return f"[Telemetry: Tool '{row['tool']}' | Out: {row['output_tokens']} tokens | Saved: {row['saved_tokens']} tokens ({ratio}) | Turn #{row['turn_id']}: {row['turn_total_output']} tokens | Session: {row['session_total_output']} tokens]"
 
 

@@ -221,15 +221,16 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", number.alias("burst"), "n_marks", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("due_at").alias("due_ms"))
 
 
-@query("strm2_bursts_streamed")
+@query("strm2_bursts_streamed", f"WITH {_turns_sql(GAP - 1)} SELECT user_id, count(*) AS n_marks, min(ms) AS first_ms, max(ms) + {GAP} AS due_ms FROM turns GROUP BY user_id, turn_id HAVING max(ms) + {GAP} <= (SELECT max(ms) - 600000 FROM calls)")
 def bursts_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bursts from a stream of the events; the last ones stay open until the watermark passes them."""
+    """The same bursts from a stream of the events; those that the watermark, ten minutes behind the last event, hasn't passed stay open."""
     scratch = Scratch(spark, "bursts")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     scratch.keep(table(spark, sf_dir, "events"), "events")
     rows = spark.readStream.schema(schema).parquet(f"{scratch.root}/events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     live.run_to(live.bursts(rows, "user_id", "at", "30 minutes"), f"{scratch.root}/out", f"{scratch.root}/progress").awaitTermination()
-    return spark.read.schema("user_id long, first_at timestamp, due_at timestamp, n_marks long").parquet(f"{scratch.root}/out")
+    found = spark.read.schema("user_id long, first_at timestamp, due_at timestamp, n_marks long").parquet(f"{scratch.root}/out")
+    return found.select("user_id", "n_marks", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("due_at").alias("due_ms"))
 
 
 @query("strm1_marks_streamed", f"WITH {_turns_sql(GAP - 1)} SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS n_marks, min(ms) AS first_ms, max(ms) AS last_ms, max(ms) + {GAP} AS due_ms FROM turns GROUP BY user_id, turn_id")

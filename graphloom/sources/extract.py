@@ -91,12 +91,16 @@ def decorated_routes(files: DataFrame) -> DataFrame:
     return bound.where("route <> ''").select("path", "line", "route", "handler")
 
 
+# Files of an app router's folder that serve or wrap its URL.
+APP_FILES = ("page", "route", "layout", "loading", "error", "template", "not-found", "default")
+
+
 def route_of_path(path: Column) -> Column:
     """The URL that a file of an app or pages router serves; null for private parts and other files."""
     parts = F.split(F.regexp_replace(path, r"^(src/)?(app|pages)/", ""), "/")
     inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "")
-    app = path.rlike(r"^(src/)?app/") & stem.isin("page", "route", "layout", "loading", "error", "template", "not-found", "default")
+    app = path.rlike(r"^(src/)?app/") & stem.isin(*APP_FILES)
     pages = path.rlike(r"^(src/)?pages/") & path.rlike(r"\.(tsx?|jsx?)$") & ~stem.startswith("_")
     spoken = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\[\[\.\.\.(.+)\]\]$", ":$1*?"), r"^\[\.\.\.(.+)\]$", ":$1*"), r"^\[(.+)\]$", ":$1")
     shown = F.transform(F.filter(inner, lambda x: ~x.rlike(r"^(\(.*\)|@.*)$")), spoken)
