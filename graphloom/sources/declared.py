@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.lexical import code_text, net_braces
 from graphloom.functions.text import lines
 
 STATE, SCHEMA, CHANNEL, ROUTE = "state_store", "database_schema", "event_channel", "route"
@@ -83,7 +84,6 @@ ANNOTATED = (
     Rule("python", STATE, r"^\s*@(?:shared_task\b|.*\.task\b)"),
 )
 DECLARED = r"^\s*(?:export\s+|public\s+|final\s+|pub\s+|abstract\s+|data\s+|async\s+)*(?:class|struct|def)\s+(\w+)"
-COMMENT = r"^\s*(?://|/\*|\*|#(?!\[))"
 
 
 def _mentioned(rule: Rule) -> Column:
@@ -92,22 +92,26 @@ def _mentioned(rule: Rule) -> Column:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    """path, language, mentions, line (from 1) and text of files (path, language, content)."""
+    """path, language, mentions, line (from 1) and code of files (path, language, content)."""
     words = F.array(*(F.lit(w) for w in sorted({w for r in (*RULES, *ANNOTATED) for w in r.mentions} | {"gorm"})))
     said = files.where("content is not null").select("path", "language", "content", F.filter(words, lambda w: F.col("content").contains(w)).alias("mentions"))
-    each = said.select("path", "language", "mentions", F.posexplode(lines(F.col("content"))).alias("at", "text"))
+    each = said.select("path", "language", "mentions", F.posexplode(lines(code_text(F.col("content"), F.col("language")))).alias("at", "text"))
     return each.select("path", "language", "mentions", (F.col("at") + 1).cast("int").alias("line"), "text")
 
 
 def declarations(files: DataFrame) -> DataFrame:
     """(path, kind, name, line): what files (path, language, content) declare, each name once, at its first line.
 
-    Comment lines declare nothing. A null content has no lines.
+    Comments and strings over several lines declare nothing. A null content has no lines.
     """
     rows = _lines(files)
-    code = ~F.col("text").rlike(COMMENT)
-    found = [F.struct(F.lit(r.kind).alias("kind"), F.when(_mentioned(r) & code, F.regexp_extract("text", r.pattern, 1)).alias("name")) for r in RULES]
-    plain = rows.select("path", "line", F.explode(F.filter(F.array(*found), lambda x: x["name"] != "")).alias("x")).select("path", "line", "x.*")
+    # A line meets the rules of its language only.
+    found = F.lit(None)
+    for language in dict.fromkeys(r.language for r in RULES):
+        own = [F.struct(F.lit(r.kind).alias("kind"), F.when(_mentioned(r), F.regexp_extract("text", r.pattern, 1)).alias("name")) for r in RULES if r.language == language]
+        found = F.when(F.col("language") == language, F.array(*own)).otherwise(found)
+    spoken = rows.where(F.trim("text") != "")
+    plain = spoken.select("path", "line", F.explode(F.filter(found, lambda x: x["name"] != "")).alias("x")).select("path", "line", "x.*")
 
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
@@ -159,20 +163,21 @@ def go_routes(files: DataFrame) -> DataFrame:
     A group is known from its line on; the last one of a name counts. A comment
     counts if only comments and blank lines stand before the func.
     """
-    rows = files.where("content is not null").select("path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("path", (F.col("at") + 1).cast("int").alias("line"), "text")
+    both = F.arrays_zip(lines(code_text(F.col("content"), "go")).alias("text"), lines(code_text(F.col("content"), "go", comments=True)).alias("raw"))
+    rows = files.where("content is not null").select("path", F.posexplode(both).alias("at", "x")).select("path", (F.col("at") + 1).cast("int").alias("line"), "x.text", "x.raw")
     group = r'^\s*(\w+)\s*:=\s*.*\.Group\(\s*"([^"]*)"'
     call = r'(\w+)\.(?:' + "|".join(GO_METHODS) + r')\(\s*"([^"]*)"(?:\s*,\s*([\w.]+))?'
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     part = lambda pattern, k: F.regexp_extract("text", pattern, k)
-    calls = rows.where(F.col("text").rlike(call) & ~F.col("text").rlike(r"^\s*//")).select("path", "line", part(call, 1).alias("receiver"), part(call, 2).alias("route"), part(call, 3).alias("handler"))
-    groups = rows.where(F.col("text").rlike(group) & ~F.col("text").rlike(r"^\s*//")).select("path", part(group, 1).alias("receiver"), F.struct(F.col("line").alias("group_line"), part(group, 2).alias("prefix")).alias("g"))
+    calls = rows.where(F.col("text").rlike(call)).select("path", "line", part(call, 1).alias("receiver"), part(call, 2).alias("route"), part(call, 3).alias("handler"))
+    groups = rows.where(F.col("text").rlike(group)).select("path", part(group, 1).alias("receiver"), F.struct(F.col("line").alias("group_line"), part(group, 2).alias("prefix")).alias("g"))
     known = calls.join(groups, ["path", "receiver"], "left").where("g is null or g.group_line < line")
     known = known.groupBy("path", "line", "receiver", "route", "handler").agg(F.max("g").alias("g"))
     # A receiver whose groups all stand below the call has none yet.
     alone = calls.join(known, ["path", "line", "receiver", "route", "handler"], "left_anti").withColumn("g", F.lit(None).cast("struct<group_line: int, prefix: string>"))
     direct = known.unionByName(alone).select("path", F.concat(F.coalesce("g.prefix", F.lit("")), "route").alias("route"), "handler", "line")
-    said = part(r"^\s*//\s*@router\s+(/\S*)", 1)
-    code = ~F.col("text").rlike(r"^\s*//") & (F.trim("text") != "")
+    said = F.regexp_extract("raw", r"^\s*//\s*@router\s+(/\S*)", 1)
+    code = F.trim("text") != ""
     marked = rows.withColumns({"mark": F.last(F.when(said != "", F.struct("line", said.alias("route"))), True).over(before), "code": F.coalesce(F.last(F.when(code, F.col("line")), True).over(before), F.lit(0))})
     noted = marked.where(F.col("mark.line") > F.col("code")).select("path", F.col("mark.route").alias("route"), part(r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)", 1).alias("handler"), F.col("mark.line").alias("line")).where("handler <> ''")
     return direct.unionByName(noted)
@@ -184,11 +189,9 @@ def nested_routes(files: DataFrame) -> DataFrame:
     The block around a line at each depth is the last one that was opened
     there, so a window by depth finds them all. Braces are taken to be balanced.
     """
-    rows = files.where("content is not null").select("path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("path", (F.col("at") + 1).cast("int").alias("line"), F.trim("text").alias("text"))
-    rows = rows.where(~F.col("text").startswith("//"))
-    count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
+    rows = files.where("content is not null").select("path", F.posexplode(lines(code_text(F.col("content"), "kotlin"))).alias("at", "text")).select("path", (F.col("at") + 1).cast("int").alias("line"), F.trim("text").alias("text"))
     by_file = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("net", count("{") - count("}")).withColumn("depth", F.coalesce(F.sum("net").over(by_file), F.lit(0)))
+    rows = rows.withColumn("net", net_braces(F.col("text"))).withColumn("depth", F.coalesce(F.sum("net").over(by_file), F.lit(0)))
     prefix = F.when(F.col("text").endswith("{"), F.nullif(F.regexp_extract("text", r"""(?<![A-Za-z0-9])route\(\s*["']([^"']*)["']""", 1), F.lit("")))
     opened = F.sequence(F.col("depth").cast("bigint"), (F.col("depth") + F.col("net") - 1).cast("bigint"))
     blocks = rows.where("net > 0").select("path", "line", F.explode(opened).alias("level"), "depth", F.col("text").rlike(r"(^|\s)routing \{").alias("routing"), prefix.alias("prefix"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.lexical import code_text
 from graphloom.functions.text import lines
 
 ROW = "path string, fact string, name string, detail string, start_line int, end_line int"
@@ -35,21 +36,21 @@ def markdown_links(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return each.where(~F.col("target").rlike("^(https?:|mailto:|#)") & (F.col("target") != "")).select(key, F.regexp_replace("target", "#.*$", "").alias("target"))
 
 
-def each_line(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text of all lines."""
-    return files.select("path", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+def each_line(files: DataFrame, language: str = "") -> DataFrame:
+    """path, line (from 1), text of all lines; of a known language only the code."""
+    return files.select("path", F.posexplode(lines(code_text(F.col("content"), language))).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
 def sql_facts(files: DataFrame) -> DataFrame:
     """Tables that are created (export) and referenced (import)."""
-    rows = each_line(files)
+    rows = each_line(files, "sql")
     made = rows.select("path", "line", F.lit("export").alias("fact"), F.regexp_extract("text", r'(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?["`]?([\w.]+)', 1).alias("name"))
     used = rows.select("path", "line", F.lit("import").alias("fact"), F.regexp_extract("text", r'(?i)references\s+["`]?([\w.]+)', 1).alias("name"))
     return made.unionByName(used).where("name <> ''")
 
 
 def prisma_facts(files: DataFrame) -> DataFrame:
-    rows = each_line(files)
+    rows = each_line(files, "prisma")
     made = rows.select("path", "line", F.lit("export").alias("fact"), F.regexp_extract("text", r"^\s*model\s+(\w+)", 1).alias("name"))
     used = rows.where(F.col("text").contains("@relation")).select("path", "line", F.lit("import").alias("fact"), F.regexp_extract("text", r"^\s*\w+\s+(\w+)", 1).alias("name"))
     return made.unionByName(used).where("name <> ''")
@@ -57,7 +58,7 @@ def prisma_facts(files: DataFrame) -> DataFrame:
 
 def dockerfile_facts(files: DataFrame) -> DataFrame:
     """Base images (external) and the first source of each COPY (import)."""
-    rows = each_line(files)
+    rows = each_line(files, "dockerfile")
     base = rows.select("path", "line", F.lit("external").alias("fact"), F.regexp_extract("text", r"(?i)^\s*from\s+(?:--\S+\s+)*(\S+)", 1).alias("name"))
     words = F.filter(F.split(F.regexp_replace("text", r"(?i)^\s*copy\s+", ""), r"\s+"), lambda x: ~x.startswith("--"))
     copied = rows.where(F.col("text").rlike(r"(?i)^\s*copy\s")).select("path", "line", F.lit("import").alias("fact"), F.element_at(words, 1).alias("name"))
@@ -66,7 +67,7 @@ def dockerfile_facts(files: DataFrame) -> DataFrame:
 
 def graphql_routes(files: DataFrame) -> DataFrame:
     """(path, line, route): fields of Query, Mutation and Subscription as Operation.field."""
-    rows = each_line(files)
+    rows = each_line(files, "graphql")
     by_file = Window.partitionBy("path").orderBy("line")
     opened = F.regexp_extract("text", r"^\s*(?:extend\s+)?type\s+(\w+)", 1)
     kind = F.last(F.when(opened != "", opened).when(F.col("text").rlike(r"^\s*\}"), ""), ignorenulls=True).over(by_file)
@@ -76,19 +77,31 @@ def graphql_routes(files: DataFrame) -> DataFrame:
 
 def router_calls(files: DataFrame) -> DataFrame:
     """(path, line, method, route, handler) of router calls such as app.get("/x", handler)."""
-    rows = each_line(files)
+    rows = each_line(files, "javascript")
     call = r"""(?:app|router|Route|server|e|r)\.(?i:(get|post|put|patch|delete|options|head))\(\s*["'`]([^"'`]*)["'`]\s*(?:,\s*([\w.]+))?"""
     return rows.select("path", "line", F.upper(F.regexp_extract("text", call, 1)).alias("method"), F.regexp_extract("text", call, 2).alias("route"), F.regexp_extract("text", call, 3).alias("handler")).where("method <> '' and route like '/%'")
 
 
+# Decorators that name a route, after a dot or alone.
+DECORATORS = "get|post|put|delete|patch|head|options|route|websocket"
+
+
 def decorated_routes(files: DataFrame) -> DataFrame:
-    """(path, line, route, handler): Python route decorators, each bound to the next def of its file."""
-    rows = each_line(files)
-    route = F.regexp_extract("text", r"""^\s*@\w+(?:\.\w+)*\.(?:route|get|post|put|patch|delete|websocket)\(\s*["']([^"']+)["']""", 1)
-    name = F.regexp_extract("text", r"^\s*(?:async\s+)?def\s+(\w+)", 1)
+    """(path, line, route, handler): Python route decorators, each bound to the next def of its file, and rows of route tables.
+
+    Tables are calls such as app.add_route(View.as_view(), "/x") and pairs such as (r"/x", Handler).
+    """
+    rows = each_line(files, "python")
+    first = r"""\(\s*[rbf]?["']([^"']+)["']"""
+    part = lambda pattern, k: F.regexp_extract("text", pattern, k)
+    route = F.coalesce(F.nullif(part(rf"^\s*@\w+(?:\.\w+)*\.(?:{DECORATORS}){first}", 1), F.lit("")), part(rf"^\s*@(?:{DECORATORS}){first}", 1))
+    name = part(r"^\s*(?:async\s+)?def\s+(\w+)", 1)
     after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
     bound = rows.withColumns({"route": route, "name": name}).withColumn("handler", F.first(F.when(F.col("name") != "", F.col("name")), ignorenulls=True).over(after))
-    return bound.where("route <> ''").select("path", "line", "route", "handler")
+    added, listed = r"""\.add_route\(\s*(\w+)[^,]*,[^"']*["'](/[^"']*)["']""", r"""^[^(]*\(\s*r?["'](/[^"']*)["']\s*,\s*([A-Z][\w.]*)"""
+    kinds = F.array(F.struct(part(added, 2).alias("route"), part(added, 1).alias("handler")), F.struct(part(listed, 1).alias("route"), part(listed, 2).alias("handler")))
+    tabled = rows.select("path", "line", F.explode(F.filter(kinds, lambda x: x["route"] != "")).alias("x")).select("path", "line", "x.*")
+    return bound.where("route <> ''").select("path", "line", "route", "handler").unionByName(tabled)
 
 
 # Files of an app router's folder that serve or wrap its URL.
@@ -125,10 +138,10 @@ def joined_route(base: Column, sub: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.filter(F.array(left, right), lambda x: x != ""), "/"))
 
 
-def _code_lines(files: DataFrame) -> DataFrame:
-    """Lines without outer white space; empty ones and comments are left out."""
-    rows = each_line(files).withColumn("text", F.trim(F.regexp_replace("text", r"[\t\r]", " ")))
-    return rows.where((F.col("text") != "") & ~F.col("text").rlike(r"^(//|/\*|\*)"))
+def _code_lines(files: DataFrame, language: str) -> DataFrame:
+    """Lines of code without outer white space; empty ones are left out."""
+    rows = each_line(files, language).withColumn("text", F.trim(F.regexp_replace("text", r"[\t\r]", " ")))
+    return rows.where("text <> ''")
 
 
 _QUOTED = r"""^[^)"'`]*["'`]([^"'`]*)["'`]"""
@@ -139,7 +152,7 @@ def annotated_routes(files: DataFrame) -> DataFrame:
 
     The annotations above a declaration are one group; the last base set holds.
     """
-    rows = _code_lines(files)
+    rows = _code_lines(files, "java")
     by_file = Window.partitionBy("path").orderBy("line")
     noted = F.col("text").startswith("@")
     name = F.regexp_extract("text", r"^@(\w+)(?=$|[(\s])", 1)
@@ -163,29 +176,29 @@ def annotated_routes(files: DataFrame) -> DataFrame:
     return found.where("handler not in ('', 'if', 'for', 'while', 'switch', 'return', 'catch', 'new')").select("path", "line", joined_route(F.coalesce("base", F.lit("")), F.coalesce("sub", F.lit(""))).alias("route"), "handler")
 
 
-def _calls(files: DataFrame, call: str) -> DataFrame:
+def _calls(files: DataFrame, call: str, language: str) -> DataFrame:
     """(path, line, route, handler) of each match of ``call`` (1: route, 2: handler, none for inline functions)."""
     every = lambda k: F.regexp_extract_all("text", F.lit(call), F.lit(k))
-    rows = _code_lines(files).select("path", "line", F.explode(F.arrays_zip(every(1).alias("route"), every(2).alias("handler"))).alias("m"))
+    rows = _code_lines(files, language).select("path", "line", F.explode(F.arrays_zip(every(1).alias("route"), every(2).alias("handler"))).alias("m"))
     handler = F.regexp_replace("m.handler", "^[.:]+|[.:]+$", "")
     return rows.select("path", "line", "m.route", F.when(~handler.isin("", "async", "function", "func", "fn", "static", "delegate", "new"), handler).alias("handler"))
 
 
 def minimal_api_routes(files: DataFrame) -> DataFrame:
     """ASP.NET calls such as app.MapGet("/x", Handler)."""
-    return _calls(files, r"""\.Map(?:Get|Post|Put|Delete|Patch|Methods)?\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_$][\w.:$]*)(?![\w.:$])(?!\s*=>))?""")
+    return _calls(files, r"""\.Map(?:Get|Post|Put|Delete|Patch|Methods)?\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_$][\w.:$]*)(?![\w.:$])(?!\s*=>))?""", "csharp")
 
 
 def rust_routes(files: DataFrame) -> DataFrame:
     """Axum's .route("/x", get(handler)) and Poem's .at("/x", get(handler)), all of each line."""
-    return _calls(files, r"""\.(?:route|at)\(\s*r?#*"(/[^"]*)"#*(?:\s*,\s*[\w:.]+\(\s*([\w:.]+))?""")
+    return _calls(files, r"""\.(?:route|at)\(\s*r?#*"(/[^"]*)"#*(?:\s*,\s*[\w:.]+\(\s*([\w:.]+))?""", "rust")
 
 
 def php_routes(files: DataFrame) -> DataFrame:
     """Slim's $app->get("/x", Handler) and Symfony's #[Route("/x")], bound to the declaration below it."""
-    slim = _calls(files, r"""\$(?:app|group|router)(?:->|\.)(?:get|post|put|delete|patch|options|any|map)\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_][\w.:$]*)(?![\w.:$(])(?!\s*(?:=>|\()))?""")
+    slim = _calls(files, r"""\$(?:app|group|router)(?:->|\.)(?:get|post|put|delete|patch|options|any|map)\(\s*["'](/[^"']*|)["'](?:\s*,\s*([A-Za-z_][\w.:$]*)(?![\w.:$(])(?!\s*(?:=>|\()))?""", "php")
     by_file = Window.partitionBy("path").orderBy("line")
-    rows = _code_lines(files).where(~F.col("text").startswith("#") | F.col("text").startswith("#["))
+    rows = _code_lines(files, "php")
     rows = rows.withColumn("route", F.when(F.col("text").rlike(r"^#\[Route ?\("), F.nullif(F.regexp_extract("text", _QUOTED, 1), F.lit(""))))
     rows = rows.withColumn("next", F.first(F.when(~F.col("text").startswith("#["), F.col("text")), ignorenulls=True).over(by_file.rowsBetween(1, Window.unboundedFollowing)))
     bound = rows.where("route is not null").select("path", "line", "route", F.regexp_extract("next", r"\b(?:function|class)\s+(\w+)", 1).alias("handler"))
