@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors
+from graphloom.operators.ordering import spare
 from graphloom.operators.pairs import meet, triangles
 from graphloom.storage import Scratch
 
@@ -207,22 +208,37 @@ def columns_layout(nodes: DataFrame, column: str, height: Column, gap: int = 24)
     return nodes.withColumn("y", F.coalesce(F.sum(height + gap).over(above), F.lit(0)).cast("long"))
 
 
-def preset(name: str, anchor: str, nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path) of the files that a task on the anchor file needs.
+#: Files of a feature without routes or ranks.
+FEWEST, STRONG = 5, 0.5
+
+
+def presets(task: str, anchors: DataFrame, nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (anchor, path): the files that a task on each anchor file (anchor) needs.
 
     "bug-fix": the file and its direct importers; "refactor": its community and
     all dependents; "feature": files of its community with routes or a rank of
-    0.5, or, without such, the first five by path.
+    STRONG, or, without such, the first FEWEST by path. Anchors that are no
+    nodes have no files of their own.
     """
-    own = nodes.where(F.col("path") == anchor).select("path")
-    if name == "bug-fix":
-        return own.union(dependents(edges).where(F.col("path") == anchor).select("other")).distinct()
-    home = membership.where(F.col("path") == anchor).select("community")
-    near = membership.join(home, "community", "left_semi").select("path")
-    if name == "refactor":
-        reached = transitive_dependents(edges, own.select(F.col("path").alias("anchor")), scratch)
-        return own.union(near).union(reached.select("node")).distinct()
-    if name == "feature":
-        strong = nodes.join(near, "path", "left_semi").where("n_routes > 0 or rank_score >= 0.5").select("path")
-        return near.orderBy("path").limit(5) if strong.isEmpty() else strong
-    raise ValueError(f"unknown preset {name!r}")
+    asked = anchors.select("anchor").distinct()
+    own = asked.join(nodes.select(F.col("path").alias("anchor")), "anchor", "left_semi").select("anchor", F.col("anchor").alias("path"))
+    if task == "bug-fix":
+        return own.unionByName(asked.join(dependents(edges).select(F.col("path").alias("anchor"), F.col("other").alias("path")), "anchor")).distinct()
+    if task not in ("refactor", "feature"):
+        raise ValueError(f"unknown preset {task!r}")
+    homes = asked.join(membership.select(F.col("path").alias("anchor"), "community"), "anchor")
+    if task == "refactor":
+        near = homes.join(membership, "community").select("anchor", "path")
+        reached = transitive_dependents(edges, own.select("anchor"), scratch).select("anchor", F.col("node").alias("path"))
+        return own.unionByName(near).unionByName(reached).distinct()
+    # Both kinds of files are chosen once a community; of the few first ones, tasks keep FEWEST a community before rows are dealt out.
+    strong = membership.join(nodes.where((F.col("n_routes") > 0) | (F.col("rank_score") >= STRONG)).select("path"), "path", "left_semi")
+    weak = membership.join(strong.select("community").distinct(), "community", "left_anti")
+    place = spare("place", weak)
+    few = weak.withColumn(place, F.row_number().over(Window.partitionBy("community").orderBy("path"))).where(F.col(place) <= FEWEST).select("path", "community")
+    return homes.join(strong.select("path", "community").unionByName(few), "community").select("anchor", "path").distinct()
+
+
+def preset(name: str, anchor: str, nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path) of the files that a task on one anchor file needs, see ``presets``."""
+    return presets(name, nodes.sparkSession.createDataFrame([(anchor,)], "anchor string"), nodes, edges, membership, scratch).select("path")

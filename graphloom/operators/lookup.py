@@ -39,6 +39,29 @@ def callees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("to_id", F.col("from_id").alias("id"), F.col("kind").alias("edge_kind")).join(far, "to_id").select("id", "file_path", "name", "kind", "edge_kind")
 
 
+def asked_neighbours(asked: DataFrame, symbols: DataFrame, edges: DataFrame, links: DataFrame, inbound: bool = True) -> DataFrame:
+    """(ask, file_path, name, kind) for questions (ask, path, name): a row per edge into the symbol asked for, or out of it.
+
+    A symbol is asked for by name, in its file if a path is given; the one with
+    the smallest id counts, and without one the question has no rows. A path
+    without a name asks for the distinct files that depend on it, or that it
+    depends on, by links (from_path, to_path, kind) other than routes; their
+    name and kind are null.
+    """
+    own = symbols.select(clean_path(F.col("file_path")).alias("path"), F.col("name"), "id")
+    clean = asked.select("ask", clean_path(F.col("path")).alias("path"), "name")
+    placed = clean.where("name is not null and path is not null").join(own, ["path", "name"]).groupBy("ask").agg(F.min("id").alias("id"))
+    first = own.groupBy("name").agg(F.min("id").alias("id"))
+    loose = clean.where("name is not null and path is null").join(first, "name").select("ask", "id")
+    met = (callers if inbound else callees)(symbols, edges)
+    of_symbols = placed.unionByName(loose).join(met, "id").select("ask", "file_path", "name", "kind")
+    here, there = ("to_path", "from_path") if inbound else ("from_path", "to_path")
+    near = links.where("kind <> 'route'").select(F.col(here).alias("path"), F.col(there).alias("file_path")).distinct()
+    nothing = F.lit(None).cast("string")
+    of_files = clean.where("name is null").join(near, "path").select("ask", "file_path", nothing.alias("name"), nothing.alias("kind"))
+    return of_symbols.unionByName(of_files)
+
+
 def symbol_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(from_symbol, to_symbol, kind), symbols written file#name."""
     own = symbols.select("id", F.concat_ws("#", "file_path", "name").alias("s"))
@@ -97,3 +120,10 @@ def activity_targets(calls: DataFrame, nodes: DataFrame, symbols: DataFrame) ->
     every = asked.select("call", F.col("p").alias("file"), "s").unionByName(under).unionByName(over).unionByName(named)
     both = every.select("call", F.explode(F.array("file", F.concat_ws("#", "file", "s"))).alias("target"), "s", "file").where("s is not null or target = file")
     return both.select("call", "target").distinct()
+
+
+def primary_language(nodes: DataFrame) -> DataFrame:
+    """One row: the language of most files (path, language, n_symbols), the first by name of several, with its files and all symbols. None without files."""
+    counted = nodes.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("n_symbols").alias("n"))
+    best = F.min(F.struct((-F.col("n_files")).alias("most"), "language")).alias("best")
+    return counted.agg(best, F.sum("n").alias("n_symbols")).where("best is not null").select("best.language", (-F.col("best.most")).alias("n_files"), "n_symbols")

@@ -34,11 +34,27 @@ class Options:
         return {"rank": [F.col("rank_order")], "alphabetical": [F.col("path")], "depth": [depth(F.col("path")), F.col("path")]}[SORTS.get(self.sort_by.strip().lower(), "rank")]
 
 
+def in_community(files: DataFrame, asked: str) -> DataFrame:
+    """Files (path, community, maybe community_id) of one community: the one with the asked number, if digits are asked and the files have numbers.
+
+    Otherwise it is the first one, by number or else by name, whose name contains what is asked, in any case.
+    """
+    numbered = "community_id" in files.columns
+    if numbered and asked.strip().isdigit():
+        return files.where(F.col("community_id") == int(asked))
+    met = files.where(F.contains(F.lower("community"), F.lit(asked.strip().lower())))
+    rank = F.struct("community_id", "community") if numbered else F.struct("community")
+    first = met.agg(F.min(rank).alias("first")).select("first.*")
+    return files.join(F.broadcast(first), first.columns, "left_semi")
+
+
 def select_files(files: DataFrame, options: Options) -> DataFrame:
-    """The files of a manifest, in order. files has path, rank_score and rank_order, and community if that filters."""
-    kept = files.where(in_scope(F.col("path"), options.scope)) if options.scope else files
+    """The files of a manifest, in order. files has path, rank_score and rank_order, and community (maybe community_id) if that filters."""
+    kept = files
     if options.community is not None:
-        kept = kept.where(F.lower("community").contains(options.community.lower()))
+        kept = in_community(files, options.community)
+    if options.scope:
+        kept = kept.where(in_scope(F.col("path"), options.scope))
     if options.min_rank is not None:
         kept = kept.where(F.col("rank_score") >= options.min_rank)
     if options.top_k is not None:
@@ -50,7 +66,7 @@ def checked(files: DataFrame, options: Options) -> DataFrame:
     """select_files, or the error that says which filter left nothing."""
     if options.scope and files.where(in_scope(F.col("path"), options.scope)).isEmpty():
         raise ManifestError("empty_scope")
-    if options.community is not None and files.where(F.lower("community").contains(options.community.lower())).isEmpty():
+    if options.community is not None and in_community(files, options.community).isEmpty():
         raise ManifestError("unknown_domain")
     found = select_files(files, options)
     if options.min_rank is not None and found.isEmpty():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import token_estimate
 from graphloom.operators.ordering import running_totals, spare
 from graphloom.operators.scans import numbered_gaps, running_sums
 from graphloom.storage import Scratch
@@ -106,3 +107,30 @@ def raw_cost(referenced: DataFrame, contents: DataFrame) -> DataFrame:
     sums = clean.distinct().join(contents.select("path", "tokens"), "path").groupBy("call").agg(F.sum("tokens").alias("tokens"))
     cost = F.when(F.coalesce("tokens", F.lit(0)) == 0, F.greatest("asked", F.lit(1)) * RAW_PER_FILE).otherwise(F.col("tokens"))
     return asked.join(sums, "call", "left").select("call", cost.alias("raw_tokens"))
+
+
+# Tokens that an answer of a tool costs without a map: whatever it names, where it names no files, and of any other tool.
+TOOL_TOKENS = {"callers": 3500, "callees": 3500, "delete": 500}
+UNNAMED_TOKENS = {"explore": 3500, "search": 3500, "impact": 4000, "node": 1500, "edit": 2000, "batch_edit": 2500, "edit_symbol": 1500, "write": 1500}
+OTHER_TOKENS, WRITTEN_TOKENS = 1000, 500
+
+
+def _told(tool: Column, values: dict[str, int]) -> Column:
+    return F.element_at(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(F.lit(v).cast("long") for v in values.values()))), tool)
+
+
+def tool_cost(calls: DataFrame, referenced: DataFrame, contents: DataFrame) -> DataFrame:
+    """(call, raw_tokens) of all calls (call, tool, n_asked, content): what each would have cost without a map.
+
+    Tools of TOOL_TOKENS cost the same always. Those of UNNAMED_TOKENS cost
+    their files (see ``raw_cost``), or else that value, explore for each of the
+    n_asked names (null: one). A write costs its content and WRITTEN_TOKENS.
+    Other tools, and a null tool, cost OTHER_TOKENS.
+    """
+    own = calls.join(raw_cost(referenced, contents).withColumnRenamed("raw_tokens", "of_files"), "call", "left")
+    unnamed = _told(F.col("tool"), UNNAMED_TOKENS)
+    times = F.when(F.col("tool") == "explore", F.coalesce("n_asked", F.lit(1))).otherwise(1)
+    written = F.when((F.col("tool") == "write") & F.col("content").isNotNull(), token_estimate(F.col("content")) + WRITTEN_TOKENS)
+    of_files = F.when(unnamed.isNotNull() & (F.col("tool") != "write"), F.col("of_files"))
+    cost = F.coalesce(_told(F.col("tool"), TOOL_TOKENS), written, of_files, unnamed * times, F.lit(OTHER_TOKENS))
+    return own.select("call", cost.cast("long").alias("raw_tokens"))

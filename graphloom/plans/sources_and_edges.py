@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import community, graph, manifest, rank, resolve, slicing
+from graphloom.operators import community, graph, lookup, manifest, rank, resolve, slicing
+from graphloom.operators.ordering import with_position
 from graphloom.plans import bindings as b
 from graphloom.plans.code_graph import code
 from graphloom.sources import declared, extract
@@ -337,9 +338,9 @@ def explore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.explore(own, b.edges(spark, sf_dir), own.select(F.col("id").alias("anchor")), compact=False)
 
 
-@query("flt2_flt3_manifest", code("SELECT path, n_symbols / 100 AS rank_score FROM files WHERE path LIKE 'src/%' AND contains(split_part(path, '/', 2), 'brand1') AND n_symbols / 100 >= 0.02"))
+@query("flt2_flt3_manifest", code("SELECT path, n_symbols / 100 AS rank_score FROM files WHERE path LIKE 'src/%' AND split_part(path, '/', 2) = (SELECT min(split_part(path, '/', 2)) FROM files WHERE contains(split_part(path, '/', 2), 'brand1')) AND n_symbols / 100 >= 0.02"))
 def filtered_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a scope, of communities that match a name and of a least rank, in order of depth."""
+    """Files of a scope, of the first community that matches a name and of a least rank, in order of depth."""
     files = b.files(spark, sf_dir).select("path", (F.col("n_symbols") / 100).alias("rank_score"), F.split("path", "/")[1].alias("community"))
     return manifest.select_files(files, manifest.Options(scope="./src/", community="BRAND1", min_rank=0.02, sort_by="depth")).select("path", "rank_score")
 
@@ -407,3 +408,66 @@ def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema("path string, batch int").option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/changes")
     live.apply_changes(stream, write, f"{scratch.root}/progress").awaitTermination()
     return Bucketed(spark, root, keys).read("edges")
+
+
+_NODES = "n AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size % 7 = 0 OR p_size / 50.0 >= 0.5 AS strong, p_brand || '-' || p_size % 5 AS community, p_partkey AS k FROM part)"
+
+
+@query(
+    "gr18_presets",
+    f"""WITH RECURSIVE {_UP}, {_NODES}, w AS (SELECT DISTINCT k AS anchor, k AS node, 0 AS hops FROM e UNION ALL SELECT w.anchor, e.up, w.hops + 1 FROM w JOIN e ON w.node = e.k WHERE e.kind <> 'route'),
+a AS (SELECT * FROM n WHERE k > 0), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY path) AS place, bool_or(strong) OVER (PARTITION BY community) AS any_strong FROM n),
+f AS (SELECT 'bug-fix' AS task, path AS anchor, path FROM a UNION SELECT 'bug-fix', CAST(k AS VARCHAR), CAST(up AS VARCHAR) FROM e WHERE kind <> 'route'
+UNION SELECT 'refactor', a.path, n.path FROM a JOIN n USING (community) UNION SELECT 'refactor', CAST(anchor AS VARCHAR), CAST(node AS VARCHAR) FROM w
+UNION SELECT 'feature', a.path, r.path FROM a JOIN r USING (community) WHERE CASE WHEN any_strong THEN r.strong ELSE place <= 5 END)
+SELECT task, anchor, count(*) AS n_files, min(path) AS first_path, max(path) AS last_path FROM f GROUP BY 1, 2""",
+)
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each task on each part, with brands and sizes as communities."""
+    edges, anchors = _dependents_tree(spark, sf_dir)
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") % 7 == 0).cast("int").alias("n_routes"), (F.col("p_size") / 50.0).alias("rank_score"), F.concat_ws("-", "p_brand", (F.col("p_size") % 5).cast("string")).alias("community"))
+    scratch, found = Scratch(spark, "presets"), None
+    for task in ("bug-fix", "refactor", "feature"):
+        rows = graph.presets(task, anchors, nodes, edges, nodes.select("path", "community"), scratch).select(F.lit(task).alias("task"), "anchor", "path")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("task", "anchor").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
+_LANGUAGE = "CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' ELSE 'markdown' END"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a language, and a rank by their number of symbols."""
+    files = b.files(spark, sf_dir).select("path", "n_symbols", paths.language(F.col("path")).alias("language"), (F.col("n_symbols") / 100).alias("rank_score"))
+    return with_position(files, [F.col("rank_score").desc(), F.col("path").asc()], Scratch(spark, "ranked"), "rank_order")
+
+
+@query("flt7_core_files", code(f"r AS (SELECT path, {_LANGUAGE} AS language, n_symbols / 100 AS rank_score, row_number() OVER (ORDER BY n_symbols DESC, path) AS rank_order FROM files) SELECT path, language, rank_order FROM r WHERE language IN ('python', 'rust') AND rank_score >= 0.01 AND (rank_order <= 30 OR path LIKE 'src/brand1%')"))
+def core_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two languages that are among the thirty best, or opened: those of some brands."""
+    files = _ranked(spark, sf_dir)
+    return manifest.core_files(files, ["python", "rust"], 0.01, 30, files.where("path like 'src/brand1%'").select("path")).select("path", "language", F.col("rank_order").cast("long").alias("rank_order"))
+
+
+@query("agg2_primary_language", code(f"l AS (SELECT {_LANGUAGE} AS language, count(*) AS n_files FROM files GROUP BY 1) SELECT language, n_files, (SELECT CAST(sum(n_symbols) AS BIGINT) FROM files) AS n_symbols FROM l ORDER BY n_files DESC, language LIMIT 1"))
+def primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.primary_language(b.files(spark, sf_dir).withColumn("language", paths.language(F.col("path"))))
+
+
+_ASKED = "q AS (SELECT id AS ask, CASE WHEN id % 3 = 0 THEN NULL ELSE '/' || file_path END AS path, CASE WHEN id % 3 = 2 THEN NULL ELSE name END AS name FROM symbols)"
+
+
+@query(
+    "sl10_asked_neighbours",
+    code(f"""{_ASKED}, i AS (SELECT ask, min(s.id) AS id FROM q JOIN symbols s ON q.name = s.name AND (q.path IS NULL OR q.path = '/' || s.file_path) GROUP BY ask),
+h AS (SELECT 'in' AS side, ask, s.file_path, s.name, s.kind FROM i JOIN edges e ON e.to_id = i.id JOIN symbols s ON s.id = e.from_id UNION ALL SELECT 'out', ask, s.file_path, s.name, s.kind FROM i JOIN edges e ON e.from_id = i.id JOIN symbols s ON s.id = e.to_id
+UNION ALL SELECT 'in', ask, from_path, NULL, NULL FROM (SELECT DISTINCT ask, from_path FROM q JOIN file_edges ON path = '/' || to_path WHERE name IS NULL) UNION ALL SELECT 'out', ask, to_path, NULL, NULL FROM (SELECT DISTINCT ask, to_path FROM q JOIN file_edges ON path = '/' || from_path WHERE name IS NULL))
+SELECT side, ask, file_path, name, kind, count(*) AS n FROM h GROUP BY ALL"""),
+)
+def asked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers and callees of every symbol, asked for by name, by path and name, or by its file alone."""
+    own = b.symbols(spark, sf_dir)
+    k = F.col("id") % 3
+    asked = own.select(F.col("id").alias("ask"), F.when(k != 0, F.concat(F.lit("/"), "file_path")).alias("path"), F.when(k != 2, F.col("name")).alias("name"))
+    both = [lookup.asked_neighbours(asked, own, b.edges(spark, sf_dir), b.file_edges(spark, sf_dir), inbound).withColumn("side", F.lit(side)) for side, inbound in (("in", True), ("out", False))]
+    return both[0].unionByName(both[1]).groupBy("side", "ask", "file_path", "name", "kind").agg(F.count("*").alias("n"))

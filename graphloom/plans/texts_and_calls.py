@@ -298,3 +298,33 @@ def spelt_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), r"[\x20\x09-\x0D]+")
     words = lambda name, column: table(spark, sf_dir, name).select(F.explode(plain).alias(column))
     return search.spelt_alike(words("documents", "name"), words("benchmark", "asked"), 1)
+
+
+@query("strm7_telemetry_tail", f"WITH {b.CALLS_SQL} SELECT id, tool, round(CASE WHEN output_tokens > 0 THEN raw_tokens / output_tokens WHEN raw_tokens > 0 THEN 18.5 ELSE 1.0 END, 6) AS ratio FROM calls")
+def telemetry_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls as a stream of appended files, with their ratios."""
+    scratch = Scratch(spark, "tail")
+    scratch.keep(b.calls(spark, sf_dir), "calls")
+    tail = live.telemetry_tail(spark, f"{scratch.root}/calls", "id long, tool string, raw_tokens long, output_tokens long")
+    live.run_to(tail.select("id", "tool", F.round("ratio", 6).alias("ratio")), f"{scratch.root}/out", f"{scratch.root}/progress").awaitTermination()
+    return spark.read.schema("id long, tool string, ratio double").parquet(f"{scratch.root}/out")
+
+
+_TOOLS = ("explore", "search", "impact", "callers", "node", "write", "delete", "domains")
+
+
+@query(
+    "tel6_tool_cost",
+    f"""WITH c AS (SELECT event_id AS call, ({list(_TOOLS)})[CAST(event_id % 8 + 1 AS INT)] AS tool, CASE WHEN user_id % 2 = 0 THEN user_id % 5 + 1 END AS n_asked, CASE WHEN user_id % 3 = 0 THEN props END AS content FROM events),
+d AS (SELECT doc_id, CAST(round(length(text) / 3.7) AS BIGINT) AS tokens FROM documents), f AS (SELECT event_id AS call, coalesce(nullif(coalesce(tokens, 0), 0), 1500) AS of_files FROM events LEFT JOIN d ON user_id * 7 = doc_id WHERE event_id % 3 <> 0)
+SELECT call, CAST(CASE tool WHEN 'callers' THEN 3500 WHEN 'delete' THEN 500 WHEN 'domains' THEN 1000 WHEN 'write' THEN coalesce(round(length(content) / 3.7) + 500, 1500)
+ELSE coalesce(of_files, CASE tool WHEN 'explore' THEN 3500 * coalesce(n_asked, 1) WHEN 'search' THEN 3500 WHEN 'impact' THEN 4000 ELSE 1500 END) END AS BIGINT) AS raw_tokens FROM c LEFT JOIN f USING (call)""",
+)
+def tool_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of eight tools; two of three refer to a document."""
+    events = table(spark, sf_dir, "events")
+    tool = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("event_id") % 8 + 1).cast("int"))
+    own = events.select(F.col("event_id").alias("call"), tool.alias("tool"), F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 5 + 1).alias("n_asked"), F.when(F.col("user_id") % 3 == 0, F.col("props")).alias("content"))
+    asked = events.where("event_id % 3 <> 0").select(F.col("event_id").alias("call"), F.concat(F.lit("/doc/"), (F.col("user_id") * 7).cast("string")).alias("path"))
+    contents = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), texts.token_estimate(F.col("text")).alias("tokens"))
+    return telemetry.tool_cost(own, asked, contents)
