@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexical import code_text
-from graphloom.sources import declared
+from graphloom.sources import declared, extract
 from graphloom.storage import Scratch, table
 
 QUERIES: dict = {}
@@ -48,13 +50,14 @@ _TOKENS = {
     "graphql": (r"#[^\n]*", r'"""[\s\S]*?(?:"""|\z)', _DOUBLE, '[^#"]+', r"[\s\S]"),
     "rust": (_BLOCK, _LINE, '"[^"]*"?', '[^/"]+', r"[\s\S]"),
     "java": (_BLOCK, _LINE, r'"[^"\n]*"?', '[^/"]+', r"[\s\S]"),
+    "javascript": (_BLOCK, _LINE, "`[^`]*`?", _DOUBLE, _SINGLE, "[^/`\"']+", r"[\s\S]"),
 }
-_STARTS = {"go": ("^/[*/]", "[/`\"']"), "python": ("^#", "[#\"']"), "sql": (r"^(/\*|--)", "[-/\"']"), "graphql": ("^#", '[#"]'), "rust": ("^/[*/]", '[/"]'), "java": ("^/[*/]", '[/"]')}
+_STARTS = {"go": ("^/[*/]", "[/`\"']"), "python": ("^#", "[#\"']"), "sql": (r"^(/\*|--)", "[-/\"']"), "graphql": ("^#", '[#"]'), "rust": ("^/[*/]", '[/"]'), "java": ("^/[*/]", '[/"]'), "javascript": ("^/[*/]", "[/`\"']")}
 
 
-def _code_sql(text: str, language: str) -> str:
+def _code_sql(text: str, language: str, comments: bool = False) -> str:
     comment, first = _STARTS[language]
-    blank = f"regexp_matches(x, {_quoted(comment)}) OR regexp_matches(x, {_quoted(f'^{first}') }) AND contains(x, chr(10))"
+    blank = f"regexp_matches(x, {_quoted(f'^{first}')}) AND contains(x, chr(10))" + ("" if comments else f" OR regexp_matches(x, {_quoted(comment)})")
     return f"array_to_string(list_transform(regexp_extract_all({text}, {_quoted('|'.join(_TOKENS[language]))}), lambda x: CASE WHEN {blank} THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '')"
 
 
@@ -82,40 +85,46 @@ SHAPES = (
     "pub static <W>: u8 = 1;", "/* <w>", "*/ let <w> = 1;", "// static OLD: u8 = 1;", "let (tx, mut <w>) = mpsc::channel(8);", "  var <w> = make(chan int)", "x := `<w>", "@Entity", "#[derive(Clone, FromRow)]",
     "class <w> extends Model {", "pub struct <w> { }", "  DbSet<<w>> All; // DbSet<No>", 'x = "<w>', "", "*/", "`; }", 'y"; public class <w> { }', "public class <w> { }",
 )
-_SQL_LEXIS = {"rust": "rust", "go": "go", "java": "java", "php": "rust", "csharp": "java"}
+_DECLARING = dict.fromkeys(LANGUAGES, SHAPES)
+
 
+def _shape_sql(shapes: tuple[str, ...]) -> str:
+    own = lambda s: " || ".join({"<W>": "upper(w)", "<w>": "w"}.get(x, _quoted(x)) for x in re.split("(<W>|<w>)", s) if x) or "''"
+    return f"CASE (i * 7 + length(w) * 3 + i * length(w) + doc_id * 5) % {len(shapes)} " + " ".join(f"WHEN {k} THEN {own(s)}" for k, s in enumerate(shapes)) + " END"
 
-def _shape_sql() -> str:
-    own = lambda s: " || ".join({"<W>": "upper(w)", "<w>": "w"}.get(x, _quoted(x)) for x in s.replace("<W>", "\0<W>\0").replace("<w>", "\0<w>\0").split("\0") if x) or "''"
-    return "CASE k " + " ".join(f"WHEN {k} THEN {own(s)}" for k, s in enumerate(SHAPES)) + " END"
 
+def _files(spark: SparkSession, sf_dir: str, shapes: dict[str, tuple[str, ...]], head: str = "") -> DataFrame:
+    """A file of each document in one of the languages: path, language, content, a line a word. The shape comes from place, length and document."""
+    words, number = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.col("doc_id") % len(shapes)
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of each document: path, language, content, a line a word. The shape comes from place, length and document."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    def lines(own: tuple[str, ...]):
+        def line(w, i):
+            k = (i * 7 + F.length(w) * 3 + i * F.length(w) + F.col("doc_id") * 5) % len(own)
+            return F.replace(F.replace(F.element_at(F.array(*map(F.lit, own)), (k + 1).cast("int")), F.lit("<W>"), F.upper(w)), F.lit("<w>"), w)
 
-    def line(w, i):
-        k = (i * 7 + F.length(w) * 3 + i * F.length(w) + F.col("doc_id") * 5) % len(SHAPES)
-        shape = F.element_at(F.array(*map(F.lit, SHAPES)), (k + 1).cast("int"))
-        return F.replace(F.replace(shape, F.lit("<W>"), F.upper(w)), F.lit("<w>"), w)
+        return F.transform(words, line)
 
-    language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("doc_id") % len(LANGUAGES) + 1).cast("int"))
+    body = F.lit(None)
+    for n, own in enumerate(shapes.values()):
+        body = F.when(number == n, lines(own)).otherwise(body)
     rows = table(spark, sf_dir, "documents").where("text is not null")
-    content = F.array_join(F.concat(F.array(F.lit(HEAD)), F.transform(words, line)), "\n")
-    return rows.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), language.alias("language"), content.alias("content"))
+    made = rows.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, shapes)), (number + 1).cast("int")).alias("language"), F.array_join(F.concat(F.array(F.lit(head)), body), "\n").alias("content"))
+    return Scratch(spark, "texts").keep(made, "files")
 
 
-_CODE = f"""l AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, i, w, (i * 7 + length(w) * 3 + i * length(w) + doc_id * 5) % {len(SHAPES)} AS k FROM l),
-f AS (SELECT doc_id, string_agg({_shape_sql()}, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id),
-g AS (SELECT doc_id, ({list(LANGUAGES)})[CAST(doc_id % {len(LANGUAGES)} + 1 AS INT)] AS language, {_quoted(HEAD)} || chr(10) || body AS content FROM f),
-c AS (SELECT doc_id, language, CASE language {' '.join(f'WHEN {_quoted(x)} THEN {_code_sql("content", y)}' for x, y in _SQL_LEXIS.items())} END AS code FROM g),
-n AS (SELECT doc_id, language, generate_subscripts(ls, 1) AS line, unnest(ls) AS t FROM (SELECT doc_id, language, string_split(code, chr(10)) AS ls FROM c))"""
+def _lines_sql(shapes: dict[str, tuple[str, ...]], lexis: dict[str, str], head: str = "") -> str:
+    """n: doc_id, language, line, t (its code) and raw (with comments of one line) of those files."""
+    body = "CASE language " + " ".join(f"WHEN {_quoted(x)} THEN {_shape_sql(own)}" for x, own in shapes.items()) + " END"
+    code = lambda comments: "CASE language " + " ".join(f"WHEN {_quoted(x)} THEN {_code_sql('content', lexis.get(x, x), comments)}" for x in shapes) + " END"
+    return f"""l AS (SELECT doc_id, language, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, ({list(shapes)})[CAST(doc_id % {len(shapes)} + 1 AS INT)] AS language, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, language, {_quoted(head)} || chr(10) || string_agg({body}, chr(10) ORDER BY i) AS content FROM l GROUP BY ALL),
+c AS (SELECT doc_id, language, string_split({code(False)}, chr(10)) AS ls, string_split({code(True)}, chr(10)) AS rs FROM f),
+n AS (SELECT doc_id, language, generate_subscripts(ls, 1) AS line, unnest(ls) AS t, unnest(rs) AS raw FROM c)"""
 
 
 @query(
     "st_sc_in_texts",
-    f"""WITH {_CODE},
+    f"""WITH {_lines_sql(_DECLARING, {"php": "rust", "csharp": "java"}, HEAD)},
 m AS (SELECT *, CASE WHEN language = 'java' AND regexp_matches(t, '^\\s*@Entity\\b') OR language = 'rust' AND regexp_matches(t, '^\\s*#\\[derive\\(.*FromRow') THEN line END AS mark, CASE WHEN NOT regexp_matches(t, '^\\s*[@#]') AND trim(t) <> '' THEN line END AS bare FROM n),
 b AS (SELECT *, max(mark) OVER w AS last_mark, coalesce(max(bare) OVER w, 0) AS last_bare FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 u AS (SELECT doc_id, 'state_store' AS kind, regexp_extract(t, '^\\s*(?:pub\\s+)?static\\s+([A-Z]\\w*)', 1) AS name, line FROM n WHERE language = 'rust'
@@ -128,4 +137,41 @@ SELECT 'd/' || doc_id AS path, name, CAST(min(line) AS INT) AS line, arg_min(kin
 )
 def declarations_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State stores and schemas of Rust, Go, Java, PHP and C# files, a line a word of the documents."""
-    return declared.declarations(Scratch(spark, "texts").keep(_files(spark, sf_dir), "files"))
+    return declared.declarations(_files(spark, sf_dir, _DECLARING, HEAD))
+
+
+ROUTING = {
+    "javascript": ("app.get('/<w>', h.<w>)", 'router.POST("/x/<w>")', "app.get('view engine')", "/* <w>", "*/ app.put('/p/<w>', <w>)", "const s = `<w>", "`;", "// app.get('/no', x)", "  e.delete(`/<w>`, run_<w>) // app.get('/no')", "'/*'", "*/", "`"),
+    "python": ("@app.route('/<w>')", "@get('/b/<w>')", "def run_<w>():", "    async def <w>(x):", '"""<w>', "'''", "# @app.get('/no')", "    (r'/t/<w>', <W>Handler),", "app.add_route(<W>.as_view(), '/s/<w>') # def no():", "x = 'a # b'", "pass", '"""', "'''"),
+    "go": ('api := e.Group("/<w>")', 'api.GET("/<w>", ctl.<w>)', 'e.Post("/<w>", <w>)', "// @router /r/<w> [get]", "func (c *C) <W>() {}", "x := `<w>", "`", "/*", "*/", '// api.GET("/no", x)', "var y = 1", "", '*/ api.Put("/p/<w>")'),
+    "rust": ('.route("/<w>", get(a::<w>)).route("/y/<w>", put(put_<w>))', '.at("/z/<w>", get(<w>)) // .route("/no", get(x))', 'let s = "<w>', '";', "/* <w>", '*/ .route("/k/<w>", any(k))', "let c = x;", "*/", ""),
+}
+
+
+@query(
+    "rt_in_texts",
+    rf"""WITH {_lines_sql(ROUTING, {})},
+js AS (SELECT *, '(?:app|router|e)\.(?:get|POST|put|delete)\([''"`](/[^''"`]*)[''"`](?:, ([\w.]+))?' AS p FROM n WHERE language = 'javascript'),
+py AS (SELECT *, first_value(nullif(regexp_extract(t, '^\s*(?:async )?def (\w+)', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_def FROM n WHERE language = 'python'),
+g AS (SELECT *, regexp_extract(t, '(\w+)\.(?:GET|Post|Put)\("', 1) AS called, regexp_extract(t, '^\s*(\w+) := .*\.Group\("', 1) AS made FROM n WHERE language = 'go'),
+gg AS (SELECT *, last_value(CASE WHEN made <> '' THEN regexp_extract(t, 'Group\("([^"]*)"', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id, coalesce(nullif(called, ''), made) ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prefix,
+ last_value(CASE WHEN raw LIKE '// @router %' THEN line END IGNORE NULLS) OVER w AS mark, last_value(CASE WHEN raw LIKE '// @router %' THEN regexp_extract(raw, '@router (\S+)', 1) END IGNORE NULLS) OVER w AS said, coalesce(max(CASE WHEN trim(t) <> '' THEN line END) OVER w, 0) AS code FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rs AS (SELECT doc_id, line, unnest(regexp_extract_all(t, '\.(?:route|at)\("(/[^"]*)"(?:, \w+\(([\w:]+))?', 1)) AS route, unnest(regexp_extract_all(t, '\.(?:route|at)\("(/[^"]*)"(?:, \w+\(([\w:]+))?', 2)) AS handler FROM n WHERE language = 'rust'),
+a AS (SELECT doc_id, line, regexp_extract(t, p, 1) AS route, regexp_extract(t, p, 2) AS handler FROM js
+UNION ALL SELECT doc_id, line, regexp_extract(t, '^\s*@(?:app\.route|get)\(''([^'']+)''', 1), next_def FROM py
+UNION ALL SELECT doc_id, line, regexp_extract(t, 'add_route\(\w+\.as_view\(\), ''(/[^'']*)''', 1), regexp_extract(t, 'add_route\((\w+)', 1) FROM py
+UNION ALL SELECT doc_id, line, regexp_extract(t, '^[^(]*\(r''(/[^'']*)'', [A-Z]', 1), regexp_extract(t, '^[^(]*\(r''/[^'']*'', ([A-Z]\w*)', 1) FROM py
+UNION ALL SELECT doc_id, line, CASE WHEN called <> '' THEN coalesce(prefix, '') || regexp_extract(t, '\w\.(?:GET|Post|Put)\("([^"]*)"', 1) ELSE '' END, regexp_extract(t, '\w\.(?:GET|Post|Put)\("[^"]*", ([\w.]+)', 1) FROM gg
+UNION ALL SELECT doc_id, mark, said, regexp_extract(t, '^\s*func \([^)]*\) (\w+)', 1) FROM gg WHERE mark > code AND regexp_matches(t, '^\s*func \([^)]*\) \w')
+UNION ALL SELECT doc_id, line, route, handler FROM rs)
+SELECT 'd/' || doc_id AS path, CAST(line AS INT) AS line, route, nullif(handler, '') AS handler FROM a WHERE route <> ''""",
+)
+def routes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of JavaScript, Python, Go and Rust files, a line a word of the documents, among comments and strings that hold others."""
+    files = _files(spark, sf_dir, ROUTING)
+    scanners = {"javascript": extract.router_calls, "python": extract.decorated_routes, "go": declared.go_routes, "rust": extract.rust_routes}
+    found = None
+    for language, scanner in scanners.items():
+        rows = scanner(files.where(F.col("language") == language)).select("path", F.col("line").cast("int").alias("line"), "route", F.nullif("handler", F.lit("")).alias("handler"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
