@@ -63,16 +63,17 @@ def sweep_levels(near: DataFrame, scratch: Scratch) -> list[DataFrame]:
 
     A level is one more than the highest among a node's earlier neighbours, so
     no two neighbours share one, and there are as many as the longest rising
-    path has nodes.
+    path has nodes. No side of a join is broadcast, as nodes in order take
+    little room in files, whatever their number.
     """
     earlier = scratch.keep(near.where("other < node").select("node", "other").distinct(), "earlier")
     left = scratch.keep(near.select("node").distinct(), "left")
     levels: list[DataFrame] = []
     while not left.isEmpty():
         k = len(levels)
-        blocked = earlier.join(left.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
-        levels.append(scratch.keep(left.join(blocked, "node", "left_anti"), f"level-{k}"))
-        left = scratch.keep(left.join(levels[-1], "node", "left_anti"), f"left-{k}")
+        blocked = earlier.join(left.select(F.col("node").alias("other")).hint("merge"), "other", "left_semi").select("node").distinct()
+        levels.append(scratch.keep(left.join(blocked.hint("merge"), "node", "left_anti"), f"level-{k}"))
+        left = scratch.keep(left.join(levels[-1].hint("merge"), "node", "left_anti"), f"left-{k}")
         if k:
             scratch.drop(f"left-{k - 1}")
     return levels
@@ -93,7 +94,7 @@ def sweep(near: DataFrame, scratch: Scratch, passes: int = ROUNDS, strict: bool
     """
     levels = sweep_levels(near, scratch)
     rows = near if strict else near.withColumn("place", F.lit(0))
-    own = [scratch.keep(rows.join(level, "node", "left_semi").select("node", "other", "weight", "place"), f"near-{k}") for k, level in enumerate(levels)]
+    own = [scratch.keep(rows.join(level.hint("merge"), "node", "left_semi").select("node", "other", "weight", "place"), f"near-{k}") for k, level in enumerate(levels)]
     labels = [level.select("node", F.col("node").alias("label")) for level in levels]
     for turn in range(passes):
         moved = False
@@ -101,12 +102,12 @@ def sweep(near: DataFrame, scratch: Scratch, passes: int = ROUNDS, strict: bool
             every = labels[0]
             for part in labels[1:]:
                 every = every.unionByName(part)
-            votes = links.join(every.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("weight"), F.min("place").alias("place"))
+            votes = links.join(every.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("weight"), F.min("place").alias("place"))
             best = votes.groupBy("node").agg(F.max(F.struct("weight", (-F.col("place")).alias("place"))).alias("top"), F.min_by("label", F.struct(-F.col("weight"), "place" if strict else "label")).alias("new"))
-            held = labels[k].join(best, "node", "left")
+            held = labels[k].join(best.hint("merge"), "node", "left")
             if strict:
                 mine = votes.select("node", "label", F.col("weight").alias("mine"))
-                held = held.join(mine, ["node", "label"], "left")
+                held = held.join(mine.hint("merge"), ["node", "label"], "left")
                 held = held.withColumn("new", F.when(F.col("top.weight") > F.coalesce("mine", F.lit(0)), F.col("new")).otherwise(F.col("label")))
             after = scratch.keep(held.select("node", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")), f"labels-{turn}-{k}")
             moved = moved or not after.where("moved").isEmpty()
