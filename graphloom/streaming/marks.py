@@ -1,8 +1,10 @@
 """Change marks as a stateful stream: a burst of marks of a path is due once the path has been quiet.
 
 The state of a path is its open bursts. A mark within the quiet time of a burst
-joins it and moves its timer; a timer that the watermark passes emits the burst
-as due and clears it, and a sync of the path clears what was marked up to it.
+joins it; a path has one timer, at its first due time, and once the watermark
+passes it all bursts that are due by then are emitted and cleared, so calls to
+the state store grow with paths and batches, not with open bursts. A sync of the
+path clears what was marked up to it.
 State and timers are in the checkpoint, so a stream that starts again goes on
 where it was. Late marks may join two bursts into one while both are open, so
 results equal session windows over the same marks.
@@ -55,31 +57,38 @@ class Marks(StatefulProcessor):
         flat = list(self.state.get()[0]) if self.state.exists() else []
         return list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
 
-    def _keep(self, bursts: list[tuple[int, int, int]]) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _first_due(self, bursts: list[tuple[int, int, int]]) -> int | None:
+        return min((last + self.wait for _, last, _ in bursts), default=None)
+
+    def _keep(self, bursts: list[tuple[int, int, int]], timer: int | None) -> None:
+        """Stores the bursts; ``timer`` is the one that is still set."""
+        due = self._first_due(bursts)
+        if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
-        for _, last, _ in bursts:
-            self.handle.registerTimer(last + self.wait)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
         if bursts:
             self.state.update(([x for b in bursts for x in b],))
         else:
             self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        bursts, synced = self._known(), []
+        known, synced = self._known(), []
+        bursts = list(known)
         for r in rows:
             if r.synced:
                 synced.append(r.ms)
             else:
                 bursts.append((r.ms, r.ms, 1))
         bursts = joined(bursts, self.wait)
-        self._keep(without(bursts, max(synced)) if synced else bursts)
+        self._keep(without(bursts, max(synced)) if synced else bursts, self._first_due(known))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, bursts = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        now, bursts = timerValues.getCurrentWatermarkInMs(), self._known()
         due = [b for b in bursts if b[1] + self.wait <= now]
-        self._keep([b for b in bursts if b[1] + self.wait > now])
+        if due:  # the timer that is set has expired
+            self._keep([b for b in bursts if b[1] + self.wait > now], None)
         return iter([Row(path=key[0], first_ms=a, last_ms=b, due_ms=b + self.wait, n_marks=n) for a, b, n in due])
 
 

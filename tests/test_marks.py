@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphloom.streaming import live, marks
@@ -65,3 +66,62 @@ def test_a_stream_that_starts_again_equals_sessions(spark, tmp_path):
         assert [r for r in run(spark, tmp_path, batches) if r[0] in "st"] == [("t", 3 * FAR, 3 * FAR, 3 * FAR + 100, 1)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+class Handle:
+    """Timers of one path, with the number of calls."""
+
+    def __init__(self):
+        self.timers, self.calls, self.value = set(), 0, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_calls_for_timers_do_not_grow_with_open_bursts():
+    handle, own = Handle(), marks.Marks(100)
+    own.init(handle)
+    for k in range(3):
+        assert list(own.handleInputRows(("p",), (Row(path="p", ms=1000 * i + k, synced=False) for i in range(500)), Watermark(0))) == []
+    assert handle.timers == {102} and handle.calls <= 5
+    fired, out = Watermark(400_050), []
+    while due := [t for t in sorted(handle.timers) if t <= fired.at]:
+        out += own.handleExpiredTimer(("p",), fired, type("Info", (), {"getExpiryTimeInMs": lambda self, at=due[0]: at})())
+        handle.timers.discard(due[0])
+    assert [r.first_ms for r in out] == [1000 * i for i in range(400)] and {r.n_marks for r in out} == {3}
+    assert handle.timers == {400_102} and handle.calls <= 7
+    # A sync of all that is open leaves no timer.
+    list(own.handleInputRows(("p",), [Row(path="p", ms=10**7, synced=True)], Watermark(0)))
+    assert handle.timers == set() and not handle.exists()
