@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.lexical import code_text, net_braces
 from graphloom.functions.text import lines
+from graphloom.storage import Scratch
 
 STATE, SCHEMA, CHANNEL, ROUTE = "state_store", "database_schema", "event_channel", "route"
 
@@ -169,17 +170,24 @@ def go_routes(files: DataFrame) -> DataFrame:
     call = r'(\w+)\.(?:' + "|".join(GO_METHODS) + r')\(\s*"([^"]*)"(?:\s*,\s*([\w.]+))?'
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     part = lambda pattern, k: F.regexp_extract("text", pattern, k)
-    calls = rows.where(F.col("text").rlike(call)).select("path", "line", part(call, 1).alias("receiver"), part(call, 2).alias("route"), part(call, 3).alias("handler"))
-    groups = rows.where(F.col("text").rlike(group)).select("path", part(group, 1).alias("receiver"), F.struct(F.col("line").alias("group_line"), part(group, 2).alias("prefix")).alias("g"))
+    told = {
+        "call": F.when(F.col("text").rlike(call), F.struct(part(call, 1).alias("receiver"), part(call, 2).alias("route"), part(call, 3).alias("handler"))),
+        "made": F.when(F.col("text").rlike(group), F.struct(part(group, 1).alias("receiver"), F.struct(F.col("line").alias("group_line"), part(group, 2).alias("prefix")).alias("g"))),
+        "said": F.regexp_extract("raw", r"^\s*//\s*@router\s+(/\S*)", 1),
+        "code": F.trim("text") != "",
+        "func": part(r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)", 1),
+    }
+    # Texts are cut once; what is asked of a line is stored, and lines that tell nothing are left out.
+    rows = Scratch(files.sparkSession, "go").keep(rows.select("path", "line", *(c.alias(name) for name, c in told.items())).where("said <> '' or code"), "lines")
+    calls = rows.where("call is not null").select("path", "line", "call.*")
+    groups = rows.where("made is not null").select("path", "made.*")
     known = calls.join(groups, ["path", "receiver"], "left").where("g is null or g.group_line < line")
     known = known.groupBy("path", "line", "receiver", "route", "handler").agg(F.max("g").alias("g"))
     # A receiver whose groups all stand below the call has none yet.
     alone = calls.join(known, ["path", "line", "receiver", "route", "handler"], "left_anti").withColumn("g", F.lit(None).cast("struct<group_line: int, prefix: string>"))
     direct = known.unionByName(alone).select("path", F.concat(F.coalesce("g.prefix", F.lit("")), "route").alias("route"), "handler", "line")
-    said = F.regexp_extract("raw", r"^\s*//\s*@router\s+(/\S*)", 1)
-    code = F.trim("text") != ""
-    marked = rows.withColumns({"mark": F.last(F.when(said != "", F.struct("line", said.alias("route"))), True).over(before), "code": F.coalesce(F.last(F.when(code, F.col("line")), True).over(before), F.lit(0))})
-    noted = marked.where(F.col("mark.line") > F.col("code")).select("path", F.col("mark.route").alias("route"), part(r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)", 1).alias("handler"), F.col("mark.line").alias("line")).where("handler <> ''")
+    marked = rows.select("path", "line", "said", "code", "func").withColumns({"mark": F.last(F.when(F.col("said") != "", F.struct("line", F.col("said").alias("route"))), True).over(before), "last_code": F.coalesce(F.last(F.when(F.col("code"), F.col("line")), True).over(before), F.lit(0))})
+    noted = marked.where(F.col("mark.line") > F.col("last_code")).select("path", F.col("mark.route").alias("route"), F.col("func").alias("handler"), F.col("mark.line").alias("line")).where("handler <> ''")
     return direct.unionByName(noted)
 
 

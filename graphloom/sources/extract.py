@@ -97,11 +97,13 @@ def decorated_routes(files: DataFrame) -> DataFrame:
     route = F.coalesce(F.nullif(part(rf"^\s*@\w+(?:\.\w+)*\.(?:{DECORATORS}){first}", 1), F.lit("")), part(rf"^\s*@(?:{DECORATORS}){first}", 1))
     name = part(r"^\s*(?:async\s+)?def\s+(\w+)", 1)
     after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    bound = rows.withColumns({"route": route, "name": name}).withColumn("handler", F.first(F.when(F.col("name") != "", F.col("name")), ignorenulls=True).over(after))
     added, listed = r"""\.add_route\(\s*(\w+)[^,]*,[^"']*["'](/[^"']*)["']""", r"""^[^(]*\(\s*r?["'](/[^"']*)["']\s*,\s*([A-Z][\w.]*)"""
     kinds = F.array(F.struct(part(added, 2).alias("route"), part(added, 1).alias("handler")), F.struct(part(listed, 1).alias("route"), part(listed, 2).alias("handler")))
-    tabled = rows.select("path", "line", F.explode(F.filter(kinds, lambda x: x["route"] != "")).alias("x")).select("path", "line", "x.*")
-    return bound.where("route <> ''").select("path", "line", "route", "handler").unionByName(tabled)
+    # A line's text is read once, and only lines that tell something are dealt out.
+    told = rows.select("path", "line", route.alias("route"), F.nullif(name, F.lit("")).alias("name"), F.filter(kinds, lambda x: x["route"] != "").alias("tabled")).where("route <> '' or name is not null or size(tabled) > 0")
+    bound = told.withColumn("handler", F.first("name", ignorenulls=True).over(after))
+    every = F.concat(F.when(F.col("route") != "", F.array(F.struct("route", "handler"))).otherwise(F.array().cast("array<struct<route:string,handler:string>>")), F.col("tabled"))
+    return bound.select("path", "line", F.explode(every).alias("x")).select("path", "line", "x.*")
 
 
 # Files of an app router's folder that serve or wrap its URL.
