@@ -111,24 +111,36 @@ def declarations(files: DataFrame) -> DataFrame:
     for language in dict.fromkeys(r.language for r in RULES):
         own = [F.struct(F.lit(r.kind).alias("kind"), F.when(_mentioned(r), F.regexp_extract("text", r.pattern, 1)).alias("name")) for r in RULES if r.language == language]
         found = F.when(F.col("language") == language, F.array(*own)).otherwise(found)
-    spoken = rows.where(F.trim("text") != "")
-    plain = spoken.select("path", "line", F.explode(F.filter(found, lambda x: x["name"] != "")).alias("x")).select("path", "line", "x.*")
-
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    spoken = F.trim("text") != ""
     kind = F.lit(None).cast("string")
     for r in ANNOTATED:
         kind = F.when(_mentioned(r) & F.col("text").rlike(r.pattern), r.kind).otherwise(kind)
+    annotated = F.col("language").isin(*{r.language for r in ANNOTATED})
+    gorm = (F.col("language") == "go") & F.array_contains("mentions", "gorm")
+    told = {
+        "found": F.when(spoken, F.filter(found, lambda x: x["name"] != "")),
+        "mark": F.when(annotated, kind),
+        "bare": annotated & ~F.col("text").rlike(r"^\s*[@#]") & spoken,
+        "declared": F.when(annotated, F.nullif(F.regexp_extract("text", DECLARED, 1), F.lit(""))),
+        "tag": gorm & (F.col("text").contains("gorm.Model") | F.col("text").contains('gorm:"')),
+        "close": gorm & F.col("text").rlike(r"^\s*\}"),
+        "struct": F.when(gorm, F.nullif(F.regexp_extract("text", r"^\s*type\s+(\w+)\s+struct", 1), F.lit(""))),
+    }
+    # Texts are cut once; what rules and windows need of a line is stored, and lines that tell nothing are left out.
+    rows = rows.select("path", "line", *(c.alias(name) for name, c in told.items())).where("size(found) > 0 or mark is not null or bare or declared is not null or tag or close or struct is not null")
+    rows = Scratch(files.sparkSession, "declared").keep(rows, "lines")
+    plain = rows.select("path", "line", F.explode("found").alias("x")).select("path", "line", "x.*")
+
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
     # An annotation counts for the next declaration if only annotations stand between.
-    bare = ~F.col("text").rlike(r"^\s*[@#]") & (F.trim("text") != "")
-    marked = rows.where(F.col("language").isin(*{r.language for r in ANNOTATED})).withColumn("mark", kind)
-    marked = marked.withColumns({"last_mark": F.last(F.when(F.col("mark").isNotNull(), F.struct("line", "mark")), True).over(before), "last_bare": F.coalesce(F.last(F.when(bare, F.col("line")), True).over(before), F.lit(0))})
-    named = marked.where(F.col("last_mark.line") > F.col("last_bare")).select("path", F.col("last_mark.line").alias("line"), F.col("last_mark.mark").alias("kind"), F.regexp_extract("text", DECLARED, 1).alias("name"))
-
-    structs = rows.where((F.col("language") == "go") & F.array_contains("mentions", "gorm"))
-    tagged = F.col("text").contains("gorm.Model") | F.col("text").contains('gorm:"')
-    structs = structs.withColumns({"tag": F.min(F.when(tagged, F.col("line"))).over(after), "close": F.min(F.when(F.col("text").rlike(r"^\s*\}"), F.col("line"))).over(after)})
-    structs = structs.where("tag is not null and (close is null or tag < close)").select("path", "line", F.lit(SCHEMA).alias("kind"), F.regexp_extract("text", r"^\s*type\s+(\w+)\s+struct", 1).alias("name"))
+    marked = rows.where("mark is not null or bare or declared is not null").select("path", "line", "mark", "bare", "declared")
+    marked = marked.withColumns({"last_mark": F.last(F.when(F.col("mark").isNotNull(), F.struct("line", "mark")), True).over(before), "last_bare": F.coalesce(F.last(F.when(F.col("bare"), F.col("line")), True).over(before), F.lit(0))})
+    named = marked.where(F.col("last_mark.line") > F.col("last_bare")).select("path", F.col("last_mark.line").alias("line"), F.col("last_mark.mark").alias("kind"), F.col("declared").alias("name"))
+
+    structs = rows.where("tag or close or struct is not null").select("path", "line", "tag", "close", "struct")
+    structs = structs.withColumns({"next_tag": F.min(F.when(F.col("tag"), F.col("line"))).over(after), "next_close": F.min(F.when(F.col("close"), F.col("line"))).over(after)})
+    structs = structs.where("next_tag is not null and (next_close is null or next_tag < next_close)").select("path", "line", F.lit(SCHEMA).alias("kind"), F.col("struct").alias("name"))
 
     every = plain.unionByName(named).unionByName(structs).where("name <> ''")
     return every.groupBy("path", "name").agg(F.min(F.struct("line", "kind")).alias("x")).select("path", "x.kind", "name", "x.line")

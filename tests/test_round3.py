@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from graphloom.operators import graph, lookup
+from graphloom.sources import declared, extract
 
 
 @pytest.mark.parametrize("block", [2, 1024])
@@ -54,3 +55,15 @@ def test_edges_are_counted_by_numbers(spark, scratch):
     written = {k: "#".join(x for x in v[:2] if x) for k, v in names.items()}
     got = lookup.symbol_edge_counts(symbols, edges, scratch).collect()
     assert {tuple(r)[:3]: r.n for r in got} == dict(Counter((written[f], written[t], k) for f, t, k in links if f in names and t in names))
+
+
+def test_texts_are_cut_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    go = spark.createDataFrame([("m.go", "go", 'api := e.Group("/a")\napi.GET("/b", h)\n// @router /r [get]\nfunc F() {}\n"gorm"\ntype T struct {\n gorm.Model\n}\nvar q = make(chan int)')], "path string, language string, content string")
+    routes, names = declared.go_routes(go), declared.declarations(go)
+    assert "regexp_extract_all" not in plan(routes) + plan(names)
+    assert sorted(map(tuple, routes.collect())) == [("m.go", "/a/b", "h", 2), ("m.go", "/r", "F", 3)]
+    assert sorted((r.name, r.kind, r.line) for r in names.collect()) == [("T", "database_schema", 6), ("q", "state_store", 9)]
+    python = extract.decorated_routes(spark.createDataFrame([("m.py", "@app.get('/x')\n@y\ndef f():\n(r'/t', H),\n@app.get('/z')")], "path string, content string"))
+    assert "Union" not in plan(python)
+    assert sorted((r.line, r.route, r.handler) for r in python.collect()) == [(1, "/x", "f"), (4, "/t", "H"), (5, "/z", None)]
