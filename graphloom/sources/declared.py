@@ -203,28 +203,53 @@ def go_routes(files: DataFrame) -> DataFrame:
     return direct.unionByName(noted)
 
 
+#: Lines of a file that are met at once; each step copies what is found among them.
+PAGE = 256
+
+
 def nested_routes(files: DataFrame) -> DataFrame:
     """(path, route, line): Kotlin calls such as get("/x") inside a ``routing {`` block, after the prefixes of the route("/y") { blocks around them.
 
-    The block around a line at each depth is the last one that was opened
-    there, so a window by depth finds them all. Braces are taken to be balanced.
+    A file's lines are met in order inside its row, so nothing is shuffled or
+    sorted. At each depth stands the block that was opened there last: whether
+    it is inside of a routing block, and the prefixes around it. Braces are
+    taken to be balanced.
     """
-    rows = files.where("content is not null").select("path", F.posexplode(lines(code_text(F.col("content"), "kotlin"))).alias("at", "text")).select("path", (F.col("at") + 1).cast("int").alias("line"), F.trim("text").alias("text"))
-    by_file = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("net", net_braces(F.col("text"))).withColumn("depth", F.coalesce(F.sum("net").over(by_file), F.lit(0)))
-    prefix = F.when(F.col("text").endswith("{"), F.nullif(F.regexp_extract("text", r"""(?<![A-Za-z0-9])route\(\s*["']([^"']*)["']""", 1), F.lit("")))
-    opened = F.sequence(F.col("depth").cast("bigint"), (F.col("depth") + F.col("net") - 1).cast("bigint"))
-    blocks = rows.where("net > 0").select("path", "line", F.explode(opened).alias("level"), "depth", F.col("text").rlike(r"(^|\s)routing \{").alias("routing"), prefix.alias("prefix"))
-    first = F.col("level") == F.col("depth")
-    blocks = blocks.select("path", "level", "line", F.struct((F.col("routing") & first).alias("routing"), F.when(first, F.col("prefix")).alias("prefix")).alias("block"), F.lit(None).cast("string").alias("route"))
-    route = F.regexp_extract("text", r"""(?<![A-Za-z0-9])(?:get|post|put|delete|patch|head|options)\(\s*["'](/[^"']*)["']""", 1)
-    calls = rows.withColumn("route", route).where("route <> '' and depth > 0")
-    calls = calls.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("depth") - 1).cast("bigint"))).alias("level"), "line", F.lit(None).cast("struct<routing: boolean, prefix: string>").alias("block"), "route")
-    around = Window.partitionBy("path", "level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    met = blocks.unionByName(calls).withColumn("b", F.last("block", True).over(around)).where("route is not null")
-    told = met.groupBy("path", "line", "route").agg(F.min(F.when(F.col("b.routing"), F.col("level"))).alias("root"), F.array_sort(F.collect_list(F.struct("level", "b.prefix"))).alias("bs")).where("root is not null")
-    inner = F.transform(F.filter("bs", lambda x: (x["level"] > F.col("root")) & x["prefix"].isNotNull()), lambda x: x["prefix"])
-    return told.select("path", F.concat(F.array_join(inner, ""), "route").alias("route"), "line")
+
+    def told(text: Column, at: Column) -> Column:
+        text = F.trim(text)
+        prefix = F.when(text.endswith("{"), F.regexp_extract(text, r"""(?<![A-Za-z0-9])route\(\s*["']([^"']*)["']""", 1)).otherwise("")
+        route = F.regexp_extract(text, r"""(?<![A-Za-z0-9])(?:get|post|put|delete|patch|head|options)\(\s*["'](/[^"']*)["']""", 1)
+        return F.struct((at + 1).cast("int").alias("line"), net_braces(text).alias("net"), text.rlike(r"(^|\s)routing \{").alias("routing"), prefix.alias("prefix"), route.alias("route"))
+
+    def met(seen: Column, x: Column) -> Column:
+        around = F.get(seen["around"], seen["depth"] - 1)
+        inside = F.coalesce(around["inside"], F.lit(False))
+        # What a line opens after its first block has neither a prefix nor routing of its own; below depth 0 nothing counts.
+        own = seen["depth"] >= 0
+        block = F.struct((inside | (own & x["routing"])).alias("inside"), F.when(inside, F.concat(around["prefix"], x["prefix"])).otherwise("").alias("prefix"))
+        level = F.greatest(seen["depth"], F.lit(0))
+        opened = F.concat(F.slice(seen["around"], F.lit(1), level), F.array_repeat(block, seen["depth"] + x["net"] - level))
+        found = F.struct(F.concat(around["prefix"], x["route"]).alias("route"), x["line"].alias("line"))
+        return F.struct(
+            (seen["depth"] + x["net"]).alias("depth"),
+            F.when(x["net"] > 0, opened).otherwise(seen["around"]).alias("around"),
+            F.when(inside & (x["route"] != ""), F.array_append(seen["found"], found)).otherwise(seen["found"]).alias("found"),
+        )
+
+    def page_met(seen: Column, page: Column) -> Column:
+        began = F.struct(seen["depth"], seen["around"], empty.alias("found"))
+        return F.aggregate(page, began, met, lambda x: F.struct(x["depth"], x["around"], F.array_append(seen["pages"], x["found"]).alias("pages")))
+
+    def paged(each: Column) -> Column:
+        last = F.floor(F.greatest(F.size(each) - 1, F.lit(0)) / PAGE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(each, k * PAGE + 1, F.lit(PAGE)))
+
+    each = F.filter(F.transform(lines(code_text(F.col("content"), "kotlin")), told), lambda x: (x["net"] != 0) | (x["route"] != ""))
+    empty = F.array().cast("array<struct<route: string, line: int>>")
+    none = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<inside: boolean, prefix: string>>").alias("around"), F.array().cast("array<array<struct<route: string, line: int>>>").alias("pages"))
+    every = F.aggregate(F.flatten(F.transform(F.array(each), paged)), none, page_met, lambda seen: F.flatten(seen["pages"]))
+    return files.where("content is not null").select("path", F.explode(every).alias("x")).select("path", "x.*")
 
 
 # Exports of a route module that answer requests, and those of a module below a routes folder.

@@ -67,3 +67,17 @@ def test_texts_are_cut_once(spark):
     python = extract.decorated_routes(spark.createDataFrame([("m.py", "@app.get('/x')\n@y\ndef f():\n(r'/t', H),\n@app.get('/z')")], "path string, content string"))
     assert "Union" not in plan(python)
     assert sorted((r.line, r.route, r.handler) for r in python.collect()) == [(1, "/x", "f"), (4, "/t", "H"), (5, "/z", None)]
+
+
+@pytest.mark.parametrize("page", [1, 2, 256])
+def test_nested_routes_are_met_inside_their_row(spark, monkeypatch, page):
+    monkeypatch.setattr(declared, "PAGE", page)
+    text = '}\nrouting {\n}\nrouting { if (x) {\n  get("/no")\n  route("/a") {\n    get("/1") { }\n  } else {\n    put("/2") { }\n  }\n  route("/b") {{\n    get("/3")\n  }}\n  get("/4")\n}}\nget("/5")'
+    files = spark.createDataFrame([("a.kt", "}\n{\n" + text[2:]), ("b.kt", text), ("c.kt", "")], "path string, content string")
+    found = declared.nested_routes(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
+    inside = [("/no", 5), ("/a/1", 7), ("/a/2", 9), ("/b/3", 12), ("/4", 14)]
+    # A brace too many at the top leaves all blocks one level lower: the first one of a line is below depth 0.
+    assert sorted(map(tuple, found.where("path = 'a.kt'").collect())) == sorted(("a.kt", r, n + 1) for r, n in inside)
+    assert found.where("path = 'b.kt'").count() == 0
