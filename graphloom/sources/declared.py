@@ -261,8 +261,17 @@ def file_route_handlers(routes: DataFrame, exports: DataFrame, handlers: tuple[s
 
     Without one, ``fallback`` is the handler if the file exports it, else null.
     Routers of pages and apps bind VERBS; route modules MODULE_HANDLERS with "default".
+    Routes and exports are one table of distinct rows, in which an export is a
+    bit, so that a task holds or sorts short rows once and joins nothing.
     """
-    asked = exports.where(F.col("name").isin(*handlers, *([fallback] if fallback else []))).select("path", "name").distinct()
-    grouped = routes.select("path", "route").distinct().join(asked, "path", "left").groupBy("path", "route").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    bound = F.filter("names", lambda x: x.isin(*handlers))
-    return grouped.select("path", "route", F.explode_outer(F.when(F.size(bound) > 0, bound).otherwise(F.col("names"))).alias("handler"))
+    names = list(dict.fromkeys([*handlers, *([fallback] if fallback else [])]))
+    bit = F.lit(0)
+    for k, name in enumerate(names):
+        bit = F.when(F.col("name") == name, 1 << k).otherwise(bit)
+    served = routes.select("path", "route", F.lit(True).alias("served"), F.lit(0).alias("bits"))
+    asked = exports.where(F.col("path").isNotNull() & F.col("name").isin(*names)).select("path", F.lit(None).cast("string").alias("route"), F.lit(False).alias("served"), bit.alias("bits"))
+    each = served.unionByName(asked).groupBy("path", "route", "served").agg(F.bit_or("bits").alias("bits"))
+    each = each.withColumn("bits", F.bit_or("bits").over(Window.partitionBy("path"))).where("served")
+    bound = F.filter(F.array(*(F.when(F.col("bits").bitwiseAND(1 << k) != 0, name) for k, name in enumerate(names) if name in handlers)), lambda x: x.isNotNull())
+    # A file without handlers has at most the fallback.
+    return each.select("path", "route", F.explode(F.when(F.size(bound) > 0, bound).otherwise(F.array(F.when(F.col("bits") != 0, F.lit(fallback).cast("string"))))).alias("handler"))

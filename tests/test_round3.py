@@ -81,3 +81,22 @@ def test_nested_routes_are_met_inside_their_row(spark, monkeypatch, page):
     # A brace too many at the top leaves all blocks one level lower: the first one of a line is below depth 0.
     assert sorted(map(tuple, found.where("path = 'a.kt'").collect())) == sorted(("a.kt", r, n + 1) for r, n in inside)
     assert found.where("path = 'b.kt'").count() == 0
+
+
+def test_handlers_of_routes_join_nothing(spark):
+    routes = spark.createDataFrame([("a", "/1"), ("a", "/1"), ("a", "/2"), ("b", "/3"), ("c", None), (None, "/4"), ("d", "/5")], "path string, route string")
+    exports = spark.createDataFrame([("a", "loader"), ("a", "action"), ("a", "loader"), ("a", "default"), ("b", "default"), ("b", "x"), ("c", None), (None, "loader"), ("gone", "action")], "path string, name string")
+    found = declared.file_route_handlers(routes, exports, declared.MODULE_HANDLERS, "default")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {("a", r, h) for r in ("/1", "/2") for h in ("loader", "action")} | {("b", "/3", "default"), ("c", None, None), (None, "/4", None), ("d", "/5", None)}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
+
+
+def test_parts_are_dealt_out_to_more_tasks(spark, monkeypatch, tmp_path):
+    from graphloom.plans import sources_and_edges as plans
+
+    spark.range(100).selectExpr("id as p_partkey", "'x' as p_name", "1 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(plans, "TASK_PARTS", 10)
+    files = plans._sources(spark, str(tmp_path), "<n>", dealt=True)
+    assert files.rdd.getNumPartitions() == 10 and files.count() == 100
